@@ -68,8 +68,8 @@ def bitmap(slots: DataFrame, col: str, bits: int) -> np.ndarray:
                 flags[i, np.asarray(x, dtype=np.int64)] = 1
             yield pd.DataFrame({"high": g["high"], "word": [r.tobytes() for r in np.packbits(flags, axis=1, bitorder="little")]})
 
-    distinct = slots.select(F.col(col).cast("long").alias("slot")).where("slot is not null").distinct()
-    words = distinct.groupBy(F.expr(f"shiftright(slot, {low})").alias("high")).agg(F.collect_list(F.expr(f"cast(slot & {(1 << low) - 1} as int)")).alias("lows"))
+    given = slots.select(F.col(col).cast("long").alias("slot")).where("slot is not null")
+    words = given.groupBy(F.expr(f"shiftright(slot, {low})").alias("high")).agg(F.collect_set(F.expr(f"cast(slot & {(1 << low) - 1} as int)")).alias("lows"))
     batches_of(slots.sparkSession, 512)
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)
     size = (1 << low) // 8

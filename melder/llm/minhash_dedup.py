@@ -29,7 +29,7 @@ COORDINATES = 128  # of a signature, 16 bits each
 PATHS = 16  # independent paths: a pair at 0.8 survives three coordinates of one at least with 1 - 0.488 ** 16
 FIRST_DEPTH = 3
 MAX_DEPTH = 16
-LEAF = 400  # classes in a node that are compared exhaustively
+LEAF = 2000  # classes in a node that are compared exhaustively
 MARGIN = 5.0  # standard deviations of the signature's estimate below the threshold
 BLOCK_ITEMS = 1_500_000  # shingles in a block of a group that is confirmed in several tasks
 REP_BITS = 24

@@ -99,8 +99,8 @@ def place(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
     """(bin, offset) of each item, in the order given.
 
     N[g] open bins have a gap g. An item of size s changes the sum of N[g]**2 by
-    2 (N[g - s] - N[g]) + 2 if it goes to a gap g > s, by 1 - 2 N[s] if it fills a gap of s, and
-    by 2 N[length - s] + 1 if it opens a bin. Ties go to the smallest gap, and to a new bin last.
+    2 (N[g - s] - N[g]) + 2 if it goes to a gap g > s, by 1 - 2 N[s] if it fills a gap of s. Ties
+    go to the smallest gap. A bin is opened only if no open one has room.
     """
     count = np.zeros(length + 1, dtype=np.int64)
     open_bins: list[list[int]] = [[] for _ in range(length + 1)]
@@ -117,8 +117,7 @@ def place(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
             after[here == 0] = none
             g = int(after.argmin())
             best, gap = int(after[g]), s + g
-        new = 2 * int(count[length - s]) + 1 if s < length else -1
-        if best == none or new < best:
+        if best == none:
             where[k], offset[k], left = bins, 0, length - s
             bins += 1
         else:

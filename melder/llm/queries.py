@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melder.llm import imatch, license_scan, minhash_dedup, packing, robust_quality
+from melder.llm import imatch, language_id, license_scan, minhash_dedup, packing, quality_knn, robust_quality, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_knn.classify(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen-path join on 4-word shingles at 0.8."""
     return minhash_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), width=4, percent=80)
@@ -30,6 +35,15 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.stability(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return warc.round_trip(pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = robust_quality.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -44,8 +58,11 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_language_id": op5_language_id,
+    "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scans": op9_license_scans,

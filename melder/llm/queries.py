@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melder.llm import imatch, language_id, license_scan, minhash_dedup, packing, quality_knn, robust_quality, warc
+from melder.llm import imatch, language_id, license_scan, minhash_dedup, mixing, packing, quality_knn, robust_quality, secret_scan, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,19 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.classify(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text", "source"), path="source")
+    return found.select(
+        "doc_id",
+        F.size("candidates").cast("long").alias("n_candidates"),
+        F.size("findings").cast("long").alias("n_secrets"),
+        F.coalesce(F.expr("array_max(transform(candidates, x -> x.score))"), F.lit(0.0)).alias("score"),
+        F.array_join(F.array_sort(F.expr("transform(findings, x -> sha1(cast(x.secret as binary)))")), ",").alias("secrets_sha1"),
+        F.expr("array_min(transform(findings, x -> x.at))").alias("first_at"),
+        F.sha2(F.coalesce("redacted", F.lit("")).cast("binary"), 256).alias("redacted_sha256"),
+    )
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen-path join on 4-word shingles at 0.8."""
     return minhash_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), width=4, percent=80)
@@ -57,8 +70,19 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_secret_scans": op2_secret_scans,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_language_id": op5_language_id,
@@ -66,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scans": op9_license_scans,
+    "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.MIX_SQL}

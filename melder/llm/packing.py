@@ -8,11 +8,15 @@ group wastes in its last open bins is small against the thousands of sequences i
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,54 +25,73 @@ from melder.llm.common import batches_of, written
 LENGTH = 2048
 END_ID = 0
 GROUP = 40_000  # pieces in a group, on average
-CACHE = 400_000  # words whose ids a Python worker remembers
-_SENTINEL = "½"  # one token of its own between words that are encoded together
+CACHE = 1_200_000  # words whose ids a Python worker remembers, from task to task
+#: Fixed value: what the tokenizer's own pattern takes for one unit inside a word.
+_UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes stand for
+    themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+_ODD = regex.compile("[\x1c-\x1f\x85\u180e\ufeff\ud800-\udfff\U00010000-\U0010ffff]")
 
 
 class Words:
     """Ids of whole texts through a cache of their white-space separated words.
 
-    The tokenizer lower-cases, normalizes, and cuts at white space before it looks at anything
-    else, so a text's ids are its words' ids, joined. Words not yet known are encoded many at a
-    time. Texts for which this may not hold (control characters that only one side takes for white
-    space, marks that could compose with a blank, special tokens) go to the tokenizer as they are.
+    The tokenizer normalizes, lower-cases, and cuts at white space and between letters, digits and
+    marks before it looks at anything else, so a text's ids are those of its words' units,
+    joined. Units recur far more often than words; new ones go to the tokenizer's own model.
+    Texts for which this may not hold (control characters that only one side takes for white
+    space, special tokens, letters beyond the basic plane) go to the tokenizer as they are.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
-        ids = self.tokenizer.encode(_SENTINEL, add_special_tokens=False).ids
-        self.mark = ids[0] if len(ids) == 1 else None
+        self.units: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     @staticmethod
     def plain(text: str) -> bool:
-        return "<|" not in text and _SENTINEL not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f\x85᠎﻿")
+        return "<|" not in text and not _ODD.search(text)
+
+    def _unit(self, u: str) -> bytes:
+        got = self.units.get(u)
+        if got is None:
+            spelled = u if u.isascii() and u.isprintable() else "".join(map(_LETTERS.__getitem__, u.encode()))
+            got = self.units[u] = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(spelled)])}I", *ids)
+        return got
 
     def _learn(self, words: list[str]) -> None:
-        if self.mark is None:
-            for w in words:
-                self.known[w] = self._whole(w)
-            return
-        for i in range(0, len(words), 256):
-            part = words[i : i + 256]
-            ids = np.array(self.tokenizer.encode(f" {_SENTINEL} ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cut = np.flatnonzero(ids == self.mark)
-            if len(cut) != len(part) - 1:  # a word holds that token itself
-                for w in part:
-                    self.known[w] = self._whole(w)
+        for w in words:
+            # letter by letter: a word's end has no say in its lower case
+            if w.isascii():
+                low = w.lower()
+            elif any([unicodedata.category(c) == "Cn" for c in w]):
+                self.known[w] = self._whole(w)  # letters newer than one side's tables
                 continue
-            for w, a, b in zip(part, np.append(0, cut + 1), np.append(cut, len(ids)), strict=True):
-                self.known[w] = ids[a:b].tobytes()
+            else:
+                low = "".join([c.lower() for c in unicodedata.normalize("NFC", w)])
+            self.known[w] = b"".join([self._unit(u) for u in _UNIT.findall(low)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > CACHE:
             self.known.clear()
+        if len(self.units) > CACHE:
+            self.units.clear()
         split = [t.split() if self.plain(t) else None for t in texts]
         new = {w for words in split if words for w in words if w not in self.known}
         self._learn(list(new))
@@ -76,12 +99,18 @@ class Words:
         return [b"".join(map(get, words)) if words is not None else self._whole(t) for t, words in zip(texts, split, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def _words(tokenizer_path: str) -> Words:
+    """One for each Python worker, which Spark keeps from task to task."""
+    return Words(tokenizer_path)
+
+
 def _pieces(tokenizer_path: str, length: int, with_ids: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = Words(tokenizer_path)
+        words = _words(tokenizer_path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for f in frames:
             rows: list[tuple] = []

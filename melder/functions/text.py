@@ -86,7 +86,9 @@ def token_set_ratio(a: Column, b: Column) -> Column:
 def artist_tokens(c: Column) -> Column:
     """Words of a cleaned name without joining words and without a leading article."""
     words = F.filter(F.split(clean_artist(c), r"[^\p{L}\p{Nd}]+"), lambda x: ~x.isin("", "and", "feat", "featuring", "ft"))
-    return F.when((F.size(words) > 1) & (F.get(words, F.lit(0)) == "the"), F.slice(words, 2, 10_000)).otherwise(words)
+    # bound once: the cleaning above is a long expression
+    bare = F.transform(F.array(words), lambda w: F.when((F.size(w) > 1) & (F.get(w, F.lit(0)) == "the"), F.slice(w, 2, 10_000)).otherwise(w))
+    return F.get(bare, F.lit(0))
 
 
 def contains_run(words: Column, wanted: Column) -> Column:

@@ -34,14 +34,14 @@ def gate(rows: DataFrame, spelling: bool = True) -> DataFrame:
     rows = rows.withColumns(
         {
             "_want": artist_tokens(F.coalesce("q_artist", empty)), "_have": artist_tokens(F.coalesce("artist", empty)),
-            "_base": F.regexp_extract(F.coalesce("q_title", empty), FEATURED, 1), "_guest": F.regexp_extract(F.coalesce("q_title", empty), FEATURED, 2),
+            "_base": F.regexp_extract(F.coalesce("q_title", empty), FEATURED, 1), "_guest": artist_tokens(F.regexp_extract(F.coalesce("q_title", empty), FEATURED, 2)),
             "_vq": qualifiers(F.coalesce("q_title", empty)), "_vt": qualifiers(F.coalesce("title", empty)),
         }
     )
     rows = rows.withColumns(
         {
             "_evidence": evidence(F.col("_have"), F.col("_want"), spelling),
-            "_featured": (F.trim("_base") != "") & (clean_title(F.col("_base")) == clean_title(F.col("title"))) & contains_run(F.col("_have"), artist_tokens(F.col("_guest"))),
+            "_featured": (F.trim("_base") != "") & (clean_title(F.col("_base")) == clean_title(F.col("title"))) & contains_run(F.col("_have"), F.col("_guest")),
             "_version": same_markers(F.col("_vq"), F.col("_vt")),
         }
     )

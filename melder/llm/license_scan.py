@@ -109,7 +109,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"]
     own = [c for c in docs.columns if c not in made]
-    df = _words(docs.select(*own))
+    df = _words(docs.select(F.struct(*[docs[c] for c in own]).alias("__own"), docs["text"].alias("text"))).drop("text")
     starts = F.array(*[F.struct(F.lit(label).alias("label"), _places(words).alias("at")) for words, label in PHRASES.items()])
     df = df.withColumn("n_words", F.size("__w").cast("long")).withColumn("__at", starts)
     # the prefix filter over the whole text, before any block is made
@@ -127,7 +127,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     df = df.withColumn("__more", F.expr("coalesce(transform(filter(__t, x -> x.share > 0), x -> x.label), cast(array() as array<string>))"))
     best = F.coalesce(F.expr("array_max(transform(__t, x -> x.share))"), F.lit(0.0))
     return df.select(
-        *own,
+        "__own.*",
         "n_words",
         F.size("places").cast("long").alias("n_base"),
         F.expr("array_min(transform(places, p -> p.word))").alias("first_word"),

@@ -185,4 +185,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are predicted good, with their own columns."""
-    return classify(docs, labels).where("predicted = 1").select(docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    return classify(rows, labels).where("predicted = 1").select("row.*")

@@ -78,7 +78,7 @@ def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     bins = np.zeros(_BINS, dtype=np.int64)
     bins[min(15, int(np.log2(len(words))))] = 1
     bins[16 + min(15, int(16 * len(distinct) / len(words)))] = 2
-    bins[32 + min(15, int(16 * len(zlib.compress(raw[:65536], 1)) / max(1, len(raw[:65536]))))] = 1 if len(words) > 20 else 0
+    bins[32 + min(15, int(16 * len(zlib.compress(raw, 1)) / len(raw)))] = 1 if len(words) > 20 else 0
     family(CLASSES**3 + _WORDS, bins, 0.6)
     return np.concatenate(at).astype(np.int32), np.concatenate(n).astype(np.float32)
 

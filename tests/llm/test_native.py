@@ -1,0 +1,142 @@
+"""Quality rules, license scans, secret scans and mixing against plain Python."""
+
+import random
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from melder.llm import license_scan, mixing, robust_quality, secret_scan
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def statistics(x):
+    x = x or ""
+    w = WORD.findall(x)
+    tri = Counter(zip(w, w[1:], w[2:], strict=False))
+    again = set()
+    for i in range(len(w) - 2):
+        if tri[(w[i], w[i + 1], w[i + 2])] > 1:
+            again |= {i, i + 1, i + 2}
+    lines = [y for y in x.split("\n") if WORD.search(y)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), len(lines) - len(set(lines)), len(again)
+
+
+def test_statistics(frame):
+    r = random.Random(1)
+    texts = [None, "", " \n\t", "a", "a b", "a b c", "a a a a", "x y z x y z", "é ü\x0b| #", "l\nl\n\nl \n m", "w " * 30_000]
+    texts += ["".join(r.choice(["a", "b", "cc", " ", " ", "\n", "#", " ", "\r"]) for _ in range(r.randint(0, 120))) for _ in range(300)]
+    rows = robust_quality.statistics(frame([(i, t) for i, t in enumerate(texts)], "i int, text string")).collect()
+    for r in rows:
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == statistics(texts[r["i"]]), repr(texts[r["i"]])[:80]
+
+
+def prose(r, n):
+    return " ".join(r.choice(["the", "of", "and"]) if r.random() < 0.3 else "".join(r.choice(["er", "an", "th", "on", "re"]) for _ in range(r.randint(1, 5))) + ("." if r.random() < 0.1 else "") for _ in range(n))
+
+
+def test_outliers_are_rejected_and_clean_rows_kept(frame):
+    r = random.Random(2)
+    good = [(i, prose(r, r.randint(60, 600)), r.choice(["en", "de", None]), r.choice(["a", "a", "a", "b", None])) for i in range(500)]
+    bad = [(1000 + i, " ".join(w + "###" for w in prose(r, 100).split()), "en", "a") for i in range(20)] + [(2000 + i, prose(r, 200).upper().replace(" ", "!! "), "de", "a") for i in range(20)]
+    docs = frame([(*x, "k") for x in good + bad], "doc_id long, text string, lang string, source string, kept string")
+    got = {x["doc_id"]: x for x in robust_quality.judge(docs).collect()}
+    assert len(got) == 540 and all(got[i]["kept"] for i, *_ in good) and not any(got[i]["kept"] for i, *_ in bad)
+
+
+def test_quality_edges(frame):
+    rows = [(None, None, None, None), (1, "short", "en", "a"), (1, "short", "en", "a"), (2, "same words " * 50, "en", "a"), (3, prose(random.Random(3), 80), "xx", "y")]
+    got = sorted(((r["doc_id"] or 0, r["base_failed"], r["kept"]) for r in robust_quality.judge(frame(rows, "doc_id long, text string, lang string, source string")).collect()), key=str)
+    assert got == [(0, True, False), (1, True, False), (1, True, False), (2, True, False), (3, False, True)]
+    assert robust_quality.judge(frame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def places(x):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    at = [(k, label) for p, label in license_scan.PHRASES.items() for k in range(len(w) - len(p) + 1) if tuple(w[k : k + len(p)]) == p]
+    return w, at
+
+
+def blocks_hold(w, threshold):
+    """Labels by brute force over every block of every template."""
+    order = {x: (0, x) for _, t in license_scan.TEMPLATES for x in t.split()}
+    found = set()
+    for label, words in license_scan.TEMPLATES:
+        t = license_scan.Template(label, words, order, threshold)
+        for k in range(0, max(len(w), 1), t.stride):
+            if len(set(t.tokens) & set(w[k : k + 2 * t.stride])) >= t.need:
+                found.add(label)
+    return found
+
+
+def test_license_scan_equals_brute_force(frame):
+    r = random.Random(4)
+    vocabulary = sorted({x for _, t in license_scan.TEMPLATES for x in t.split()}) + ["filler", "mit", "été", "Kelvin"]
+    texts = [None, "", "Under THE MİT license", "under the mit license. Under the MIT License!", "Licensed under the Apache License, Version 2.0.", "CC BY-NC CC-BY-NC", "the mit license under", "x" * 100_000]
+    for _ in range(250):
+        words = [r.choice(vocabulary) for _ in range(r.randint(0, 80))]
+        if r.random() < 0.6:
+            notice = r.choice(license_scan.TEMPLATES)[1].split()
+            for _ in range(r.randrange(3)):
+                notice[r.randrange(len(notice))] = "changed"
+            at = r.randrange(len(words) + 1)
+            words[at:at] = notice
+        texts.append(r.choice([" ", ", ", "\n"]).join(words))
+    rows = license_scan.scan(frame([(i, t, "c") for i, t in enumerate(texts)], "doc_id int, text string, labels string")).collect()
+    for row in rows:
+        w, at = places(texts[row["doc_id"]])
+        base = {label for _, label in at}
+        assert (row["n_words"], row["n_base"], row["base_labels"]) == (len(w), len(at), ",".join(sorted(base)))
+        assert (row["first_word"], row["last_word"]) == ((min(a for a, _ in at), max(a for a, _ in at)) if at else (None, None))
+        assert row["labels"] == ",".join(sorted(base | blocks_hold(w, license_scan.THRESHOLD))), texts[row["doc_id"]]
+        assert 0 <= row["score"] <= 1 and (row["score"] == 1 or not at)
+
+
+def test_secrets(frame):
+    key = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+    rows = [
+        (1, f'the token = "{key}" and token = "{key}" again', "src0"), (2, None, None), (3, "", "x"), (4, "Unverschämtheitsgesellschaften theandoneringtionable", "src1"),
+        (5, "commit: da39a3ee5e6b4b0d3255bfef95601890afd80709", "git"), (6, "api_key=your_api_key_goes_here_example", "docs/example.md"), (7, "AKIA" + "Q7Z2M4X9K1L8P5T3", "app"), (8, "=" * 80, "x"),
+    ]
+    got = {r["doc_id"]: r for r in secret_scan.scan(frame([(*r, 0) for r in rows], "doc_id int, text string, source string, findings int"), "source").collect()}
+    assert [x["secret"] for x in got[1]["findings"]] == [key] and got[1]["findings"][0]["at"] == 13
+    assert key not in got[1]["redacted"] and got[1]["redacted"].count(secret_scan.MASK) == 2
+    assert got[2]["redacted"] is None and got[3]["redacted"] == ""
+    assert not got[4]["findings"] and not got[6]["findings"] and not got[8]["findings"]
+    assert len(got[7]["findings"]) == 1
+    out = secret_scan.redact(frame([(1, rows[0][1], "s", 99)], "doc_id long, text string, source string, n_chars long"), "source").first()
+    assert out["n_chars"] == len(out["text"]) and secret_scan.MASK in out["text"]
+
+
+def test_the_forest_learns(spark):
+    rows = secret_scan.findings(spark, 2000)
+    p = secret_scan.forest(rows)
+    scored = rows.select("label", F.expr(f"transform(array({secret_scan.features('candidate', 'before', 'marks', 'path')}), f -> {p})[0]").alias("p"))
+    right = scored.agg(F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double")).alias("a")).first()["a"]
+    assert right > 0.97
+
+
+def test_mixing_equals_sql(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{path}')")
+    cols = ["doc_id", "copy", "mix_key", "source"]
+    want = sorted(c.execute(f"select {', '.join(cols)} from ({mixing.MIX_SQL})").fetchall())
+    assert sorted(tuple(r) for r in mixing.mix(spark.read.parquet(path)).select(*cols).collect()) == want
+
+
+def test_mixing_reaches_its_weights(frame):
+    docs = frame([(i, "big" if i % 10 else "small") for i in range(20_000)] + [(None, None)], "doc_id long, source string")
+    got = dict((r["source"], r["n"]) for r in mixing.mix(docs, {"big": 1, "small": 1}, total=20_000).groupBy("source").agg(F.count("*").alias("n")).collect())
+    assert None not in got and got["big"] == pytest.approx(10_000, rel=0.05) and got["small"] == pytest.approx(10_000, rel=0.05)
+    assert mixing.mix(frame([], "doc_id long, source string")).count() == 0
+
+
+def test_mixing_large_rates(frame):
+    docs = frame([(i, "s", 1) for i in range(30)], "doc_id long, source string, copy int")
+    n = mixing.mix(docs, {"s": 1}, total=30 * 900.0).count()
+    assert n == pytest.approx(27_000, rel=0.05)

@@ -10,7 +10,7 @@ MOST = 1000
 
 def tracklist(tracks: DataFrame, limit: int = MOST) -> DataFrame:
     """tracks(album_id, disc, position, ...) in order of disc and position, the first `limit`."""
-    n = F.row_number().over(Window.partitionBy("album_id").orderBy("disc", "position", "track_id"))
+    n = F.row_number().over(Window.partitionBy("album_id").orderBy("disc", "position", "track_id")).cast("long")
     return tracks.withColumn("place", n).where(F.col("place") <= min(limit, MOST))
 
 

@@ -127,7 +127,7 @@ def images_union(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
 
     late = F.struct("provider", "rank")
     one = rows.where("url is not null").groupBy("query_id", "url").agg(F.max_by("width", late).alias("width"), F.max_by("height", late).alias("height"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy((F.col("width") * F.col("height")).desc(), "url"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy((F.col("width") * F.col("height")).desc(), "url")).cast("long")
     return one.withColumn("place", place)
 
 

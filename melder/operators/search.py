@@ -12,7 +12,7 @@ def page(rows: DataFrame, number: int = 1, limit: int = 10) -> DataFrame:
     limit = limit if 1 <= limit <= 50 else 10
     number = max(1, number)
     w = Window.partitionBy("query_id")
-    place = F.row_number().over(w.orderBy(F.col("score").desc(), "canonical_id", F.array_join("available_on", ",")))
+    place = F.row_number().over(w.orderBy(F.col("score").desc(), "canonical_id", F.array_join("available_on", ","))).cast("long")
     first = (number - 1) * limit
     return rows.withColumn("total", F.count("*").over(w)).withColumn("place", place).where((F.col("place") > first) & (F.col("place") <= first + limit))
 

@@ -14,7 +14,7 @@ from melder.session import table
 _PROVIDER = "CASE l_suppkey % 14 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PLATFORMS)) + " END"
 
 CANDIDATES = f"""
-SELECT *, row_number() OVER (PARTITION BY query_id, provider ORDER BY native_id, line, supp, quantity, price, discount, tax, flag, shipped) AS rank
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id, provider ORDER BY native_id, line, supp, quantity, price, discount, tax, flag, shipped) AS BIGINT) AS rank
 FROM (
   SELECT l_partkey AS query_id, {_PROVIDER} AS provider, CAST(l_orderkey AS STRING) AS native_id,
     p_name || CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN ' (Official Video)' WHEN 3 THEN ' [Remastered]' WHEN 4 THEN ' (Live)' WHEN 5 THEN ' - Remix' WHEN 6 THEN ' (feat. Guest)' ELSE ' (2011 Remaster)' END AS title,

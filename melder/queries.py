@@ -403,7 +403,7 @@ def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     credits = b.select(F.col("query_id").alias("root"), "provider", track.alias("target"), F.when(F.col("supp") % 2 == 0, F.col("supp").cast("string")).alias("native_artist"), F.col("credit_name").alias("name"), text.role(F.col("role")).alias("role"))
     edges = graph.credit_edges(credits)
     nodes = b.select(F.col("query_id").alias("root"), track.alias("id"), F.lit("track").alias("type"), "provider", F.col("title").alias("name"), F.col("rank").alias("seq"))
-    people = edges.select("root", F.col("source").alias("id"), F.lit("artist").alias("type"), F.lit("any").alias("provider"), F.lit("").alias("name"), F.lit(1).cast("int").alias("seq"))
+    people = edges.select("root", F.col("source").alias("id"), F.lit("artist").alias("type"), F.lit("any").alias("provider"), F.lit("").alias("name"), F.lit(1).cast("long").alias("seq"))
     return graph.upsert(nodes.unionByName(people)), edges
 
 

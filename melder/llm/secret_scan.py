@@ -21,7 +21,9 @@ MASK = "[secret]"
 
 BODY = "[A-Za-z0-9_+/=-]"
 #: The word and the marks before a candidate, and the candidate.
-CANDIDATE = r"(?:([A-Za-z][A-Za-z_-]{1,30})([\s\"':=]{1,6}))?(" + BODY + "{" + str(SHORTEST) + ",})"
+RUN = f"(?<!{BODY}){BODY}{{{SHORTEST},}}"  # tried at the start of a run only
+AROUND = 48  # code points before a candidate in which its neighbouring word is looked for
+BEFORE = r"([A-Za-z][A-Za-z_-]{1,30})([\s\x22\x27:=]{1,6})$"
 
 #: Word fragments of the dictionary, words that announce secrets or identifiers,
 #: beginnings of well-known keys, and words of placeholders and of paths that hold no real keys.
@@ -125,13 +127,13 @@ def forest(labelled: DataFrame) -> str:
 
 def _found(text: Column, path: Column, probability: str) -> list[tuple[str, Column]]:
     """Columns to add one after the other: candidates with their surroundings, then with a score."""
-    groups = [F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(i)) for i in (3, 1, 2)]
     return [
         ("__t", F.coalesce(text, F.lit(""))),
         ("__p", F.coalesce(path, F.lit(""))),
-        ("__any", F.expr(f"__t rlike r'{BODY}{{{SHORTEST},}}'")),
-        ("__c", F.when(F.col("__any"), F.array_distinct(F.arrays_zip(*groups)))),
-        ("__f", F.expr(f"transform(__c, x -> struct(x['0'] as secret, x['1'] as before, {features("x['0']", "x['1']", "x['2']", '__p')} as f))")),
+        ("__c", F.array_distinct(F.regexp_extract_all("__t", F.lit(RUN), F.lit(0)))),
+        ("__b", F.expr(f"transform(__c, c -> struct(c as secret, substr(__t, greatest(instr(__t, c) - {AROUND}, 1), least(instr(__t, c) - 1, {AROUND})) as around))")),
+        ("__x", F.expr(f"transform(__b, x -> struct(x.secret as secret, regexp_extract(x.around, r'{BEFORE}', 1) as before, regexp_extract(x.around, r'{BEFORE}', 2) as marks))")),
+        ("__f", F.expr(f"transform(__x, x -> struct(x.secret as secret, x.before as before, {features('x.secret', 'x.before', 'x.marks', '__p')} as f))")),
         ("__s", F.expr(f"transform(__f, x -> struct(x.secret as secret, x.before as before, transform(array(x.f), f -> {probability})[0] as score))")),
     ]
 

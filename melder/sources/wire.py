@@ -147,7 +147,43 @@ def link_included(raw: DataFrame) -> DataFrame:
     return refs.join(found, ["query_id", "type", "id"])
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {"applemusic": apple, "deezer": deezer, "spotify": spotify, "musicbrainz": musicbrainz, "jiosaavn": jiosaavn}
+#: Labels of fields on pages of Korean catalogues.
+KOREAN_CREDITS = {"작사": "lyricist", "작사가": "lyricist", "작곡": "composer", "작곡가": "composer", "편곡": "arranger"}
+KOREAN = "id string, title string, artists array<struct<id: string, name: string>>, album_id string, album string, image string, duration_ms string, release_date string, isrc string, fields map<string, string>"
+
+
+def korean(raw: DataFrame, provider: str) -> DataFrame:
+    """Records read from pages: labelled fields fill genre, date and label."""
+    df = bodies(raw, KOREAN).select("query_id", F.lit(1).alias("rank"), F.col("b").alias("r"))
+    field = lambda *names: F.coalesce(*[_some(F.try_element_at("r.fields", F.lit(n))) for n in names])
+    date = F.coalesce(_some(F.col("r.release_date")), F.replace(field("발매일", "발매"), F.lit("."), F.lit("-")))
+    return _canonical(
+        df, provider, 10, native_id=_some(F.col("r.id")), title=_some(F.col("r.title")), artist=F.get("r.artists", F.lit(0))["name"], album=_some(F.col("r.album")), duration_ms=_long(F.col("r.duration_ms")), isrc=_some(F.col("r.isrc")),
+        release_date=date, explicit_status=F.lit("unknown"), label=field("기획사", "제작사"), genre=field("장르"), image_url=_some(F.col("r.image")), initial_score=F.lit(0.9),
+    )
+
+
+def korean_credits(raw: DataFrame) -> DataFrame:
+    """query_id, name, role from the labelled fields that hold comma-separated names."""
+    roles = F.create_map(*[F.lit(x) for kv in KOREAN_CREDITS.items() for x in kv])
+    f = bodies(raw, KOREAN).select("query_id", F.explode("b.fields").alias("k", "v")).withColumn("role", F.try_element_at(roles, F.col("k"))).where("role is not null")
+    return f.select("query_id", F.explode(F.split("v", ",")).alias("name"), "role").select("query_id", F.trim("name").alias("name"), "role").where("name <> ''")
+
+
+SOUNDCLOUD = "title string, author_name string, author_url string, thumbnail_url string, html string"
+
+
+def soundcloud(raw: DataFrame) -> DataFrame:
+    """A looked-up track; its native id comes from the player's frame alone. 'T by A' gives way to the
+    author's name."""
+    df = bodies(raw, SOUNDCLOUD).select("query_id", F.lit(1).alias("rank"), F.col("b").alias("r"))
+    frame = F.try_url_decode(F.regexp_extract("r.html", r"src=.([^\x22\x27]+)", 1))
+    native = _some(F.regexp_extract(frame, r"api\.soundcloud\.com/tracks/(?:soundcloud:tracks:)?([0-9]+)", 1))
+    title = F.regexp_replace(F.col("r.title"), r"\s+by\s+[^\n]*$", "")
+    return _canonical(df, "soundcloud", 1, native_id=native, title=_some(title), artist=_some(F.col("r.author_name")), image_url=F.col("r.thumbnail_url"), explicit_status=F.lit("unknown"), initial_score=F.lit(1.0))
+
+
+READERS: dict[str, Callable[..., DataFrame]] = {"applemusic": apple, "deezer": deezer, "spotify": spotify, "musicbrainz": musicbrainz, "jiosaavn": jiosaavn, "soundcloud": soundcloud}
 
 
 def read_all(raw: DataFrame) -> DataFrame:
@@ -155,6 +191,7 @@ def read_all(raw: DataFrame) -> DataFrame:
     scan for each source."""
     parts = [f(raw.where(F.col("provider") == p).select("query_id", "body")) for p, f in READERS.items()]
     parts += [catalogue(raw.where(F.col("provider") == p).select("query_id", "body"), p) for p in ("qobuz", "tidal", "amazonmusic", "pandora")]
+    parts += [korean(raw.where(F.col("provider") == p).select("query_id", "body"), p) for p in ("bugs", "genie", "melon")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -68,3 +68,17 @@ def test_json_api_links(spark):
 def test_recover(page, ok, kind, error):
     got = html.recover_one(page)
     assert (got[0], got[1], got[4]) == (ok, kind, error)
+
+
+def test_korean_fields(spark):
+    body = {"id": "3", "title": "T", "artists": [{"id": "1", "name": "A"}], "duration_ms": 5, "fields": {"장르": "발라드", "발매일": "2020.01.02", "기획사": "L", "작사": "X, Y", "작곡가": "X"}}
+    r = wire.korean(raw(spark, body), "melon").first()
+    assert (r["genre"], r["release_date"], r["label"], r["duration_ms"]) == ("발라드", "2020-01-02", "L", 5)
+    assert sorted((c["name"], c["role"]) for c in wire.korean_credits(raw(spark, body)).collect()) == [("X", "composer"), ("X", "lyricist"), ("Y", "lyricist")]
+
+
+def test_soundcloud_needs_the_players_id(spark):
+    body = {"title": "T by A", "author_name": "A", "html": '<iframe src="https://w.soundcloud.com/player/?url=https%3A%2F%2Fapi.soundcloud.com%2Ftracks%2F77&x=1"></iframe>'}
+    r = wire.soundcloud(raw(spark, body)).first()
+    assert (r["native_id"], r["title"], r["artist"]) == ("77", "T", "A")
+    assert wire.soundcloud(raw(spark, {"title": "T", "html": ""})).count() == 0

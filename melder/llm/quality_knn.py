@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from melder.llm.common import batches_of, crc32_mod
 
-SAMPLE_ROWS = 4000  # labelled rows that are learned from, at most; with RANK it bounds what is sent
+SAMPLE_ROWS = 3000  # labelled rows that are learned from, at most; with RANK it bounds what is sent
 RANK = 48
 NEIGHBOURS = 15
 SHARPNESS = 4  # power of a similarity in the vote
@@ -96,14 +96,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Term weights, the latent axes, and the labelled latent vectors."""
+    """Term weights, the latent axes, and the labelled latent vectors. x is changed in place."""
 
     def __init__(self, x: np.ndarray, labels: np.ndarray):
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float32)
-        df = (x > 0).sum(axis=0)
+        df = np.count_nonzero(x, axis=0)
         self.idf = np.log((1 + len(x)) / (1 + df)).astype(np.float32) + np.float32(0.1)
-        x = x * self.idf
+        x *= self.idf  # in place: the sample is the driver's largest array
         rank = min(RANK, *x.shape) if len(x) else 0
         if rank:
             rng = np.random.default_rng(3)
@@ -113,10 +113,12 @@ class Model:
                 y = x @ (x.T @ q)
             q, _ = np.linalg.qr(y)
             _, _, vt = np.linalg.svd(q.T @ x, full_matrices=False)
-            self.axes = np.ascontiguousarray((vt[:rank] * 1.0).T.astype(np.float32)) * self.idf[:, None]
+            latent = np.ascontiguousarray(vt[:rank].T.astype(np.float32))
+            self.vectors = _unit(x @ latent).astype(np.float32)
+            self.axes = latent * self.idf[:, None]
         else:
             self.axes = np.zeros((DIMENSIONS, 1), dtype=np.float32)
-        self.vectors = _unit((x / self.idf) @ self.axes).astype(np.float32) if len(x) else np.zeros((0, 1), dtype=np.float32)
+            self.vectors = np.zeros((0, 1), dtype=np.float32)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Similarity-weighted share of label 1 among the NEIGHBOURS; the sample's share of it for

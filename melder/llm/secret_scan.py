@@ -130,18 +130,27 @@ def _found(text: Column, path: Column, probability: str) -> list[tuple[str, Colu
     return [
         ("__t", F.coalesce(text, F.lit(""))),
         ("__p", F.coalesce(path, F.lit(""))),
-        ("__c", F.array_distinct(F.regexp_extract_all("__t", F.lit(RUN), F.lit(0)))),
-        ("__b", F.expr(f"transform(__c, c -> struct(c as secret, substr(__t, greatest(instr(__t, c) - {AROUND}, 1), least(instr(__t, c) - 1, {AROUND})) as around))")),
-        ("__x", F.expr(f"transform(__b, x -> struct(x.secret as secret, regexp_extract(x.around, r'{BEFORE}', 1) as before, regexp_extract(x.around, r'{BEFORE}', 2) as marks))")),
+        ("__r", F.regexp_extract_all("__t", F.lit(RUN), F.lit(0))),
+        # what stands before each run: the end of the run before it, and the text between them
+        ("__a", F.expr(f"zip_with(concat(array(''), __r), split(__t, r'{RUN}', -1), (r, gap) -> right(concat(r, gap), {AROUND}))")),
+        ("__b", F.expr("zip_with(__r, slice(__a, 1, size(__r)), (r, a) -> struct(r as secret, a as around))")),
+        # each distinct context once, as one text: a candidate holds no blank
+        ("__c", F.expr(f"array_distinct(transform(__b, x -> concat(x.secret, ' ', regexp_extract(x.around, r'{BEFORE}', 0))))")),
+        ("__d", F.expr("transform(__c, c -> struct(substring_index(c, ' ', 1) as secret, substr(c, instr(c, ' ') + 1) as around))")),
+        ("__x", F.expr(f"transform(__d, x -> struct(x.secret as secret, regexp_extract(x.around, r'{BEFORE}', 1) as before, regexp_extract(x.around, r'{BEFORE}', 2) as marks))")),
         ("__f", F.expr(f"transform(__x, x -> struct(x.secret as secret, x.before as before, {features('x.secret', 'x.before', 'x.marks', '__p')} as f))")),
-        ("__s", F.expr(f"transform(__f, x -> struct(x.secret as secret, x.before as before, transform(array(x.f), f -> {probability})[0] as score))")),
+        ("__y", F.expr(f"sort_array(transform(__f, (x, i) -> struct(x.secret as secret, - transform(array(x.f), f -> {probability})[0] as under, i as i, x.before as before)))")),
+        # of a candidate's contexts the one with the highest score, the first of them
+        ("__z", F.expr("filter(__y, (x, i) -> i = 0 or x.secret <> get(__y, i - 1).secret)")),
+        ("__s", F.expr("transform(sort_array(transform(__z, x -> struct(x.i as i, x as x))), y -> struct(y.x.secret as secret, y.x.before as before, - y.x.under as score))")),
     ]
 
 
 def scan(docs: DataFrame, path: str | None = None, labelled: DataFrame | None = None) -> DataFrame:
     """docs with candidates (secret, before, score; each distinct one once), findings (those with a
     score of CUT or more, with `at`, the code points before its first place) and redacted, the
-    text with every place of a finding masked.
+    text with every place of a finding masked. A candidate is scored in each distinct context in
+    which it stands; before and score are those of the highest score.
 
     path names a column that holds a document's path. Null texts have no candidates and stay
     null; an empty table gives an empty result; repeated rows each get their result. Columns of

@@ -112,6 +112,19 @@ def test_secrets(frame):
     assert out["n_chars"] == len(out["text"]) and secret_scan.MASK in out["text"]
 
 
+def test_the_context_with_the_highest_score_decides(frame):
+    key = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+    plain = [f"commit: {key}", f"zz{key}zz {key}"]
+    texts = [*plain, *[f'{x}\n then token = "{key}"' for x in plain], f'token = "{key}"\n {plain[0]}', f'secret_token_of_service = "{key}"']
+    got = {r["doc_id"]: r for r in secret_scan.scan(frame([(i, x, "app") for i, x in enumerate(texts)], "doc_id int, text string, source string"), "source").collect()}
+    assert not got[0]["findings"]
+    for i in (2, 3, 4):
+        found = {x["secret"]: x for x in got[i]["findings"]}
+        assert found[key]["before"] == "token" and key not in got[i]["redacted"], texts[i]
+        assert [x["secret"] for x in got[i]["candidates"]].count(key) == 1
+    assert [x["before"] for x in got[5]["candidates"] if x["secret"] == key] == ["secret_token_of_service"]
+
+
 def test_the_forest_learns(spark):
     rows = secret_scan.findings(spark, 2000)
     p = secret_scan.forest(rows)

@@ -1,6 +1,6 @@
 """Secret scans (operator 2), in DataFrame functions and Spark's own random forest alone.
 
-Candidates are long runs of key-like characters. Each is described by its length, its character
+Candidates are long runs of key-like characters, without a name and `=` before them. Each is described by its length, its character
 classes and the transitions between them, how much of it dictionary fragments cover, the words
 beside it and the path of its document; a random forest trained on labelled findings tells
 secrets from words, hashes, paths and placeholders. The trained trees become one SQL expression
@@ -23,7 +23,10 @@ BODY = "[A-Za-z0-9_+/=-]"
 #: The word and the marks before a candidate, and the candidate.
 RUN = f"(?<!{BODY}){BODY}{{{SHORTEST},}}"  # tried at the start of a run only
 AROUND = 48  # code points before a candidate in which its neighbouring word is looked for
-BEFORE = r"([A-Za-z][A-Za-z_-]{1,30})([\s\x22\x27:=]{1,6})$"
+#: The word and the marks; a name directly before `=` may hold digits or be one letter.
+BEFORE = r"([A-Za-z][A-Za-z_-]{1,30}|(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z0-9_-]{0,30}(?==))([\s\x22\x27:=]{1,6})$"
+#: Parts of a run between its `=`; those at its end are padding and belong to the last part.
+PART = "[^=]+(?:=+$)?"
 
 #: Word fragments of the dictionary, words that announce secrets or identifiers,
 #: beginnings of well-known keys, and words of placeholders and of paths that hold no real keys.
@@ -125,6 +128,20 @@ def forest(labelled: DataFrame) -> str:
     return "(" + " + ".join(sql(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t.rootNode()) for t in model.trees) + f") / {len(model.trees)}D"
 
 
+def _parts(run: str, around: str) -> str:
+    """SQL for the candidates (secret, around) of a run: the run itself if no `=` stands before
+    other characters of it, else its parts that are long enough, each behind the part before it
+    and `=`. A part behind a `=` that is too short by itself leaves the whole run a candidate too.
+    """
+    long = f"length(p) >= {SHORTEST}"
+    first = f"right(concat({around}, regexp_extract({run}, '^=+', 0)), {AROUND})"
+    behind = f"right(concat(get(q, i - 1), '='), {AROUND})"
+    whole = f"array(struct({run} as secret, {around} as around))"
+    parts = f"filter(transform(q, (p, i) -> struct(p as secret, if(i = 0, {first}, {behind}) as around)), y -> length(y.secret) >= {SHORTEST})"
+    short = f"not exists(q, p -> {long}) or exists(slice(q, 2, greatest(size(q) - 1, 0)), p -> not {long})"
+    return f"if({run} rlike '=[^=]', transform(array(regexp_extract_all({run}, '{PART}', 0)), q -> concat({parts}, if({short}, {whole}, slice({whole}, 1, 0))))[0], {whole})"
+
+
 def _found(text: Column, path: Column, probability: str) -> list[tuple[str, Column]]:
     """Columns to add one after the other: candidates with their surroundings, then with a score."""
     return [
@@ -134,8 +151,9 @@ def _found(text: Column, path: Column, probability: str) -> list[tuple[str, Colu
         # what stands before each run: the end of the run before it, and the text between them
         ("__a", F.expr(f"zip_with(concat(array(''), __r), split(__t, r'{RUN}', -1), (r, gap) -> right(concat(r, gap), {AROUND}))")),
         ("__b", F.expr("zip_with(__r, slice(__a, 1, size(__r)), (r, a) -> struct(r as secret, a as around))")),
+        ("__e", F.expr(f"flatten(transform(__b, x -> {_parts('x.secret', 'x.around')}))")),
         # each distinct context once, as one text: a candidate holds no blank
-        ("__c", F.expr(f"array_distinct(transform(__b, x -> concat(x.secret, ' ', regexp_extract(x.around, r'{BEFORE}', 0))))")),
+        ("__c", F.expr(f"array_distinct(transform(__e, x -> concat(x.secret, ' ', regexp_extract(x.around, r'{BEFORE}', 0))))")),
         ("__d", F.expr("transform(__c, c -> struct(substring_index(c, ' ', 1) as secret, substr(c, instr(c, ' ') + 1) as around))")),
         ("__x", F.expr(f"transform(__d, x -> struct(x.secret as secret, regexp_extract(x.around, r'{BEFORE}', 1) as before, regexp_extract(x.around, r'{BEFORE}', 2) as marks))")),
         ("__f", F.expr(f"transform(__x, x -> struct(x.secret as secret, x.before as before, {features('x.secret', 'x.before', 'x.marks', '__p')} as f))")),

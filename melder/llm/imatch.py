@@ -1,8 +1,9 @@
 """Document fingerprints by I-Match over randomised lexicon subsets (operator 4).
 
-Terms are words folded to 2**22 slots of a hash. The lexicon is the set of slots whose document
-frequency over the whole corpus lies in a band: neither near-unique nor near-universal. It is a
-bitmap of 512 KB whatever the corpus holds. A fingerprint hashes the sorted distinct lexicon
+Terms are 32-bit hashes of words. The lexicon is the set of terms whose document frequency over
+the whole corpus lies in a band: neither near-unique nor near-universal. It is sent as a sorted
+array of 4 bytes a term. Of n distinct words a share of about n / 2**32 has a hash in common with
+another one: 0.1 % of 3 million, 1 % of 45 million. A fingerprint hashes the sorted distinct lexicon
 terms of SUBSETS random lexicon subsets. How much of the lexicon a subset takes halves from
 level to level; a text uses the two levels at which a subset meets about one of its terms, so
 that likeness (the share of equal subset hashes) falls smoothly for short and for long texts.
@@ -19,9 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from melder.llm.common import batches_of, bitmap, in_bitmap
+from melder.llm.common import batches_of
 
-SLOT_BITS = 22
 SUBSETS = 64
 LOWEST_DF = 2
 HIGHEST_SHARE = 0.1  # of all documents
@@ -36,33 +36,53 @@ def _terms(text: str) -> np.ndarray:
 
 
 def _slots(terms: np.ndarray) -> np.ndarray:
-    return ((terms * _A) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    """Terms as the lexicon holds them: no two terms share a slot."""
+    return terms.astype(np.uint32)
+
+
+def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """True where the sorted lexicon holds the slot."""
+    if not len(bits):
+        return np.zeros(len(slots), dtype=bool)
+    return bits[np.minimum(np.searchsorted(bits, slots), len(bits) - 1)] == slots
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(slot, n) summed over a few million terms at a time, so rows and memory stay small."""
+    """(slot, n) summed over a few million terms at a time, so rows and memory stay small. A slot
+    is written as a signed number of 32 bits."""
+
+    def summed(parts: list[np.ndarray]) -> pd.DataFrame:
+        slot, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pd.DataFrame({"slot": slot.view(np.int32), "n": n.astype(np.int32)})
+
     parts: list[np.ndarray] = []
     held = 0
     for f in frames:
         for t in f["text"]:
             if t:
-                parts.append(np.unique(_slots(_terms(t))).astype(np.int32))
+                parts.append(_slots(_terms(t)))
                 held += len(parts[-1])
         if held > 4_000_000:
-            slot, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pd.DataFrame({"slot": slot.astype(np.int64), "n": n})
+            yield summed(parts)
             parts, held = [], 0
     if parts:
-        slot, n = np.unique(np.concatenate(parts), return_counts=True)
-        yield pd.DataFrame({"slot": slot.astype(np.int64), "n": n})
+        yield summed(parts)
+
+
+def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield pd.DataFrame({"slots": [f["slot"].to_numpy(np.int32).tobytes()]})
 
 
 def lexicon(docs: DataFrame, lowest: int = LOWEST_DF, highest: float = HIGHEST_SHARE) -> np.ndarray:
-    """Bitmap of the slots whose document frequency over all of docs(text) is in the band."""
-    batches_of(docs.sparkSession, 512)
-    df = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    """Sorted array of the slots whose document frequency over all of docs(text) is in the band."""
+    spark = docs.sparkSession
+    batches_of(spark, 512)
+    df = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_count, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
     most = max(lowest, int(highest * docs.count()))
-    return bitmap(df.where(F.col("n").between(lowest, most)).select("slot"), "slot", SLOT_BITS)
+    packed = df.where(F.col("n").between(lowest, most)).select("slot").mapInPandas(_pack, "slots binary")
+    parts = [np.frombuffer(bytes(r["slots"]), dtype=np.uint32) for r in packed.toLocalIterator()]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint32)
 
 
 def _hashes(level: int, own: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import zlib
 
 import numpy as np
 
@@ -39,6 +40,19 @@ def test_lexicon_is_the_band(frame):
     assert inside("half") and not inside("all") and not inside("rare3")
 
 
+def test_the_band_is_of_terms_not_of_hash_slots(frame):
+    places, pairs = {}, []
+    for w in (f"w{i}" for i in range(12_000)):  # pairs that fall together in 2**22 slots
+        slot = (zlib.crc32(w.encode()) * 0x9E3779B97F4A7C15 % 2**64) >> 42
+        pairs += [(places[slot], w)] if slot in places else []
+        places[slot] = w
+    (rare, once), (often, band) = pairs[:2]
+    docs = [(i, " ".join([often, *([rare] if i == 3 else []), *([once] if i == 5 else []), *([band] if i < 4 else [])])) for i in range(12)]
+    bits = imatch.lexicon(frame(docs, "doc_id long, text string"), 2, 0.5)
+    inside = [bool(imatch.in_bitmap(bits, imatch._slots(imatch._terms(w)))[0]) for w in (rare, once, often, band)]
+    assert inside == [False, False, False, True]
+
+
 def test_null_ids_repeats_and_empty(frame):
     rows = [(None, "x y z"), (3, "same words here"), (3, "same words here"), (3, "another text")]
     got = imatch.stability(frame([(*r, "c") for r in rows], "doc_id long, text string, bucket string")).collect()

@@ -7,7 +7,8 @@ Mahalanobis distance are rejected.
 The estimate runs concentration steps from two starts (medians with quartile scales, and plain
 moments) and keeps the one with the smaller determinant. A step needs no sort and no gathered
 group: rows are summed per (group, start, bin of distance), and the bins nearest the centre,
-the last of them in part, make up the share H of the group.
+the last of them in part, make up the share H of the group. Rows within a quantile of it then
+make the final estimate.
 """
 
 from __future__ import annotations
@@ -25,11 +26,9 @@ MAX_REPEAT_PERCENT = 50
 H = 0.75
 STEPS = 3
 MIN_GROUP = 60  # smaller groups are estimated together: by language, then all of them
-#: A squared distance that one clean row in 10**9 exceeds, for six normal statistics.
-CUTOFF = 54.0
 #: The vector, with the spread that is always allowed (added to the covariance's diagonal).
 STATS = ("length", "word_length", "punctuation", "symbols", "dup_lines", "repeats")
-ALLOWED = (1.5, 0.06, 0.12, 0.3, 0.7, 0.7)
+ALLOWED = (0.5, 0.06, 0.12, 0.3, 0.7, 0.7)
 D = len(STATS)
 
 
@@ -38,13 +37,23 @@ def _chi2_cdf(x: float, d: int) -> float:
     return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(d // 2))
 
 
-def _consistency(h: float, d: int) -> float:
-    """What the covariance of the central share h must be multiplied by under normality."""
+def _chi2_quantile(p: float, d: int) -> float:
     low, high = 0.0, 200.0
     for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if _chi2_cdf(mid, d) < h else (low, mid)
-    return h / _chi2_cdf(low, d + 2)
+        low, high = (mid, high) if _chi2_cdf(mid, d) < p else (low, mid)
+    return low
+
+
+def _consistency(h: float, d: int) -> float:
+    """What the covariance of the central share h must be multiplied by under normality."""
+    return h / _chi2_cdf(_chi2_quantile(h, d), d + 2)
+
+
+#: Rows within this quantile of the squared distance make the final estimate, and those beyond
+#: the cutoff's are rejected, for normal statistics.
+REWEIGHTED = 0.975
+CUTOFF = _chi2_quantile(0.999, D)
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -162,7 +171,8 @@ def estimates(rows: DataFrame) -> DataFrame:
         weight = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.ceil(H * F.col("all")) - F.col("before")) / F.col("n")))
         est = written(_whitened(sums.groupBy(*key).agg(*_moments(weight, _consistency(H, D)))), "estimates")
     best = est.groupBy("g_lang", "g_source").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    return est.join(best, key, "left_semi")
+    near = _join(rows, est.join(best, key, "left_semi")).where(_distance() <= _chi2_quantile(REWEIGHTED, D))
+    return written(_whitened(near.groupBy(*key).agg(*_sums()).groupBy(*key).agg(*_moments(F.lit(1.0), _consistency(REWEIGHTED, D)))), "estimates")
 
 
 def _groups(base: DataFrame) -> DataFrame:

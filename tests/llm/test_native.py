@@ -47,6 +47,21 @@ def test_outliers_are_rejected_and_clean_rows_kept(frame):
     assert len(got) == 540 and all(got[i]["kept"] for i, *_ in good) and not any(got[i]["kept"] for i, *_ in bad)
 
 
+def test_each_statistic_can_reject_alone(frame):
+    r = random.Random(5)
+    plain = lambda n: ["".join(r.choice("abcdefghij") for _ in range(r.randint(4, 9))) + ("." if r.random() < 0.1 else "") for _ in range(n)]
+    good = [(i, " ".join(plain(r.randint(60, 600))), "en", "a") for i in range(300)]
+    lines = "\n".join(" ".join(plain(10)) + "\nok" for _ in range(30))
+    window = plain(9)
+    windows = " ".join(w for k in range(10) for w in [*plain(11), *window])
+    both = "\n".join([*[" ".join(plain(8)) for _ in range(40)], *["ok"] * 24, " ".join(window * 10)])
+    bad = [(1000, lines, "en", "a"), (1001, windows, "en", "a"), (1002, " ".join(plain(40_000)), "en", "a"), (1003, both, "en", "a")]
+    got = {x["doc_id"]: x for x in robust_quality.judge(frame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(x["base_failed"] for x in got.values())
+    assert all(got[i]["kept"] for i, *_ in good) and [i for i, *_ in bad if got[i]["kept"]] == []
+    assert all(got[i]["distance"] < 100 for i in (1000, 1001))
+
+
 def test_quality_edges(frame):
     rows = [(None, None, None, None), (1, "short", "en", "a"), (1, "short", "en", "a"), (2, "same words " * 50, "en", "a"), (3, prose(random.Random(3), 80), "xx", "y")]
     got = sorted(((r["doc_id"] or 0, r["base_failed"], r["kept"]) for r in robust_quality.judge(frame(rows, "doc_id long, text string, lang string, source string")).collect()), key=str)

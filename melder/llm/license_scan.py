@@ -34,6 +34,31 @@ TEMPLATES = [
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
+    (
+        "apache-2",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "gpl",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    ),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
 ]
@@ -80,24 +105,26 @@ def _places(words: tuple[str, ...]) -> Column:
     return F.expr(f"case when array_contains(__w, '{words[-1]}') and size(__w) >= {len(words)} then filter(sequence(0, size(__w) - {len(words)}), i -> {test}) else cast(array() as array<int>) end")
 
 
-def _containment(t: Template, blocks: str) -> Column:
-    """The largest share of the template in a block that passes the filters; 0 without one."""
+def _blocks_found(t: Template, blocks: str) -> str:
+    """SQL for (label, word, share) of the blocks that pass the filters and hold enough of the
+    template; `blocks` are (b, word): the vocabulary's tokens in a block, and where it starts."""
     tokens, prefix = (f"array({', '.join(repr(w) for w in x)})" for x in (t.tokens, t.prefix))
     n, need = len(t.tokens), t.need
     # b: a block's tokens of the vocabulary in frequency order; both prefixes must meet
-    kept = f"filter({blocks}, b -> size(b) >= {need} and arrays_overlap(slice(b, 1, greatest(size(b) - {need} + 1, 0)), {prefix}))"
-    placed = f"filter({kept}, b -> exists(sequence(0, {len(t.prefix) - 1}), i -> array_position(b, get({prefix}, i)) > 0 and least({n} - i, size(b) - array_position(b, get({prefix}, i)) + 1) >= {need}))"
-    counts = f"transform({placed}, b -> size(array_intersect({tokens}, b)))"
-    return F.expr(f"coalesce(array_max(filter({counts}, c -> c >= {need})), 0) / {n}D")
+    kept = f"filter({blocks}, y -> size(y.b) >= {need} and arrays_overlap(slice(y.b, 1, greatest(size(y.b) - {need} + 1, 0)), {prefix}))"
+    placed = f"filter({kept}, y -> exists(sequence(0, {len(t.prefix) - 1}), i -> array_position(y.b, get({prefix}, i)) > 0 and least({n} - i, size(y.b) - array_position(y.b, get({prefix}, i)) + 1) >= {need}))"
+    counts = f"transform({placed}, y -> struct('{t.label}' as label, y.word as word, size(array_intersect({tokens}, y.b)) / {n}D as share))"
+    return f"filter({counts}, y -> y.share >= {need} / {n}D)"
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and places.
+    """docs with n_words, n_base, first_word, last_word, base_labels, labels, score, places and blocks.
 
     Words are lower-cased runs of ASCII letters and digits and of anything beyond ASCII. places
-    holds (label, word index) of each phrase. labels adds those of templates with at least
-    `threshold` of their distinct tokens in a block. score: 1 with a phrase, else the best
-    template's share, else 0. Null and empty texts have no words, no labels and score 0.
+    holds (label, word index) of each phrase, blocks (label, index of its first word, share) of
+    each block with at least `threshold` of a template's distinct tokens. A template's blocks start
+    at every stride (a power of two, as long as it at least) and are two strides long. labels adds
+    those of blocks. score: 1 with a phrase, else the best block's share, else 0. Null and empty texts have no words, no labels and score 0.
     Repeated rows each get their result. Columns of docs that carry a name of the result give
     way to it.
     """
@@ -107,7 +134,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     templates = [Template(label, words, order, threshold) for label, words in TEMPLATES]
     ordered = sorted(vocabulary, key=order.__getitem__)
 
-    made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"]
+    made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places", "blocks"]
     own = [c for c in docs.columns if c not in made]
     df = _words(docs.select(F.struct(*[docs[c] for c in own]).alias("__own"), docs["text"].alias("text"))).drop("text")
     starts = F.array(*[F.struct(F.lit(label).alias("label"), _places(words).alias("at")) for words, label in PHRASES.items()])
@@ -118,14 +145,14 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = f"array({', '.join(repr(w) for w in ordered)})"
     strides = sorted({t.stride for t in templates})
     for s in strides:
-        df = df.withColumn(f"__b{s}", F.expr(f"case when __maybe then transform(sequence(0, greatest(size(__w) - 1, 0), {s}), k -> array_intersect({known}, slice(__w, k + 1, {2 * s}))) else cast(array() as array<array<string>>) end"))
+        df = df.withColumn(f"__b{s}", F.expr(f"case when __maybe then transform(sequence(0, greatest(size(__w) - 1, 0), {s}), k -> struct(array_intersect({known}, slice(__w, k + 1, {2 * s})) as b, cast(k as bigint) as word)) else cast(array() as array<struct<b: array<string>, word: bigint>>) end"))
     df = df.drop("__w")
-    found = F.array(*[F.struct(F.lit(t.label).alias("label"), _containment(t, f"__b{t.stride}").alias("share")) for t in templates])
-    df = df.withColumn("__t", F.when(F.col("__maybe"), found))
+    found = ", ".join(_blocks_found(t, f"__b{t.stride}") for t in templates)
+    df = df.withColumn("blocks", F.expr(f"case when __maybe then flatten(array({found})) else cast(array() as array<struct<label: string, word: bigint, share: double>>) end"))
     df = df.withColumn("places", F.expr("flatten(transform(__at, p -> transform(p.at, i -> struct(p.label as label, cast(i as bigint) as word))))"))
     df = df.withColumn("__base", F.expr("array_sort(array_distinct(transform(places, p -> p.label)))"))
-    df = df.withColumn("__more", F.expr("coalesce(transform(filter(__t, x -> x.share > 0), x -> x.label), cast(array() as array<string>))"))
-    best = F.coalesce(F.expr("array_max(transform(__t, x -> x.share))"), F.lit(0.0))
+    df = df.withColumn("__more", F.expr("transform(blocks, x -> x.label)"))
+    best = F.coalesce(F.expr("array_max(transform(blocks, x -> x.share))"), F.lit(0.0))
     return df.select(
         "__own.*",
         "n_words",
@@ -136,4 +163,5 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.array_join(F.array_sort(F.array_union("__base", "__more")), ",").alias("labels"),
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(best).alias("score"),
         "places",
+        "blocks",
     )

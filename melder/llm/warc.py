@@ -77,9 +77,8 @@ class Writer:
     def __init__(self, samples: list[bytes]):
         self.out = io.BytesIO()
         self.dictionary = _train(samples)
-        if self.dictionary is not None:
-            raw = self.dictionary.as_bytes()
-            self.out.write(SKIPPABLE_MAGIC.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw)
+        raw = self.dictionary.as_bytes()
+        self.out.write(SKIPPABLE_MAGIC.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=self.dictionary)
         self.add(_header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", "0")]) + b"\r\n\r\n")
 
@@ -87,14 +86,14 @@ class Writer:
         self.out.write(self.compressor.compress(data))
 
 
-def _train(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records; None where they are too few or too alike to train one."""
-    if len(samples) < 8 or sum(map(len, samples)) < 4 * 1024:
-        return None
-    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
+def _train(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from records. Where they are too few or too alike to train one, the end of them
+    is the dictionary as it stands."""
+    total = sum(map(len, samples))
+    size = min(DICTIONARY_BYTES, max(64, total // 8))
     try:
         return zstandard.train_dictionary(size, samples, k=512, d=8)
-    except zstandard.ZstdError:
+    except (zstandard.ZstdError, ValueError):
         return zstandard.ZstdCompressionDict(b"".join(samples)[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 

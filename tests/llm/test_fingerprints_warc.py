@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 
 from melder.llm import imatch, warc
 
@@ -25,32 +26,76 @@ def test_edits_and_order(frame):
 def test_equal_texts_have_equal_fingerprints_and_likeness_falls(frame):
     base = [f"term{i}" for i in range(300)]
     docs = [(i, " ".join(base[i % 40 : 250 + i % 40])) for i in range(60)] + [(100, " ".join(base[:250])), (101, " ".join(base[:250])), (102, " ".join(f"other{i}" for i in range(250)))]
-    bits = imatch.lexicon(frame(docs, "doc_id long, text string"), 1, 1.0)
-    f = {i: imatch.fingerprint(t, bits) for i, t in docs}
+    words = imatch.lexicon(imatch.lexicon_table(frame(docs, "doc_id long, text string"), 1, 1.0))
+    f = {i: imatch.fingerprint(t, words) for i, t in docs}
     assert f[100] == f[101]
-    some = imatch.fingerprint(" ".join(base[:225] + [f"new{i}" for i in range(25)]), bits)
-    many = imatch.fingerprint(" ".join(base[:125] + [f"new{i}" for i in range(125)]), bits)
+    some = imatch.fingerprint(" ".join(base[:225] + base[275:]), words)
+    many = imatch.fingerprint(" ".join(base[:125] + base[250:]), words)
     assert 1 > imatch.likeness(f[100], some) > imatch.likeness(f[100], many) > imatch.likeness(f[100], f[102])
 
 
 def test_lexicon_is_the_band(frame):
     docs = [(i, f"all rare{i} " + ("half" if i % 2 else "")) for i in range(10)]
-    bits = imatch.lexicon(frame(docs, "doc_id long, text string"), 2, 0.5)
-    inside = lambda w: bool(imatch.in_bitmap(bits, imatch._slots(imatch._terms(w)))[0])
+    words = imatch.lexicon(imatch.lexicon_table(frame(docs, "doc_id long, text string"), 2, 0.5))
+    inside = lambda w: bool(imatch.held(words, imatch.terms(w))[0])
     assert inside("half") and not inside("all") and not inside("rare3")
 
 
-def test_the_band_is_of_terms_not_of_hash_slots(frame):
-    places, pairs = {}, []
-    for w in (f"w{i}" for i in range(12_000)):  # pairs that fall together in 2**22 slots
-        slot = (zlib.crc32(w.encode()) * 0x9E3779B97F4A7C15 % 2**64) >> 42
-        pairs += [(places[slot], w)] if slot in places else []
-        places[slot] = w
-    (rare, once), (often, band) = pairs[:2]
-    docs = [(i, " ".join([often, *([rare] if i == 3 else []), *([once] if i == 5 else []), *([band] if i < 4 else [])])) for i in range(12)]
-    bits = imatch.lexicon(frame(docs, "doc_id long, text string"), 2, 0.5)
-    inside = [bool(imatch.in_bitmap(bits, imatch._slots(imatch._terms(w)))[0]) for w in (rare, once, often, band)]
-    assert inside == [False, False, False, True]
+def _by_definition(text, words):
+    """The kept lists of the whole lexicon and of each subset, by their definition; then their likeness."""
+    kept = [t for t in sorted({zlib.crc32(w) for w in (text or "").encode().lower().split()}) if t in words]
+    draws = imatch._draws(np.array(kept, dtype=np.uint32))
+    return [tuple(kept)] + [tuple(t for t, d in zip(kept, draws[:, k], strict=True) if d < 2 ** (16 - share)) for share in imatch.SHARES for k in range(imatch.EACH)]
+
+
+def test_fingerprints_by_their_definition():
+    r = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts = [" ".join(r.choice(vocabulary, n)) for n in r.integers(1, 400, 60)]
+    texts += [t[: len(t) * 3 // 4] + " ".join(r.choice(vocabulary, 20)) for t in texts]
+    words = np.unique(np.array([zlib.crc32(w.encode()) for w in vocabulary[:700]], dtype=np.uint32))
+    inside = set(words.tolist())
+    own = [imatch.terms(t) for t in texts]
+    marks = imatch.fingerprints_of([x[imatch.held(words, x)] for x in own], own)
+    assert marks == [imatch.fingerprint(t, words) for t in texts]
+    lists = [_by_definition(t, inside) for t in texts]
+    for i in range(len(texts)):
+        if not lists[i][0]:
+            assert marks[i].startswith("=")
+            continue
+        cells = [marks[i][:16], *[marks[i][16 + 4 * k : 20 + 4 * k] for k in range(imatch.SUBSETS)]]
+        assert [c != "0000" for c in cells[1:]] == [bool(x) for x in lists[i][1:]]
+        for j in range(i):
+            if not lists[j][0]:
+                continue
+            other = [marks[j][:16], *[marks[j][16 + 4 * k : 20 + 4 * k] for k in range(imatch.SUBSETS)]]
+            same = [a == b for a, b in zip(lists[i], lists[j], strict=True)]
+            assert sum((a == b) != s for a, b, s in zip(cells, other, same, strict=True)) <= len(imatch.SHARES)  # hashes of 16 bits may meet, in nested subsets together
+            met = equal = 0.0
+            for k in range(len(imatch.SHARES)):
+                at = [m for m in range(1 + k * imatch.EACH, 1 + (k + 1) * imatch.EACH) if lists[i][m] or lists[j][m]]
+                met += len(at) * (imatch.EACH + 1 - len(at)) / imatch.EACH
+                equal += sum(same[m] for m in at) * (imatch.EACH + 1 - len(at)) / imatch.EACH
+            want = 1.0 if marks[i] == marks[j] else (equal + same[0] / imatch.EACH) / (met + 1 / imatch.EACH)
+            assert abs(imatch.likeness(marks[i], marks[j]) - want) < 0.06
+    everything = _by_definition(" ".join(vocabulary), inside)
+    for k, share in enumerate(imatch.SHARES):  # a subset keeps its share of the lexicon
+        assert np.mean([len(x) for x in everything[1 + k * imatch.EACH : 1 + (k + 1) * imatch.EACH]]) == pytest.approx(len(words) / 2**share, rel=0.6, abs=2)
+
+
+def test_a_lexicon_that_stays_a_table_gives_the_same(frame, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(int(i), " ".join(r.choice([f"w{k}" for k in range(200)], n))) for i, n in enumerate(r.integers(0, 90, 40))] + [(None, None), (None, "w1 w2"), (3, "w1")]
+    docs = frame(rows, "doc_id long, text string")
+    sent = sorted(map(tuple, imatch.stability(docs).collect()), key=str)
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", -1)
+    assert sorted(map(tuple, imatch.stability(docs).collect()), key=str) == sent and len(sent) == len(rows)
+
+
+def test_very_long_texts(frame):
+    long = " ".join(f"term{i}" for i in range(300_000))
+    got = {r["doc_id"]: r for r in imatch.stability(frame([(1, long), (2, long), (3, "x y")], "doc_id long, text string")).collect()}
+    assert got[1]["fingerprint"] == got[2]["fingerprint"] and got[1]["near_next"] == 1.0 and got[2]["near_next"] == 0.0
 
 
 def test_null_ids_repeats_and_empty(frame):
@@ -99,9 +144,13 @@ def test_archive_layout():
     assert int.from_bytes(data[8 + n : 12 + n], "little") == warc.FRAME_MAGIC
     assert list(warc.records(data))[1:] == recs
     assert len(data) - n < sum(map(len, recs)) / 8
-    small = warc.Writer(recs[:1])  # too little to train on: no dictionary, still an archive
-    small.add(recs[0])
-    assert list(warc.records(small.out.getvalue()))[1:] == recs[:1]
+    for few in (recs[:1], recs[:3], recs[:1] * 9):  # too little to train on: the records themselves are the dictionary
+        small = warc.Writer(few)
+        for r in few:
+            small.add(r)
+        data = small.out.getvalue()
+        assert int.from_bytes(data[:4], "little") == warc.SKIPPABLE_MAGIC and int.from_bytes(data[4:8], "little") >= 64
+        assert list(warc.records(data))[1:] == few
 
 
 def test_empty_table_and_unreported_archives(spark, frame, tmp_path):
@@ -112,7 +161,8 @@ def test_empty_table_and_unreported_archives(spark, frame, tmp_path):
     assert sorted(r["page_id"] for r in warc.read(spark, folder, done).collect()) == [1, 2]
 
 
-def test_signature_of_bitmap():
-    bits = np.zeros(1 << 19, dtype=np.uint8)
-    assert imatch.fingerprint("", bits) == "" and imatch.fingerprint(None, bits) == ""
-    assert imatch.fingerprint("one", bits) != ""
+def test_texts_without_lexicon_terms():
+    none = np.zeros(0, dtype=np.uint32)
+    one, other = imatch.fingerprint("one", none), imatch.fingerprint("other", none)
+    assert imatch.fingerprint("", none) == imatch.fingerprint(None, none) == ""
+    assert one.startswith("=") and one != other and imatch.likeness(one, other) == 0 and imatch.likeness(one, one) == 1

@@ -10,26 +10,53 @@ from melder.llm import language_id, minhash_dedup, quality_knn, queries
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-def test_automaton_and_phrases_by_brute_force():
+def _count(row, s):
+    """Phrases of a greedy parse by substring search."""
+    n = i = 0
+    while i < len(row):
+        k = 1
+        while i + k <= len(row) and bytes(row[i : i + k]) in s:
+            k += 1
+        i += max(1, k - 1)
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("segment, columns", [(1024, 2048), (7, 2048), (3, 5), (1, 4)])
+def test_automaton_and_phrases_by_brute_force(monkeypatch, segment, columns):
+    monkeypatch.setattr(language_id, "SEGMENT", segment)
+    monkeypatch.setattr(language_id, "COLUMNS", columns)
     r = np.random.default_rng(1)
-    text = r.integers(1, 5, 60).astype(np.uint8)
-    t = language_id.automaton(text, 6)
-    flat = np.where(t < 0, -1, t * 6).ravel().astype(np.int32)
-    s = bytes(text.tolist())
-
-    def count(row):
-        n = i = 0
-        while i < len(row):
-            k = 1
-            while i + k <= len(row) and bytes(row[i : i + k]) in s:
-                k += 1
-            i += max(1, k - 1)
-            n += 1
-        return n
-
-    rows = [r.integers(1, 6, n).astype(np.uint8) for n in (0, 1, 7, 40, 200)]
-    got = language_id.phrases(rows, flat, np.array([0], dtype=np.int32))
-    assert got[:, 0].tolist() == [count(x.tolist()) for x in rows]
+    texts = [r.integers(1, 5, 60).astype(np.uint8), r.integers(1, 4, 300).astype(np.uint8)]
+    tables = [language_id.automaton(x, 6) for x in texts]
+    start = np.array([0, tables[0].size], dtype=np.int32)
+    flat = np.concatenate([np.where(t < 0, -1, t * 6 + s).ravel() for t, s in zip(tables, start, strict=True)]).astype(np.int32)
+    rows = [r.integers(1, 6, n).astype(np.uint8) for n in (0, 1, 7, 40, 200, 1500)] + [np.tile(texts[1][:100], 12)]
+    got = language_id.phrases(rows, flat, start)
+    for j, x in enumerate(texts):
+        assert got[:, j].tolist() == [_count(row.tolist(), bytes(x.tolist())) for row in rows]
+
+
+def test_rare_letters_are_spelled():
+    made, letters = language_id.symbols("Ab가 😀 𐐀b", "ab")
+    d = lambda code, n: [language_id.DIGITS + (code >> 4 * (n - 1 - k)) % 16 for k in range(n)]
+    f = language_id.FIRST_LETTER
+    assert letters and made.tolist() == [f, f + 1, *d(ord("가"), 4), language_id.SPACE, *d(0x10428, 5), f + 1]
+
+
+def test_many_scripts(frame):
+    r = np.random.default_rng(6)
+    words = {k: ["".join(chr(r.integers(lo, hi)) for _ in range(r.integers(2, 6))) for _ in range(120)] for k, (lo, hi) in {"ko": (0xAC00, 0xB000), "zh": (0x4E00, 0x5200), "el": (0x3B1, 0x3C9), "xx": (97, 110), "yy": (105, 122)}.items()}
+    rows = [(i * 5 + j, " ".join(r.choice(w, 40)), k) for i in range(40) for j, (k, w) in enumerate(words.items())]
+    got = {x["doc_id"]: x["lang_pred"] for x in language_id.identify(frame(rows, "doc_id long, text string, lang string")).collect()}
+    assert np.mean([got[i] == k for i, _, k in rows]) > 0.99
+
+
+def test_learning_shares_symbols_over_rows():
+    rows = [np.full(n, c, dtype=np.uint8) for c, n in ((17, 10), (18, 5000), (19, 9000))]
+    got = language_id._shares(rows, 1000)
+    n = [int((got == c).sum()) for c in (17, 18, 19)]
+    assert n[0] == 10 and min(n[1:]) > 450 and len(got) <= 1003
 
 
 def test_language_held_out(spark):
@@ -85,20 +112,56 @@ def test_quality_edges(frame):
     assert quality_knn.keep_good(docs, labels).columns == ["doc_id", "text", "score"]
 
 
-def test_pipeline(spark):
+def test_quality_of_empty_tables_and_very_long_texts(frame):
+    labels = frame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = frame([(i, "fine words of a text " * 5 if i % 2 else "#### $$$$ !!!! " * 9) for i in range(40)] + [(100, "fine words of a text " * 60_000), (101, "#### $$$$ !!!! " * 60_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in quality_knn.classify(docs, labels).collect()}
+    assert (got[100], got[101]) == (1, 0)
+    assert quality_knn.classify(frame([], "doc_id long, text string"), labels).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    """run() against its stages, each by a plain rule over the one before."""
     import corpus_pipeline as cp
 
+    from melder.llm import mixing, packing, secret_scan
+
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "minhash near-dedup", "secret scans", "mixing", "best-fit packing"]
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    counts = [docs.count()]
-    for _, stage in cp.STAGES[:-1]:
-        docs = stage(spark, docs, SMALL)
-        assert docs.columns == cp.COLUMNS
-        docs = spark.createDataFrame(docs.collect(), docs.schema)
-        counts.append(docs.count())
-    assert counts[0] > counts[1] > counts[2] == counts[3]
-    out = cp.STAGES[-1][1](spark, docs, SMALL).collect()
-    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in docs.collect()}
+    given = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    odd = spark.createDataFrame([(9001, None, None, None, None), (None, "a text without an id " * 30, "en", "src0", 600), (9002, "", "en", None, 0), (9002, "some other text of that id " * 9, "en", "src0", 243)], given.schema)
+    given.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = cp.run(spark, str(tmp_path)).collect()
+
+    good = {(r["doc_id"], r["text"]) for r in quality_knn.classify(docs, labels).where("score >= 0.5").collect()}
+    rows = [r for r in docs.collect() if (r["doc_id"], r["text"]) in good]
+    sets = [set(minhash_dedup.shingle_set(r["text"], 5).tolist()) for r in rows]
+    up = list(range(len(rows)))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0))
+    for x, i in enumerate(order):  # a group keeps its smallest doc_id; rows without one stay
+        for j in order[:x]:
+            if rows[i]["doc_id"] is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = up[i], up[j]
+                up = [new if u == old else u for u in up]
+    rows = [rows[i] for i in range(len(rows)) if up[i] == i]
+    masked = {(r["doc_id"], r["text"]): r["redacted"] for r in secret_scan.scan(spark.createDataFrame(rows, given.schema), "source").collect()}
+    texts = [(r["doc_id"], masked[(r["doc_id"], r["text"])], r["source"]) for r in rows]
+    copies = mixing.mix(spark.createDataFrame(texts, "doc_id long, text string, source string")).collect()
+    words = packing.Words(queries.tokenizer())
+    want = sorted((r["doc_id"] or 0, k, zlib.crc32(part)) for r in copies for k, part in _pieces(words, r["text"]))
+    assert sorted((r["doc_id"] or 0, r["piece"], r["ids_crc32"]) for r in got) == want and len(want) > 100
+
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    labels.limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert cp.run(spark, str(empty)).count() == 0
+
+
+def _pieces(words, text):
+    ids = words._whole(text or "") + b"\0" * 4
+    return [(k, ids[at : at + 8192]) for k, at in enumerate(range(0, len(ids), 8192))]
 
 
 def test_pipeline_dedup_leaves_no_link(spark):

@@ -8,6 +8,7 @@ group wastes in its last open bins is small against the thousands of sequences i
 
 from __future__ import annotations
 
+import json
 import struct
 import unicodedata
 import zlib
@@ -42,6 +43,20 @@ _LETTERS = _byte_letters()
 _ODD = regex.compile("[\x1c-\x1f\x85\u180e\ufeff\ud800-\udfff\U00010000-\U0010ffff]")
 
 
+#: Fixed value: the normalizer that Words relies on.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+
+
+def _cuts_words(tokenizer) -> bool:
+    """Whether the tokenizer's own description says what Words relies on; if not, every text goes to it whole."""
+    told = json.loads(tokenizer.to_str())
+    before = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = [x.get("pattern", {}).get("Regex") for x in before[:1] if x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert")]
+    rest = [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in before[1:]]
+    special = all("<|" in x["content"] for x in told.get("added_tokens") or [])
+    return told.get("normalizer") == _NORMALIZER and split == [_UNIT.pattern] and rest == [("ByteLevel", False, False)] and special
+
+
 class Words:
     """Ids of whole texts through a cache of their white-space separated words.
 
@@ -57,6 +72,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
+        self.cuts = _cuts_words(self.tokenizer)
         self.known: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
@@ -92,7 +108,7 @@ class Words:
             self.known.clear()
         if len(self.units) > CACHE:
             self.units.clear()
-        split = [t.split() if self.plain(t) else None for t in texts]
+        split = [t.split() if self.cuts and self.plain(t) else None for t in texts]
         new = {w for words in split if words for w in words if w not in self.known}
         self._learn(list(new))
         get = self.known.__getitem__
@@ -124,12 +140,14 @@ def _pieces(tokenizer_path: str, length: int, with_ids: bool) -> Callable[[Itera
     return run
 
 
-def place(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def place(lengths: np.ndarray, length: int = LENGTH, spare: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item, in the order given.
 
     N[g] open bins have a gap g. An item of size s changes the sum of N[g]**2 by
-    2 (N[g - s] - N[g]) + 2 if it goes to a gap g > s, by 1 - 2 N[s] if it fills a gap of s. Ties
-    go to the smallest gap. A bin is opened only if no open one has room.
+    2 (N[g - s] - N[g]) + 2 if it goes to a gap g > s, by 1 - 2 N[s] if it fills a gap of s, by
+    2 N[length - s] + 1 if it opens a bin, by nothing if it is a bin of its own. The smallest
+    change wins; ties go to the smallest gap, an open bin before a new one. With `spare` a new
+    bin is no choice as long as an open one has room.
     """
     count = np.zeros(length + 1, dtype=np.int64)
     open_bins: list[list[int]] = [[] for _ in range(length + 1)]
@@ -146,7 +164,7 @@ def place(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
             after[here == 0] = none
             g = int(after.argmin())
             best, gap = int(after[g]), s + g
-        if best == none:
+        if best == none or not spare and 2 * count[length - s] + 1 < best:
             where[k], offset[k], left = bins, 0, length - s
             bins += 1
         else:
@@ -162,7 +180,8 @@ def _place(length: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         # Long pieces first: each starts a bin or ends one, and the short ones find many gaps.
         g = g.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        where, offset = place(g["length"].to_numpy(), length)
+        # the rule as it stands, and with bins opened sparingly: what fills fewer sequences counts
+        where, offset = min((place(g["length"].to_numpy(), length, spare) for spare in (False, True)), key=lambda x: x[0].max())
         return g.assign(sequence_id=(g["part"].to_numpy() << 32) + where, offset=offset).drop(columns="part")
 
     return run
@@ -192,10 +211,12 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
-    """sequence_id, ids, doc_ids: the packed sequences themselves, of bounded size each."""
-    placed = pack(docs, tokenizer_path, length).select("doc_id", "piece", "ids_crc32", "sequence_id", "offset").dropDuplicates(["doc_id", "piece", "ids_crc32"])
-    whole = pieces(docs, tokenizer_path, length, with_ids=True).dropDuplicates(["doc_id", "piece", "ids_crc32"])
-    on = [whole["doc_id"].eqNullSafe(placed["doc_id"]), whole["piece"] == placed["piece"], whole["ids_crc32"] == placed["ids_crc32"]]
-    both = whole.join(placed, on).select(placed["sequence_id"], placed["offset"], whole["doc_id"], whole["ids"])
+    """sequence_id, ids, doc_ids: the packed sequences themselves, of bounded size each. Repeated
+    rows are packed as often as they occur; their equal ids are made once and joined to each."""
+    key = ["doc_id", "piece", "length", "ids_crc32"]
+    placed = pack(docs, tokenizer_path, length).select(*key, "sequence_id", "offset")
+    whole = pieces(docs, tokenizer_path, length, with_ids=True).dropDuplicates(key)
+    on = [whole[k].eqNullSafe(placed[k]) for k in key]
+    both = placed.join(whole, on).select(placed["sequence_id"], placed["offset"], whole["doc_id"], whole["ids"])
     inside = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
     return both.groupBy("sequence_id").agg(inside.alias("x")).select("sequence_id", F.flatten("x.ids").alias("ids"), F.col("x.doc_id").alias("doc_ids"))

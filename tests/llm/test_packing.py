@@ -68,3 +68,58 @@ def test_place_never_overfills():
                 assert offset[k] == at
                 at += sizes[k]
             assert at <= 100
+
+
+def _least(sizes, length, spare):
+    """Each item goes where the sum of squared counts of open bins by gap is smallest, by trying all."""
+    gaps, where, offset = [], [], []
+    for x in sizes:
+        options = [g for g in range(len(gaps)) if gaps[g] >= x]
+        if not options or not spare:
+            options.append(len(gaps))
+
+        def total(b):
+            after = [*gaps, length] if b == len(gaps) else list(gaps)
+            after[b] -= x
+            open_ = [g for g in after if g]
+            return sum(open_.count(g) ** 2 for g in set(open_)), b == len(gaps), after[b]
+
+        best = min(options, key=total)
+        if best == len(gaps):
+            gaps.append(length)
+        where.append(best)
+        offset.append(length - gaps[best])
+        gaps[best] -= x
+    return where, offset, sorted(gaps)
+
+
+@pytest.mark.parametrize("spare", [False, True])
+def test_each_choice_is_the_least_sum_of_squares(spare):
+    r = random.Random(6)
+    for _ in range(40):
+        sizes = [r.randint(1, 12) for _ in range(r.randint(1, 40))]
+        where, offset = P.place(np.array(sizes, dtype=np.int64), 12, spare)
+        _, want, gaps = _least(sizes, 12, spare)
+        assert offset.tolist() == want  # bins of an equal gap are alike
+        filled = np.bincount(where, weights=sizes).astype(int)
+        assert sorted(12 - filled) == gaps
+
+
+def test_long_texts_clashing_columns_and_repeats(frame, words):
+    long = "alpha beta " * 60_000
+    texts = [(1, long), (2, "a"), (2, "a"), (2, "b"), (None, "c"), (None, "c")]
+    docs = frame([(*t, 5, 6) for t in texts], "doc_id long, text string, piece int, sequence_id int")
+    rows = P.pack(docs, tokenizer()).collect()
+    assert sum(x["length"] for x in rows if x["doc_id"] == 1) == len(words.tokenizer.encode(long, add_special_tokens=False).ids) + 1
+    assert len(rows) == 5 + sum(x["doc_id"] == 1 for x in rows)
+    got = P.sequences(docs, tokenizer()).collect()
+    assert sorted(i or 0 for x in got for i in x["doc_ids"] if i != 1) == [0, 0, 2, 2, 2]
+    assert sum(len(x["ids"]) for x in got) == sum(x["length"] for x in rows)
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    w = P.Words(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not w.cuts and P.Words(tokenizer()).cuts
+    assert w.encode(["Hello  World"]) == [w._whole("Hello  World")]

@@ -8,12 +8,16 @@ partitions and sorted by another part of it within each.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from melder.llm.common import written
+
 SEED = "mix-1"
 #: Without weights a source's share is its row count to this power: small sources gain, all stay.
 TEMPERATURE = 0.7
+BROADCAST_BYTES = 16_000_000  # of the sources' distributions; beyond it documents are joined with them by salted keys
+SALTS = 64  # parts into which a source is cut then
 
 
 def _tag(source: Column) -> Column:
@@ -41,12 +45,26 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
     return n.crossJoin(sums).select("s", F.when(F.col("all_w") > 0, wanted * F.col("w") / F.col("all_w") / F.col("n")).otherwise(F.lit(0.0)).alias("rate"))
 
 
-def _distribution(rate: str) -> Column:
-    """Cumulative Poisson probabilities from 0 on, as far as a double can tell them from 1."""
-    last = f"cast(ceil({rate} + 12 * sqrt({rate}) + 20) as int)"
-    start = f"struct(-{rate} as p, exp(-{rate}) as c, array(exp(-{rate})) as all)"
-    step = f"(a, k) -> struct(a.p + ln({rate}) - ln(cast(k as double)) as p, a.c + exp(a.p + ln({rate}) - ln(cast(k as double))) as c, concat(a.all, array(a.c + exp(a.p + ln({rate}) - ln(cast(k as double))))) as all)"
-    return F.expr(f"case when {rate} > 0 then aggregate(sequence(1, {last}), {start}, {step}, a -> a.all) else array(1D) end")
+def _distributions(rate: DataFrame) -> DataFrame:
+    """(s, cdf): cumulative Poisson probabilities from 0 on, as far as a double can tell them from 1."""
+    last = F.expr("cast(ceil(rate + 12 * sqrt(rate) + 20) as int)")
+    steps = rate.where("rate > 0").select("s", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    ahead = Window.partitionBy("s").orderBy("k")
+    p = F.exp(F.col("k") * F.log("rate") - F.col("rate") - F.sum(F.log(F.greatest("k", F.lit(1)).cast("double"))).over(ahead))
+    steps = steps.select("s", "k", p.alias("p")).withColumn("c", F.sum("p").over(ahead))
+    some = steps.groupBy("s").agg(F.expr("transform(array_sort(collect_list(struct(k, c))), x -> x.c)").alias("cdf"))
+    return some.unionByName(rate.where("not rate > 0").select("s", F.array(F.lit(1.0)).alias("cdf")))
+
+
+def _with_distribution(rows: DataFrame, cdf: DataFrame) -> DataFrame:
+    """rows with the cdf of their source: no row moves while all distributions together are small;
+    beyond that a source's rows are dealt to SALTS parts by their document."""
+    cdf = written(cdf, "distributions")
+    size = cdf.agg(F.sum(8 * F.size("cdf") + F.octet_length("s") + 64).alias("n")).first()["n"] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(cdf), "s")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    return salted.join(cdf.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["s", "salt"]).drop("salt")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: str = SEED) -> DataFrame:
@@ -57,10 +75,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     of docs named copy or mix_key give way.
     """
     own = [docs[c] for c in docs.columns if c not in ("copy", "mix_key")]
-    cdf = rates(docs.select("source"), weights, total).select("s", _distribution("rate").alias("cdf"))
+    cdf = _distributions(rates(docs.select("source"), weights, total))
     doc = F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))
     rows = docs.select(F.struct(*own).alias("row"), doc.alias("doc"), _tag(docs["source"]).alias("s"))
-    counted = rows.join(cdf, "s").withColumn("u", uniform(F.lit(seed), "doc")).withColumn("k", F.expr("size(filter(cdf, c -> c < u))"))
+    counted = _with_distribution(rows, cdf).withColumn("u", uniform(F.lit(seed), "doc")).withColumn("k", F.expr("size(filter(cdf, c -> c < u))"))
     copies = counted.where("k > 0").select("row", "doc", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "doc", F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
     return copies.select("row.*", "copy", key.alias("mix_key")).repartition("mix_key").sortWithinPartitions("mix_key")

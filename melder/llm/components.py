@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps: each vertex's larger neighbours, then its
     smaller ones, are hung below the smallest neighbour. A vertex's neighbourhood is only
-    joined with its minimum, never gathered, so a hub is split like any skewed join. Rounds are
+    joined with its minimum, never gathered; minima are written before they are joined, so that
+    adaptive execution sees two plain shuffles and may split a hub. Rounds are
     written to the shared folder; their number grows with the logarithm of the longest path.
 
     Null ends and loops are left out; repeated edges count once; no edges give an empty table.
@@ -26,9 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         if _settled(now):
             break
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
+        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         hung = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
         now = written(large.join(low, "a").select(hung.alias("e")).select("e.*").where("a <> b").distinct(), "edges")
     else:

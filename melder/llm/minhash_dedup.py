@@ -3,13 +3,14 @@
 Documents are sets of word shingles. Copies of a set are folded into one class first. Each
 class carries a MinHash signature; a path chooses coordinates of it, and classes that agree on
 all coordinates chosen so far share a node. Nodes of one class are dropped, small nodes are
-compared exhaustively, larger ones branch into one or two further coordinates, which the node's
-own hash picks. Many paths, independent of each other, are walked at once.
+compared exhaustively, larger ones branch into two further coordinates, which the node's
+own hash picks. Many paths, independent of each other, are walked at once. Nodes that are still
+large at MAX_DEPTH hold near copies for the most part: their classes are hung below the smallest.
 
 Comparisons in a node use signatures with a wide margin and yield a spanning star, never all
-pairs. What hangs together by stars is then confirmed on full shingle sets: every pair of such a
-group is intersected inside blocks of bounded size, and only confirmed links, again as stars,
-make the final components.
+pairs. What hangs together by stars is then confirmed on full shingle sets, inside blocks of
+bounded size: a search from set to set looks at those not reached yet, so that a dense group
+costs about one look at each set. Only confirmed links, again as stars, make the components.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ from melder.llm.common import batches_of, bitmap, in_bitmap, whole_groups, writt
 from melder.llm.components import components
 
 COORDINATES = 128  # of a signature, 16 bits each
-PATHS = 16  # independent paths: a pair at 0.8 survives three coordinates of one at least with 1 - 0.488 ** 16
+#: Independent paths. A pair at 0.8 keeps to three coordinates of one with 0.512, so all miss it with
+#: 0.488 ** 16 = 1e-5; where nodes branch it keeps to a path with 0.48 at least, and all miss it with 3e-5.
+PATHS = 16
 FIRST_DEPTH = 3
-MAX_DEPTH = 16
+MAX_DEPTH = 6  # nodes over LEAF branch up to here: at most 2 ** 3 rows for each of theirs
+BROADCAST_IDS = 1_000_000  # dropped ids that are sent to every task; beyond it a filter of fixed size finds the rows to join
 LEAF = 2000  # classes in a node that are compared exhaustively
 MARGIN = 5.0  # standard deviations of the signature's estimate below the threshold
 BLOCK_ITEMS = 1_500_000  # shingles in a block of a group that is confirmed in several tasks
@@ -101,17 +105,17 @@ def _roots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _branches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One or two children of each row's node; the node's hash chooses the coordinates."""
+    """Two children of each row's node; the node's hash chooses their coordinates."""
     for f in frames:
         if f.empty:
             continue
         sig = np.frombuffer(b"".join(f["sig"]), dtype=np.uint16).reshape(-1, COORDINATES)
         node, at = f["node"].to_numpy().astype(np.int64).view(np.uint64), np.arange(len(f))
-        first, second = _choice(node, 1), _choice(node, 2)
-        twice = ((_mixed(node + np.uint64(3)) & np.uint64(1)) == 1) & (first != second)
+        first = _choice(node, 1)
+        second = (first + 1 + _choice(node, 2) % (COORDINATES - 1)) % COORDINATES
         a = _mixed(_mixed(node + np.uint64(5)) * _FACTOR + sig[at, first])
-        b = _mixed(_mixed(node + np.uint64(6)) * _FACTOR + sig[at, second])[twice]
-        yield pd.DataFrame({"rep": np.concatenate([f["rep"], f["rep"][twice]]), "node": np.concatenate([a, b]).view(np.int64)})
+        b = _mixed(_mixed(node + np.uint64(6)) * _FACTOR + sig[at, second])
+        yield pd.DataFrame({"rep": np.concatenate([f["rep"], f["rep"]]), "node": np.concatenate([a, b]).view(np.int64)})
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,45 +181,60 @@ def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"slot": (_mixed(f["id"].to_numpy().astype(np.int64).view(np.uint64)) & np.uint64((1 << REP_BITS) - 1)).astype(np.int64)})
 
 
-def _confirm(percent: int):
-    """Stars over confirmed links in each block or pair of blocks.
+def _reached(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the first one (in order of size) from which confirmed links lead to it.
 
-    A set is marked in the block's own vocabulary, then counted against all later sets at once.
+    Links between sets of the same side >= 0 don't count. A search marks one set in the block's own
+    vocabulary and counts the marks in all sets of a fitting size that haven't been reached.
     """
-
-    def links(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = np.array([len(s) for s in sets])
-        order = np.argsort(size, kind="stable")
-        size, side = size[order], side[order]
-        _, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-        start = np.append(0, np.cumsum(size))
-        marked = np.zeros(int(flat.max()) + 1, dtype=bool)
-        a, b = [], []
-        for i in range(len(sets) - 1):
-            # a set with over size * 100 / percent items can't reach the threshold with this one
-            last = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
-            if last <= i + 1:
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    size, side = size[order], side[order]
+    _, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    start = np.append(0, np.cumsum(size))
+    marked = np.zeros(int(flat.max()) + 1, dtype=bool)
+    free, root = np.ones(len(sets), dtype=bool), np.arange(len(sets))
+    for first in range(len(sets)):
+        if not free[first]:
+            continue
+        free[first] = False
+        waiting = [first]
+        while waiting:
+            i = waiting.pop()
+            # a pair whose sizes differ by more can't reach the threshold
+            low = int(np.searchsorted(size, -(-size[i] * percent // 100), side="left"))
+            high = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
+            at = low + np.flatnonzero(free[low:high] & ((side[low:high] != side[i]) | (side[i] < 0)))
+            if not len(at):
                 continue
             own = flat[start[i] : start[i + 1]]
             marked[own] = True
-            both = np.add.reduceat(marked[flat[start[i + 1] : start[last]]], start[i + 1 : last] - start[i + 1], dtype=np.int64)
+            ends = np.cumsum(size[at])
+            items = np.arange(ends[-1]) + np.repeat(start[at] - np.append(0, ends[:-1]), size[at])
+            both = np.add.reduceat(marked[flat[items]], np.append(0, ends[:-1]), dtype=np.int64)
             marked[own] = False
-            hit = np.flatnonzero((100 * both >= percent * (size[i] + size[i + 1 : last] - both)) & ((side[i] != side[i + 1 : last]) | (side[i] < 0)))
-            a.append(np.full(len(hit), order[i]))
-            b.append(order[i + 1 + hit])
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, dtype=np.int64),) * 2
+            hit = at[100 * both >= percent * (size[i] + size[at] - both)]
+            free[hit], root[hit] = False, first
+            waiting.extend(hit.tolist())
+    out = np.empty(len(sets), dtype=np.int64)
+    out[order] = order[root]
+    return out
+
+
+def _confirm(percent: int):
+    """Stars over confirmed links in each block or pair of blocks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in whole_groups(frames, ["cluster", "left", "right"]):
             out_a, out_b = [], []
             for (_, left, right), g in f.groupby(["cluster", "left", "right"], sort=False):
+                if len(g) < 2:
+                    continue
                 rep = g["rep"].to_numpy()
                 sets = [np.frombuffer(x, dtype=np.uint64) for x in g["items"]]
                 # between two blocks only pairs across them count; each block has a task of its own
                 side = np.full(len(g), -1) if left == right else g["block"].to_numpy()
-                if len(sets) < 2:
-                    continue
-                root = _labels(len(g), *links(sets, side))
+                root = _reached(sets, side, percent)
                 hung = np.flatnonzero(root != np.arange(len(g)))
                 out_a.append(rep[hung])
                 out_b.append(rep[root[hung]])
@@ -224,32 +243,35 @@ def _confirm(percent: int):
     return run
 
 
-def _leaves(classes: DataFrame) -> DataFrame:
-    """(node, rep, sig) of the nodes to compare, after branching those over LEAF classes."""
+def _leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, rep) of the nodes to compare, after branching those over LEAF classes; and stars
+    (a, b) over the nodes that are over LEAF even at MAX_DEPTH, if there are any."""
     now = classes.select("rep", "sig").mapInPandas(_roots, "rep long, node long")
     parts: list[DataFrame] = []
+    large = None
     for depth in range(FIRST_DEPTH, MAX_DEPTH + 1):
         size = written(now, "nodes") if depth == FIRST_DEPTH else now
-        shared = size.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        shared = size.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
         now = written(size.join(shared, "node"), "shared")
         parts.append(now.where(F.col("n") <= LEAF).select("node", "rep"))
-        big = now.where(F.col("n") > LEAF).select("node", "rep")
+        big = now.where(F.col("n") > LEAF)
         if big.isEmpty():
             break
         if depth == MAX_DEPTH:
-            # these agree on all chosen coordinates: hung below the smallest, they are confirmed like the rest
-            parts.append(big)
+            large = big.where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
             break
-        now = written(big.join(classes.select("rep", "sig"), "rep").mapInPandas(_branches, "rep long, node long"), "nodes")
+        now = written(big.select("node", "rep").join(classes.select("rep", "sig"), "rep").mapInPandas(_branches, "rep long, node long"), "nodes")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out
+    return out, large
 
 
-def _stars(leaves: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
+def _stars(classes: DataFrame, floor: float) -> DataFrame:
+    leaves, large = _leaves(classes)
     rows = leaves.join(classes.select("rep", "sig"), "rep").repartition("node").sortWithinPartitions("node", "rep")
-    return rows.mapInPandas(_compare(floor), "a long, b long")
+    stars = rows.mapInPandas(_compare(floor), "a long, b long")
+    return stars if large is None else stars.unionAll(large)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -272,8 +294,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     t = percent / 100
     floor = max(0.0, t - MARGIN * (t * (1 - t) / COORDINATES) ** 0.5)
-    stars = _stars(_leaves(classes), classes, floor)
-    groups = written(components(stars), "groups")
+    groups = written(components(_stars(classes, floor)), "groups")
     bits = bitmap(groups.select("id").mapInPandas(_slots, "slot long"), "slot", REP_BITS)
 
     wide = groups.join(classes.select(F.col("rep").alias("id"), "n_shingles", "set_key"), "id")
@@ -300,16 +321,45 @@ def _repeats(profiles: DataFrame) -> bool:
     return not profiles.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
+def _may_hold(docs: DataFrame, ids: DataFrame) -> Column:
+    """Whether a row's doc_id may be one of ids(id): false is certain. Only doc_id goes to Python,
+    and the filter's size is fixed."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids.mapInPandas(_slots, "slot long"), "slot", REP_BITS))
+
+    @F.pandas_udf("boolean")
+    def maybe(ids: pd.Series) -> pd.Series:
+        slots = _mixed(ids.fillna(0).to_numpy().astype(np.int64).view(np.uint64)) & np.uint64((1 << REP_BITS) - 1)
+        return pd.Series(in_bitmap(bits.value, slots.astype(np.int64)))
+
+    return maybe(docs["doc_id"].cast("long"))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among ids(id). Rows that stay don't move while the ids
+    are few; beyond BROADCAST_IDS only rows that may go are shuffled."""
+    ids = written(ids, "dropped")
+    match = docs["doc_id"].cast("long") == ids["id"]
+    if ids.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), match, "left_anti")
+    maybe = F.coalesce(_may_hold(docs, ids), F.lit(False))
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(ids.hint("merge"), match, "left_anti"))
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Rows that repeat a kept doc_id are copies too, so one of them stays. Rows without doc_id
-    stay. Columns are those of docs.
+    Rows that repeat a doc_id are documents of their own here: those whose texts differ stay, of
+    those whose texts are near-duplicates one stays. Rows without doc_id stay. Columns are those
+    of docs; an empty table gives an empty result.
     """
-    found = near_duplicates(docs, width, percent)
-    ids = written(found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    key: Column = docs["doc_id"].cast("long")
-    named = docs.where(docs["doc_id"].isNotNull()).join(ids, key == ids["__kept"], "left_semi")
-    if _repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"))):
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(docs["doc_id"].isNull()))
+    if not _repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"))):
+        found = near_duplicates(docs, width, percent)
+        return _without(docs, found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("id")))
+    # ids that occur once each, in the order of doc_id
+    text = docs["text"].cast("string")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("own"), text.alias("text"), F.xxhash64(text).alias("h"))
+    rows = rows.where("own is not null").repartitionByRange("own", "h").sortWithinPartitions("own", "h", "text")
+    named = written(rows.select("row", "text", F.monotonically_increasing_id().alias("doc_id")), "named")
+    found = near_duplicates(named.select("doc_id", "text"), width, percent)
+    kept = _without(named, found.where("not kept").select(F.col("doc_id").alias("id"))).select("row.*")
+    return kept.unionByName(docs.where(docs["doc_id"].isNull()))

@@ -105,3 +105,15 @@ def score(rows: DataFrame, method: str = "full") -> DataFrame:
             "score": F.when(conflict, 0.0).when(full, 1.0).otherwise(round2(raw)),
         }
     ).drop("_qt", "_t", "_qa", "_a", "_qb", "_b", "_ts", "_as", "_bs")
+
+
+def artist_score(names: Column, wanted: Column, method: str = "full") -> Column:
+    """The best score of the wanted artist against each name and all names joined by blanks; 0.8
+    where none is wanted, null without names. With Jaro-Winkler only for a single name (a UDF can't
+    run inside an array function): explode the names before."""
+    if method != "tokens":
+        raise ValueError("explode the names and score each by composite()")
+    target = clean_artist(F.coalesce(wanted, F.lit("")))
+    every = F.concat(names, F.array(F.array_join(names, " ")))
+    best = F.array_max(F.transform(every, lambda n: token_set_ratio(target, clean_artist(n))))
+    return F.when(F.size(names) > 0, F.when(target != "", best).otherwise(F.lit(0.8)))

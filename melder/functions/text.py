@@ -74,8 +74,9 @@ def clean_artist(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Distinct lower-cased white-space separated words."""
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""))
+    """Distinct lower-cased white-space separated words. Matches are extracted: splitting would
+    compile its pattern for every row."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\S+"), F.lit(0)))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
@@ -83,18 +84,28 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
+def artist_words(c: Column) -> Column:
+    """Words of a cleaned name without joining words."""
+    words = F.regexp_extract_all(clean_artist(c), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
+    for w in ("and", "feat", "featuring", "ft"):
+        words = F.array_remove(words, w)
+    return words
+
+
+def without_article(words: Column) -> Column:
+    """Words without a leading article, unless it is all there is. Best given a column."""
+    return F.when((F.size(words) > 1) & (F.get(words, F.lit(0)) == "the"), F.slice(words, 2, 10_000)).otherwise(words)
+
+
 def artist_tokens(c: Column) -> Column:
     """Words of a cleaned name without joining words and without a leading article."""
-    words = F.filter(F.split(clean_artist(c), r"[^\p{L}\p{Nd}]+"), lambda x: ~x.isin("", "and", "feat", "featuring", "ft"))
-    # bound once: the cleaning above is a long expression
-    bare = F.transform(F.array(words), lambda w: F.when((F.size(w) > 1) & (F.get(w, F.lit(0)) == "the"), F.slice(w, 2, 10_000)).otherwise(w))
-    return F.get(bare, F.lit(0))
+    return without_article(artist_words(c))
 
 
 def contains_run(words: Column, wanted: Column) -> Column:
-    """Whether `wanted` (not empty) occurs in `words` as a contiguous run."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - F.size(wanted) + 1, F.lit(1)))
-    return (F.size(wanted) > 0) & F.exists(at, lambda i: F.slice(words, i, F.size(wanted)) == wanted)
+    """Whether `wanted` (not empty) occurs in `words` as a contiguous run; words hold no blanks."""
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    return (F.size(wanted) > 0) & spaced(words).contains(spaced(wanted))
 
 
 def qualifiers(c: Column) -> Column:
@@ -118,6 +129,12 @@ def round2(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / 100
 
 
+def clean_channel(c: Column) -> Column:
+    """A channel's name without the endings of generated channels; case counts."""
+    head = F.substring_index(c, " - Topic", 1)
+    return F.trim(F.regexp_replace(F.regexp_replace(head, " - VEVO$", ""), "VEVO$", ""))
+
+
 def clock_ms(c: Column) -> Column:
     """H:MM:SS, MM:SS or seconds to milliseconds; 0 for anything else."""
     p = F.split(c, ":")
@@ -149,7 +166,7 @@ def large_image(c: Column) -> Column:
 
 
 def escape_lucene(c: Column) -> Column:
-    return F.regexp_replace(c, r'([+\-&|!(){}\[\]^"~*?:\\/])', r"\\$1")
+    return F.regexp_replace(c, r'([+\-&|!(){}\[\]^"~*?:\\/$])', r"\\$1")
 
 
 #: Spellings of credit roles.

@@ -31,3 +31,15 @@ def biography(sections: DataFrame) -> DataFrame:
     """artist_id, biography: section texts in order, joined by a blank line."""
     texts = F.array_sort(F.collect_list(F.struct("seq", "text")))
     return sections.where("coalesce(trim(text), '') <> ''").groupBy("artist_id").agg(F.array_join(F.transform(texts, lambda x: x["text"]), "\n\n").alias("biography"))
+
+
+def listed(rows: DataFrame, limit: int = 20) -> DataFrame:
+    """The first `limit` (1 to 50) of each artist's entries with distinct ids, by seq."""
+    if not 1 <= limit <= 50:
+        raise ValueError("a limit is between 1 and 50")
+    from pyspark.sql import Window
+
+    row = F.struct(*rows.columns)
+    one = rows.where("coalesce(trim(cast(id as string)), '') <> ''").groupBy("artist_id", "id").agg(F.min_by(row, "seq").alias("r")).select("r.*")
+    n = F.row_number().over(Window.partitionBy("artist_id").orderBy("seq", "id")).cast("long")
+    return one.withColumn("place", n).where(F.col("place") <= limit)

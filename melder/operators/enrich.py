@@ -25,12 +25,20 @@ def hydrate(base: DataFrame, detail: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def editions(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """rows joined with catalogue on folded title and artist, durations within NEAR_MS where both know."""
-    fold = lambda c: F.lower(F.trim(F.regexp_replace(F.col(c), r"\s+", " ")))
-    a = rows.withColumns({"_t": fold("title"), "_a": fold("artist")})
-    b = catalogue.select(fold("title").alias("_t"), fold("artist").alias("_a"), "edition_id", F.col("duration_ms").alias("edition_ms"))
-    near = F.coalesce(F.abs(F.col("duration_ms") - F.col("edition_ms")) <= NEAR_MS, F.lit(True))
-    return a.join(b, ["_t", "_a"]).where(near).drop("_t", "_a")
+    """rows joined with catalogue on folded title, artist and (where both have the column) album, and
+    durations within NEAR_MS where both know. Durations are cut into bands of NEAR_MS, and a row
+    meets its own and both neighbouring bands alone, so that a hot title isn't joined with itself."""
+    fold = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " ")))
+    key = ["title", "artist", *(["album"] if "album" in rows.columns and "album" in catalogue.columns else [])]
+    band = F.floor(F.col("duration_ms") / NEAR_MS)
+    bands = F.when(band.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(band - 1, band, band + 1))
+    a = rows.withColumns({f"_{c}": fold(c) for c in key})
+    b = catalogue.select(*[fold(c).alias(f"_{c}") for c in key], "edition_id", F.col("duration_ms").alias("edition_ms"), band.alias("_band"))
+    on = [f"_{c}" for c in key]
+    near = F.abs(F.col("duration_ms") - F.col("edition_ms")) <= NEAR_MS
+    timed = a.where("duration_ms is not null").withColumn("_band", F.explode(bands)).join(b.where("edition_ms is not null"), [*on, "_band"]).where(near).drop("_band")
+    free = a.where("duration_ms is null").join(b.drop("_band"), on).unionByName(a.where("duration_ms is not null").join(b.where("edition_ms is null").drop("_band"), on))
+    return timed.unionByName(free).drop(*on)
 
 
 def video_points(videos: DataFrame, points: DataFrame, most: int = 100) -> DataFrame:

@@ -136,3 +136,80 @@ def comparison(rows: DataFrame, fields: list[str]) -> DataFrame:
     values = long_form(rows, fields)
     out = values.groupBy("query_id", "field").agg(F.countDistinct("provider").alias("n_sources"), F.countDistinct("value").alias("n_values"))
     return out.where("n_sources >= 2").withColumn("different", F.col("n_values") > 1)
+
+
+def _names(artists: Column) -> Column:
+    """Names of an artist list, lower-cased, their white space reduced to single blanks."""
+    return F.transform(artists, lambda a: F.lower(F.trim(F.regexp_replace(a, r"\s+", " "))))
+
+
+def artist_votes(rows: DataFrame) -> DataFrame:
+    """rows(query_id, provider, artists array<string>, ...) with vote: the sorted names as JSON.
+
+    A single display text votes for a list of several artists if it is how exactly one such list of
+    the same query is written: with ` & `, `, ` or ` and ` between all, or commas and ` & ` or ` and `
+    before the last. Lists are joined by their spellings, so a query's rows never meet in pairs.
+    """
+    key = F.to_json(F.array_sort(_names(F.col("artists"))))
+    named = rows.withColumns({"_n": _names(F.col("artists")), "_k": key})
+    head = lambda n: F.array_join(F.slice(n, 1, F.size(n) - 1), ", ")
+    n = F.col("_n")
+    spelled = F.array(*[F.array_join(n, x) for x in (" & ", ", ", " and ")])
+    listed = F.when(F.size(n) > 2, F.array(*[F.concat(head(n), F.lit(x), F.element_at(n, -1)) for x in (" & ", " and ")])).otherwise(F.array().cast("array<string>"))
+    lists = named.where(F.size("_n") > 1).select("query_id", F.explode(F.concat(spelled, listed)).alias("_display"), "_k")
+    one = lists.groupBy("query_id", "_display").agg(F.min("_k").alias("_one"), F.max("_k").alias("_other")).where("_one = _other").drop("_other")
+    out = named.withColumn("_display", F.when(F.size("_n") == 1, F.element_at("_n", 1))).join(one, ["query_id", "_display"], "left")
+    return out.withColumn("vote", F.coalesce("_one", "_k")).drop("_n", "_k", "_display", "_one")
+
+
+def longest_artists(voted: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """query_id, vote, artists, provider, n_votes of artist_votes(): the key with most votes (then the
+    source's place in the order, the score, the name) and the longest list within it, the earlier
+    source's on ties."""
+    rank = priority(F.col("provider"), order or TITLE)
+    first = F.struct(rank.alias("r"), (-F.col("score")).alias("s"), "provider")
+    long = F.struct((-F.size("artists")).alias("n"), first.alias("f"), "artists")
+    keys = voted.where(F.size("artists") > 0).groupBy("query_id", "vote").agg(F.count("*").alias("n_votes"), F.min(first).alias("best"), F.min(long).alias("long"))
+    won = keys.groupBy("query_id").agg(F.min(F.struct((-F.col("n_votes")).alias("n"), "best", "vote", "long")).alias("w"))
+    return won.select("query_id", "w.vote", F.col("w.long.artists").alias("artists"), F.col("w.long.f.provider").alias("provider"), (-F.col("w.n")).alias("n_votes"))
+
+
+def artist_ids(selected: DataFrame, voted: DataFrame) -> DataFrame:
+    """(query_id, place, name, provider, id): the ids that sources of the same vote give for the
+    selected artists, matched by name without case; the first row of a source that has one counts.
+
+    selected is longest_artists(), voted artist_votes() with artist_ids, a list beside artists.
+    """
+    fold = lambda c: F.lower(F.trim(c))
+    mine = selected.select("query_id", "vote", F.posexplode("artists").alias("place", "name")).withColumn("k", fold("name"))
+    others = voted.select("query_id", "vote", F.col("provider").alias("source"), "rank", F.posexplode(F.arrays_zip("artists", "artist_ids")).alias("at", "e"))
+    others = others.select("query_id", "vote", "source", "rank", "at", fold("e.artists").alias("k"), F.col("e.artist_ids").alias("id")).where("coalesce(id, '') <> ''")
+    found = mine.join(others, ["query_id", "vote", "k"])
+    return found.groupBy("query_id", "place", "name", F.col("source").alias("provider")).agg(F.min_by("id", F.struct("rank", "at")).alias("id"))
+
+
+def copyrights_union(rows: DataFrame) -> DataFrame:
+    """query_id, copyrights (type, text): once each, sorted by both joined."""
+    one = rows.where("coalesce(text, '') <> ''").groupBy("query_id", "type", "text").agg(F.count("*").alias("n"))
+    entry = F.struct(F.concat(F.coalesce("type", F.lit("")), "text").alias("k"), "type", "text")
+    return one.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("e")).select("query_id", F.transform("e", lambda e: F.struct(e["type"].alias("type"), e["text"].alias("text"))).alias("copyrights"))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """query_id, play_count (the largest), sources (sorted), ids (each source's own keys), match_score
+    and the source of the highest score, the first (by score, then provider, then rank) on ties."""
+    from melder.operators.links import owned_ids
+
+    own = F.map_entries(owned_ids(F.lower("provider"), F.col("ids")))
+    pairs = rows.select("query_id", F.explode(own).alias("e"), "provider", "rank").groupBy("query_id", F.col("e.key").alias("key")).agg(F.max_by("e.value", F.struct("provider", "rank")).alias("value"))
+    ids = pairs.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("ids"))
+    top = F.struct((-F.col("score")).alias("s"), "provider", "rank")
+    out = rows.groupBy("query_id").agg(F.max("play_count").alias("play_count"), F.array_sort(F.collect_set("provider")).alias("sources"), F.max("score").alias("match_score"), F.min(top)["provider"].alias("top_source"))
+    return out.join(ids, "query_id", "left")
+
+
+def best_image(images: DataFrame) -> DataFrame:
+    """query_id, url of images(query_id, url, type, width, height, seq): a thumbnail before any other,
+    then the largest area, then the first."""
+    order = F.struct(F.when(F.col("type") == "thumbnail", 0).otherwise(1).alias("t"), (-(F.col("width").cast("long") * F.col("height"))).alias("a"), "seq")
+    return images.where("coalesce(url, '') <> ''").groupBy("query_id").agg(F.min_by("url", order).alias("url"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from melder.functions.similarity import jaro_winkler
-from melder.functions.text import FEATURED, artist_tokens, clean_title, contains_run, qualifiers, same_markers, token_set_ratio
+from melder.functions.text import FEATURED, artist_tokens, artist_words, clean_title, contains_run, qualifiers, same_markers, token_set_ratio, without_article
 
 # Thresholds.
 REJECT, REPORT, ARTIST, COMPONENT, TITLE = 0.40, 0.30, 0.45, 0.72, 0.72
@@ -30,19 +30,21 @@ def gate(rows: DataFrame, spelling: bool = True) -> DataFrame:
     if X is the title and Y is among the artists.
     """
     empty = F.lit("")
-    # what several conditions use is computed once, in a projection of its own
+    # what several conditions use is computed once, in a projection of its own; what few rows need
+    # stands behind a condition
     rows = rows.withColumns(
         {
-            "_want": artist_tokens(F.coalesce("q_artist", empty)), "_have": artist_tokens(F.coalesce("artist", empty)),
-            "_base": F.regexp_extract(F.coalesce("q_title", empty), FEATURED, 1), "_guest": artist_tokens(F.regexp_extract(F.coalesce("q_title", empty), FEATURED, 2)),
+            "_want": artist_words(F.coalesce("q_artist", empty)), "_have": artist_words(F.coalesce("artist", empty)), "_base": F.trim(F.regexp_extract(F.coalesce("q_title", empty), FEATURED, 1)),
             "_vq": qualifiers(F.coalesce("q_title", empty)), "_vt": qualifiers(F.coalesce("title", empty)),
         }
     )
+    rows = rows.withColumns({"_want": without_article(F.col("_want")), "_have": without_article(F.col("_have"))})
+    guest = artist_tokens(F.regexp_extract(F.coalesce("q_title", empty), FEATURED, 2))
     rows = rows.withColumns(
         {
             "_evidence": evidence(F.col("_have"), F.col("_want"), spelling),
-            "_featured": (F.trim("_base") != "") & (clean_title(F.col("_base")) == clean_title(F.col("title"))) & contains_run(F.col("_have"), F.col("_guest")),
-            "_version": same_markers(F.col("_vq"), F.col("_vt")),
+            "_featured": F.when(F.col("_base") != "", (clean_title(F.col("_base")) == clean_title(F.col("title"))) & contains_run(F.col("_have"), guest)).otherwise(False),
+            "_version": F.when((F.col("_vq") == "") & (F.col("_vt") == ""), True).otherwise(same_markers(F.col("_vq"), F.col("_vt"))),
         }
     )
     text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
@@ -54,7 +56,7 @@ def gate(rows: DataFrame, spelling: bool = True) -> DataFrame:
     parts = F.coalesce((F.col("title_score") >= COMPONENT) & (F.col("artist_score") >= COMPONENT), F.lit(False))
     identity_ok = F.when(text("q_isrc"), F.coalesce(same, F.lit(False))).when(F.coalesce(F.col("direct"), F.lit(False)), True).when(~F.col("_version") | ~title_ok, False).when(~q_direct, True).otherwise(parts)
     rows = rows.withColumns({"artist_ok": artist_ok, "identity_ok": identity_ok})
-    return rows.withColumn("accepted", (F.col("score") >= REJECT) & F.col("artist_ok") & F.col("identity_ok")).drop("_want", "_have", "_base", "_guest", "_vq", "_vt", "_evidence", "_featured", "_version")
+    return rows.withColumn("accepted", (F.col("score") >= REJECT) & F.col("artist_ok") & F.col("identity_ok")).drop("_want", "_have", "_base", "_vq", "_vt", "_evidence", "_featured", "_version")
 
 
 def source_status(rows: DataFrame) -> DataFrame:

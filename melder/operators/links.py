@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The sources that links exist for.
 PLATFORMS = ["bugs", "genie", "melon", "amazonmusic", "applemusic", "deezer", "jiosaavn", "musicbrainz", "pandora", "qobuz", "soundcloud", "spotify", "tidal", "ytmusic"]
-UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+UUID = r"[a-fA-F0-9]{8}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{12}"
 # What an id must look like, the link it makes, and what kind of id it is.
 GRAMMAR = {
     "bugs": (r"^[0-9]+$", "https://music.bugs.co.kr/track/{id}", "track_id"),
@@ -19,12 +19,14 @@ GRAMMAR = {
     "deezer": (r"^[0-9]+$", "https://www.deezer.com/track/{id}", "track_id"),
     "tidal": (r"^[0-9]+$", "https://tidal.com/track/{id}", "track_id"),
     "qobuz": (r"^[0-9]+$", "https://open.qobuz.com/track/{id}", "track_id"),
-    "amazonmusic": (r"^[A-Z0-9]{10}$", "https://music.amazon.com/?trackAsin={id}", "asin"),
+    "amazonmusic": (r"^[A-Za-z0-9_-]+$", "https://music.amazon.com/?trackAsin={id}", "track_id"),
     "soundcloud": (r"^[A-Za-z0-9_-]+/[A-Za-z0-9_-]+$", "https://soundcloud.com/{id}", "permalink"),
     "musicbrainz": (f"^{UUID}$", "https://musicbrainz.org/recording/{id}", "recording_mbid"),
-    "pandora": (r"^(TR:[0-9]+|TR[A-Za-z0-9]{13}|[0-9]+)$", None, "music_token"),
+    "pandora": (r"^(TR:[0-9]+|TR[A-Za-z0-9]{13}|[0-9]+)$", None, "track_id"),
     "jiosaavn": (r"^[A-Za-z0-9_-]+$", None, "song_token"),
 }
+# Ids of these shapes are of another kind; only an Amazon id of its shape makes a link.
+SHAPED = {"amazonmusic": (r"^[A-Z0-9]{10}$", "asin"), "pandora": (r"^TR", "music_token")}
 # Query parameters that only track.
 TRACKING = ["uo", "at", "ct", "app", "si"]
 
@@ -76,20 +78,79 @@ def recognise(url: Column) -> Column:
     return F.when(sound, out)
 
 
+def owned_url(provider: Column, id_: Column, url: Column) -> Column:
+    """The URL without tracking parameters if it is a track page of the provider that carries this
+    very id; else null. Other parameters than the one that holds the id aren't allowed."""
+    clean = without_tracking(url)
+    p = parts(clean)
+    host, path, query = p["host"], F.trim(F.coalesce(p["path"], F.lit("")), F.lit("/")), F.coalesce(p["query"], F.lit(""))
+    last = F.element_at(F.split(path, "/"), -1)
+    before = F.try_element_at(F.split(path, "/"), F.lit(-2))
+    bare = query == ""
+    only = lambda k: query == F.concat(F.lit(f"{k}="), id_)
+    track = path == F.concat(F.lit("track/"), id_)
+    rules = {
+        "bugs": (host == "music.bugs.co.kr") & track & bare,
+        "genie": (host == "www.genie.co.kr") & (path == "detail/songInfo") & only("xgnm"),
+        "melon": (host == "www.melon.com") & (path == "song/detail.htm") & only("songId"),
+        "spotify": (host == "open.spotify.com") & track & bare,
+        "ytmusic": (host == "music.youtube.com") & (path == "watch") & only("v"),
+        "applemusic": (host == "music.apple.com") & F.when(F.concat(F.lit("/"), path, F.lit("/")).contains("/album/"), only("i")).otherwise(F.concat(F.lit("/"), path, F.lit("/")).contains("/song/") & (last == id_) & (bare | only("i"))),
+        "deezer": host.isin("www.deezer.com", "deezer.com") & F.coalesce(before == "track", F.lit(False)) & (last == id_) & bare,
+        "qobuz": host.isin("open.qobuz.com", "play.qobuz.com") & track & bare,
+        "tidal": host.isin("tidal.com", "listen.tidal.com") & (track | (path == F.concat(F.lit("browse/track/"), id_))) & bare,
+        "amazonmusic": (host == "music.amazon.com") & (((path == F.concat(F.lit("tracks/"), id_)) & bare) | (((path == "") | path.startswith("albums/")) & only("trackAsin"))),
+        "pandora": (host == "www.pandora.com") & (last == id_) & bare,
+        "soundcloud": (host == "soundcloud.com") & (path == id_) & bare,
+        "jiosaavn": host.isin("www.jiosaavn.com", "jiosaavn.com") & path.rlike("^song/[^/]*/[^/]*$") & (last == id_) & bare,
+        "musicbrainz": (host == "musicbrainz.org") & (path == F.concat(F.lit("recording/"), id_)) & bare,
+    }
+    plain = url.rlike(r"^https://[^/?#@:]+(?:[/?]|$)") & ~url.contains("#")
+    out = F.lit(False)
+    for name, rule in rules.items():
+        out = F.when(provider == name, rule).otherwise(out)
+    return F.when(plain & F.coalesce(out, F.lit(False)), clean)
+
+
 def build(ids: DataFrame) -> DataFrame:
-    """query_id, platform, id, id_type, url of ids(query_id, platform, id): ids that don't fit their
-    platform's grammar are left out; ytmusic brings its youtube twin."""
+    """query_id, platform, id, id_type, lookup_id, url, url_source of ids(query_id, platform, id) with
+    optional provider_url and native_id: ids that don't fit their platform's grammar are left out.
+    A URL of the provider that carries the id goes before the template's; a native id takes the
+    place of a permalink or token, which becomes lookup_id; ytmusic brings its youtube twin."""
+    i = F.trim("id")
     ok, url, kind = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string")
     for p, (pattern, template, id_type) in GRAMMAR.items():
         mine = F.col("platform") == p
-        ok = F.when(mine, F.col("id").rlike(pattern)).otherwise(ok)
-        url = F.when(mine, F.replace(F.lit(template), F.lit("{id}"), F.col("id")) if template else F.lit(None).cast("string")).otherwise(url)
-        kind = F.when(mine, F.lit(id_type)).otherwise(kind)
-    own = ids.where(ok).select("query_id", "platform", "id", kind.alias("id_type"), url.alias("url"))
-    twin = own.where("platform = 'ytmusic'").select("query_id", F.lit("youtube").alias("platform"), "id", "id_type", F.concat(F.lit("https://www.youtube.com/watch?v="), "id").alias("url"))
+        shape, shaped = SHAPED.get(p, (None, None))
+        made = F.replace(F.lit(template), F.lit("{id}"), i) if template else F.lit(None).cast("string")
+        ok = F.when(mine, i.rlike(pattern)).otherwise(ok)
+        url = F.when(mine, F.when(i.rlike(shape), made) if shape and template else made).otherwise(url)
+        kind = F.when(mine, F.when(i.rlike(shape), shaped).otherwise(id_type) if shape else F.lit(id_type)).otherwise(kind)
+    none = F.lit(None).cast("string")
+    given = owned_url(F.col("platform"), i, F.col("provider_url")) if "provider_url" in ids.columns else none
+    native = F.col("native_id") if "native_id" in ids.columns else none
+    swap = F.coalesce(F.col("platform").isin("soundcloud", "jiosaavn") & native.rlike(r"^[A-Za-z0-9_-]+$") & ((F.col("platform") != "soundcloud") | native.rlike(r"^[0-9]+$")), F.lit(False))
+    own = ids.where(ok).select(
+        "query_id", "platform", F.when(swap, native).otherwise(i).alias("id"), F.when(swap, "track_id").otherwise(kind).alias("id_type"), F.when(swap, i).alias("lookup_id"),
+        F.coalesce(given, url).alias("url"), F.when(given.isNotNull(), "provider").when(url.isNotNull(), "id_template").alias("url_source"),
+    )
+    twin = own.where("platform = 'ytmusic'").select("query_id", F.lit("youtube").alias("platform"), "id", "id_type", "lookup_id", F.concat(F.lit("https://www.youtube.com/watch?v="), "id").alias("url"), F.lit("id_template").alias("url_source"))
     return own.unionByName(twin)
 
 
+def loose_id(provider: str, text: Column) -> Column:
+    """The id inside a link of any form, cut out by its surroundings; text without them is the id."""
+    t = F.trim(text)
+    after = lambda mark: F.trim(F.element_at(F.split(F.element_at(F.split(t, mark), 2), r"\?"), 1), F.lit("/"))
+    if provider == "spotify":
+        return F.when(t.contains("spotify.com/track/"), after("spotify.com/track/")).otherwise(t)
+    if provider == "youtube":
+        return F.when(t.contains("youtu.be/"), after("youtu[.]be/")).when(t.contains("v="), F.element_at(F.split(F.element_at(F.split(t, "v="), 2), "&"), 1)).otherwise(t)
+    if provider == "soundcloud":
+        return F.when(t.contains("soundcloud.com/"), after("soundcloud[.]com/")).otherwise(F.regexp_replace(t, "^/", ""))
+    raise ValueError(f"no rule for {provider}")
+
+
 def unavailable(built: DataFrame) -> DataFrame:
     """query_id, platforms: those without a link, sorted."""
     have = built.groupBy("query_id").agg(F.collect_set("platform").alias("have"))

@@ -14,10 +14,10 @@ from melder.functions.text import RELATIONSHIPS, ROLES
 
 DEPTH = 4
 # Roles in which a relationship to an artist is a credit.
-CREDIT_ROLES = {
-    "arranger", "audio", "balance", "chorus master", "composer", "concertmaster", "conductor", "editor", "engineer", "instrument", "instrument arranger", "librettist", "lyricist", "mastering", "mix", "orchestrator", "performer", "performing orchestra",
-    "producer", "programming", "recording", "remixer", "sound", "translator", "vocal", "vocal arranger", "writer",
-}
+CREDIT_ROLES = [
+    "composer", "lyricist", "writer", "librettist", "producer", "co-producer", "executive producer", "engineer", "audio", "sound", "mix", "mastering", "recording", "balance", "programming", "editor", "performer", "instrument", "vocal", "arranger",
+    "instrument arranger", "vocal arranger", "orchestrator", "conductor", "chorus master", "concertmaster", "remixer", "translator", "artwork", "design", "photography", "graphic design", "illustration", "liner notes",
+]
 RELATED = {"artist": "artist", "recording": "recording", "release": "release", "release-group": "release_group", "work": "work", "label": "label"}
 SCHEMA = "root string, truncated boolean, nodes array<struct<id: string, type: string, name: string>>, edges array<struct<source: string, target: string, type: string, role: string>>"
 

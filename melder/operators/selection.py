@@ -67,3 +67,31 @@ def anchored_durations(rows: DataFrame) -> DataFrame:
     others = rows.where("not coalesce(direct, false) and duration_ms > 0").join(seeds, "query_id")
     far = F.expr("abs(duration_ms - seed) > greatest(10000L, cast(floor(seed / 20) as bigint))")
     return others.groupBy("query_id", F.lower("provider").alias("provider")).agg(F.bool_or(far).alias("rejected"))
+
+
+def trusted(rows: DataFrame) -> DataFrame:
+    """rows(query_id, provider, native_id, isrc, q_isrc, q_provider, q_id) with trusted and reason.
+
+    Asked by id: the source's own row with that very id, compared with case; asked by ISRC: rows with
+    the same one; else every row. An accepted row that isn't trusted is `unverified_candidate`."""
+    by_id = F.coalesce(F.trim("q_provider"), F.lit("")) != ""
+    by_isrc = F.coalesce(F.trim("q_isrc"), F.lit("")) != ""
+    own = F.coalesce((F.lower("provider") == F.lower("q_provider")) & (F.col("native_id") == F.col("q_id")), F.lit(False))
+    same = F.coalesce(F.upper(F.trim("isrc")) == F.upper(F.trim("q_isrc")), F.lit(False))
+    out = rows.withColumn("trusted", F.when(by_id, own).when(by_isrc, same).otherwise(True))
+    return out.withColumn("reason", F.when(F.col("accepted") & ~F.col("trusted"), "unverified_candidate"))
+
+
+def asked_sources(requests: DataFrame, sources: list[str]) -> DataFrame:
+    """(query_id, provider): the sources asked first. A request by id that has neither title nor ISRC
+    asks the id's own source alone."""
+    given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    alone = given("q_provider") & ~given("q_title") & ~given("q_isrc")
+    every = requests.withColumn("provider", F.explode(F.array(*[F.lit(s) for s in sources])))
+    return every.where(~alone | (F.col("provider") == F.lower("q_provider"))).select("query_id", "provider")
+
+
+def first_matches(matches: DataFrame) -> DataFrame:
+    """The first (by seq) of each query's identity matches with the same source and id."""
+    row = F.struct(*matches.columns)
+    return matches.groupBy("query_id", "provider", "id").agg(F.min_by(row, "seq").alias("m")).select("m.*")

@@ -59,10 +59,47 @@ def states(health: DataFrame) -> DataFrame:
     return health.groupBy("state").agg(F.count("*").alias("n"))
 
 
-def signature(health: DataFrame) -> DataFrame:
-    """One row: source=state of all sources, sorted and joined; part of cache keys."""
-    pair = F.concat_ws("=", F.col("source").cast("string"), "state")
-    return health.agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias("signature"))
+def signature(health: DataFrame, now: float | None = None) -> DataFrame:
+    """One row: name:state:mode of all sources of health(source, state) with optional mode, retry_at
+    and probing, sorted by name; part of cache keys. A suspended source whose time has come is
+    retry_ready, or probing while one call tries it."""
+    state = F.col("state")
+    if now is not None and "retry_at" in health.columns:
+        due = (state == "suspended") & (F.col("retry_at") <= now)
+        busy = F.coalesce(F.col("probing"), F.lit(False)) if "probing" in health.columns else F.lit(False)
+        state = F.when(due & busy, "probing").when(due, "retry_ready").otherwise(state)
+    mode = F.coalesce(F.col("mode"), F.lit("")) if "mode" in health.columns else F.lit("")
+    name = F.col("source").cast("string")
+    rows = health.select(F.struct(name.alias("n"), F.concat_ws(":", name, state, mode).alias("x")).alias("e"))
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]), "|").alias("signature"))
+
+
+# Calls a second and burst of each source.
+LIMITS = {
+    "musicbrainz": (1, 1), "deezer": (50, 10), "applemusic": (1 / 3, 1), "applemusic_catalog": (5, 1), "coverartarchive": (3, 1), "sponsorblock": (2, 1), "lastfm": (3, 1), "discogs": (1, 1), "acoustid": (3, 1), "ytmusic": (20, 5),
+    "spotify": (10, 3), "soundcloud": (10, 3), "jiosaavn": (5, 2), "qobuz": (5, 2), "tidal": (10, 3), "amazonmusic": (5, 2), "pandora": (5, 2), "bugs": (1, 1), "genie": (1, 1), "melon": (1, 1),
+}
+
+
+def admitted(calls: DataFrame, rate: float, burst: int) -> DataFrame:
+    """calls(key, at, seq) with allowed: a token bucket for each key that holds `burst` tokens and gains
+    `rate` a second. The fold needs a key's calls in order; keys are dealt to all tasks."""
+
+    def run(frames):
+        key = tokens = last = None
+        for f in frames:
+            out = []
+            for k, at in zip(f["key"], f["at"], strict=True):
+                if k != key:
+                    key, tokens, last = k, float(burst), at
+                tokens, last = min(float(burst), tokens + (at - last) * rate), at
+                out.append(tokens >= 1)
+                tokens -= out[-1]
+            yield f.assign(allowed=out)
+
+    rows = calls.select("key", F.col("at").cast("double").alias("at"), "seq").repartition("key").sortWithinPartitions("key", "at", "seq")
+    kinds = dict(calls.dtypes)
+    return rows.mapInPandas(run, f"key {kinds['key']}, at double, seq {kinds['seq']}, allowed boolean")
 
 
 def cache_read(cache: DataFrame, now: float) -> DataFrame:

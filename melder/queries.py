@@ -261,7 +261,7 @@ def genres_union(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT query_id, url, width, height, row_number() OVER (PARTITION BY query_id ORDER BY width * height DESC, url) AS place FROM
 (SELECT query_id, image_url AS url, arg_max(width, provider) AS width, arg_max(height, provider) AS height FROM {_B} b GROUP BY 1, 2) x""")
 def images_union(spark: SparkSession, sf: str) -> DataFrame:
-    """A17, W10."""
+    """A17."""
     return fusion.images_union(_best(spark, sf).withColumnRenamed("image_url", "url"))
 
 
@@ -309,31 +309,45 @@ def completeness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT query_id, provider, CASE WHEN direct THEN 'direct_id' WHEN isrc IS NOT NULL AND upper(isrc) = upper(q_isrc) THEN 'isrc' WHEN duration_ms > 0 THEN 'title_artist_duration' ELSE 'exact_title_artist' END AS method FROM {_B} b")
 def identity_method(spark: SparkSession, sf: str) -> DataFrame:
-    """F17, A23."""
+    """F17."""
     same = F.coalesce(F.upper("isrc") == F.upper("q_isrc"), F.lit(False))
     return _best(spark, sf).select("query_id", "provider", identity.identity_method(F.col("direct"), same, F.col("duration_ms")).alias("method"))
 
 
-_TEMPLATE = "CASE platform " + " ".join(f"WHEN '{p}' THEN {'NULL' if t is None else chr(39) + t + chr(39)}" for p, (_, t, _) in links.GRAMMAR.items()) + " END"
-_KIND = "CASE platform " + " ".join(f"WHEN '{p}' THEN '{k}'" for p, (_, _, k) in links.GRAMMAR.items()) + " END"
-_FITS = "CASE platform " + " ".join(f"WHEN '{p}' THEN regexp_matches(id, '{g}')" for p, (g, _, _) in links.GRAMMAR.items()) + " END"
-_IDS = f"(SELECT query_id, provider AS platform, CASE WHEN provider = 'ytmusic' THEN lpad(native_id, 11, 'v') WHEN provider = 'spotify' THEN lpad(native_id, 22, 's') ELSE native_id END AS id FROM {_B} b)"
-_LINKS = f"SELECT query_id, platform, id, {_KIND} AS id_type, replace({_TEMPLATE}, '{{id}}', id) AS url FROM {_IDS} i WHERE {_FITS}"
+_LINKED_IDS = """CASE provider WHEN 'ytmusic' THEN lpad(native_id, 11, 'v') WHEN 'spotify' THEN lpad(native_id, 22, 's') WHEN 'amazonmusic' THEN CASE WHEN supp % 2 = 0 THEN lpad(native_id, 10, 'B') ELSE native_id END
+ WHEN 'pandora' THEN CASE WHEN supp % 4 < 2 THEN 'TR:' || native_id ELSE native_id END WHEN 'soundcloud' THEN 'artist/' || native_id WHEN 'musicbrainz' THEN 'ABCDEF01-aaaa-BBBB-cccc-' || lpad(native_id, 12, '0') WHEN 'jiosaavn' THEN 'tok_' || native_id
+ WHEN 'melon' THEN CASE WHEN supp % 4 < 2 THEN 'x' || native_id ELSE native_id END ELSE native_id END"""
+_LINKED_URLS = """CASE provider WHEN 'deezer' THEN CASE supp % 3 WHEN 0 THEN 'https://www.deezer.com/en/track/' || native_id || '?utm_source=x' WHEN 1 THEN 'https://www.deezer.com/track/1' || native_id END WHEN 'tidal' THEN 'https://tidal.com/browse/track/' || native_id
+ WHEN 'genie' THEN 'https://www.genie.co.kr/detail/songInfo?xgnm=' || native_id || '&x=1' WHEN 'jiosaavn' THEN 'https://www.jiosaavn.com/song/some-title/tok_' || native_id WHEN 'bugs' THEN 'http://music.bugs.co.kr/track/' || native_id
+ WHEN 'applemusic' THEN CASE WHEN supp % 3 = 0 THEN 'https://music.apple.com/us/album/x/9?i=' || native_id || '&uo=4' ELSE 'https://music.apple.com/us/album/x/' || native_id END END"""
+_LINKED_NATIVE = "CASE WHEN supp % 3 = 0 THEN CASE provider WHEN 'soundcloud' THEN native_id WHEN 'jiosaavn' THEN 'n' || native_id END END"
+# expectations as they follow from the ids above, source by source
+_LINKS = f"""SELECT query_id, provider AS platform, CASE WHEN supp % 3 = 0 AND provider = 'soundcloud' THEN native_id WHEN supp % 3 = 0 AND provider = 'jiosaavn' THEN 'n' || native_id ELSE {_LINKED_IDS} END AS id,
+  CASE provider WHEN 'ytmusic' THEN 'video_id' WHEN 'amazonmusic' THEN CASE WHEN supp % 2 = 0 THEN 'asin' ELSE 'track_id' END WHEN 'pandora' THEN CASE WHEN supp % 4 < 2 THEN 'music_token' ELSE 'track_id' END WHEN 'musicbrainz' THEN 'recording_mbid'
+    WHEN 'soundcloud' THEN CASE WHEN supp % 3 = 0 THEN 'track_id' ELSE 'permalink' END WHEN 'jiosaavn' THEN CASE WHEN supp % 3 = 0 THEN 'track_id' ELSE 'song_token' END ELSE 'track_id' END AS id_type,
+  CASE WHEN supp % 3 = 0 AND provider = 'soundcloud' THEN 'artist/' || native_id WHEN supp % 3 = 0 AND provider = 'jiosaavn' THEN 'tok_' || native_id END AS lookup_id,
+  CASE provider WHEN 'bugs' THEN 'https://music.bugs.co.kr/track/' || native_id WHEN 'genie' THEN 'https://www.genie.co.kr/detail/songInfo?xgnm=' || native_id WHEN 'melon' THEN 'https://www.melon.com/song/detail.htm?songId=' || native_id
+    WHEN 'spotify' THEN 'https://open.spotify.com/track/' || lpad(native_id, 22, 's') WHEN 'ytmusic' THEN 'https://music.youtube.com/watch?v=' || lpad(native_id, 11, 'v')
+    WHEN 'applemusic' THEN CASE WHEN supp % 3 = 0 THEN 'https://music.apple.com/us/album/x/9?i=' || native_id ELSE 'https://music.apple.com/us/song/' || native_id END
+    WHEN 'deezer' THEN CASE WHEN supp % 3 = 0 THEN 'https://www.deezer.com/en/track/' || native_id ELSE 'https://www.deezer.com/track/' || native_id END WHEN 'tidal' THEN 'https://tidal.com/browse/track/' || native_id
+    WHEN 'qobuz' THEN 'https://open.qobuz.com/track/' || native_id WHEN 'amazonmusic' THEN CASE WHEN supp % 2 = 0 THEN 'https://music.amazon.com/?trackAsin=' || lpad(native_id, 10, 'B') END WHEN 'soundcloud' THEN 'https://soundcloud.com/artist/' || native_id
+    WHEN 'jiosaavn' THEN 'https://www.jiosaavn.com/song/some-title/tok_' || native_id WHEN 'musicbrainz' THEN 'https://musicbrainz.org/recording/ABCDEF01-aaaa-BBBB-cccc-' || lpad(native_id, 12, '0') END AS url,
+  CASE WHEN provider IN ('tidal', 'jiosaavn') OR provider IN ('deezer', 'applemusic') AND supp % 3 = 0 THEN 'provider' WHEN provider = 'pandora' OR provider = 'amazonmusic' AND supp % 2 <> 0 THEN NULL ELSE 'id_template' END AS url_source
+FROM {_B} b WHERE provider <> 'melon' OR supp % 4 >= 2"""
 
 
 def _ids(spark: SparkSession, sf: str) -> DataFrame:
-    own = F.when(F.col("provider") == "ytmusic", F.lpad("native_id", 11, "v")).when(F.col("provider") == "spotify", F.lpad("native_id", 22, "s")).otherwise(F.col("native_id"))
-    return _best(spark, sf).select("query_id", F.col("provider").alias("platform"), own.alias("id"))
+    return _best(spark, sf).select("query_id", F.col("provider").alias("platform"), F.expr(_LINKED_IDS).alias("id"), F.expr(_LINKED_URLS).alias("provider_url"), F.expr(_LINKED_NATIVE).alias("native_id"))
 
 
-@query(f"WITH l AS ({_LINKS}) SELECT * FROM l UNION ALL SELECT query_id, 'youtube', id, id_type, 'https://www.youtube.com/watch?v=' || id FROM l WHERE platform = 'ytmusic'")
+@query(f"WITH l AS ({_LINKS}) SELECT * FROM l UNION ALL SELECT query_id, 'youtube', id, id_type, lookup_id, 'https://www.youtube.com/watch?v=' || id, 'id_template' FROM l WHERE platform = 'ytmusic'")
 def platform_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Q01 to Q03, P17."""
+    """Q01 to Q03: ids, kinds and URLs, with the sources' own URLs where they carry the id."""
     return links.build(_ids(spark, sf))
 
 
 @query(f"""WITH l AS ({_LINKS}), h AS (SELECT query_id, platform FROM l UNION SELECT query_id, 'youtube' FROM l WHERE platform = 'ytmusic'),
-q AS (SELECT DISTINCT query_id FROM l), p AS (SELECT unnest({sorted([*links.PLATFORMS, 'youtube'])}) AS platform)
+q AS (SELECT DISTINCT query_id FROM l), p AS (SELECT unnest(['amazonmusic', 'applemusic', 'bugs', 'deezer', 'genie', 'jiosaavn', 'melon', 'musicbrainz', 'pandora', 'qobuz', 'soundcloud', 'spotify', 'tidal', 'youtube', 'ytmusic']) AS platform)
 SELECT q.query_id, coalesce((SELECT string_agg(p.platform, ',' ORDER BY p.platform) FROM p WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = q.query_id AND h.platform = p.platform)), '') AS platforms FROM q""")
 def unavailable_platforms(spark: SparkSession, sf: str) -> DataFrame:
     """U04."""
@@ -372,19 +386,19 @@ _DETAIL = f"(SELECT provider, native_id, any_value(label) AS d_label, min(durati
 @query(f"""SELECT b.query_id, b.provider, CASE WHEN d_ms IS NOT NULL AND ok THEN d_label ELSE label END AS label, CASE WHEN d_ms IS NULL THEN 'no_detail' WHEN ok THEN 'ok' ELSE 'identity_mismatch' END AS hydration
 FROM (SELECT b.*, d_label, d_ms, coalesce(upper(trim(isrc)) = upper(trim(d_isrc)), true) AND coalesce(abs(duration_ms - d_ms) <= 2000, true) AS ok FROM {_B} b LEFT JOIN {_DETAIL} d ON b.provider = d.provider AND b.native_id = d.native_id) b""")
 def hydrate_left_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Detail with a check of identity."""
+    """Detail with a check of identity."""
     d = P.view(spark, sf, P.CANDIDATES).where("line <= 4").select("provider", "native_id", F.concat(F.lit("detail "), "provider").alias("label"), (F.col("duration_ms") + (F.col("supp") % 3) * 1500).alias("duration_ms"), "isrc")
     d = d.groupBy("provider", "native_id").agg(F.min("label").alias("label"), F.min("duration_ms").alias("duration_ms"), F.min("isrc").alias("isrc"))
     return enrich.hydrate(_best(spark, sf), d, ["label"]).select("query_id", "provider", "label", "hydration")
 
 
-@query(f"""WITH a AS (SELECT query_id, provider, lower(trim(title)) AS t, lower(trim(artist)) AS a, duration_ms FROM {_B} b WHERE query_id % 50 = 0)
-SELECT x.query_id, x.provider, y.query_id || '/' || y.provider AS edition_id FROM a x JOIN a y ON x.t = y.t AND x.a = y.a AND abs(x.duration_ms - y.duration_ms) <= 2000""")
+@query(f"""WITH b AS {_B}, a AS (SELECT query_id, provider, lower(trim(title)) AS t, lower(trim(artist)) AS a, lower(trim(coalesce(album, ''))) AS l, duration_ms FROM b)
+SELECT x.query_id, x.provider, y.query_id || '/' || y.provider AS edition_id FROM a x JOIN a y ON x.t = y.t AND x.a = y.a AND x.l = y.l AND abs(x.duration_ms - y.duration_ms) <= 2000 WHERE x.query_id % 50 = 0""")
 def edition_band_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Equal folded keys and a band of durations, every 50th query against its like."""
-    a = _best(spark, sf).where("query_id % 50 = 0").select("query_id", "provider", "title", "artist", "duration_ms")
-    cat = a.select("title", "artist", "duration_ms", F.concat_ws("/", F.col("query_id").cast("string"), "provider").alias("edition_id"))
-    return enrich.editions(a, cat).select("query_id", "provider", "edition_id")
+    """Equal folded title, artist and album and a band of durations; every 50th query against all rows."""
+    a = _best(spark, sf).select("query_id", "provider", "title", "artist", "album", "duration_ms")
+    cat = a.select("title", "artist", "album", "duration_ms", F.concat_ws("/", F.col("query_id").cast("string"), "provider").alias("edition_id"))
+    return enrich.editions(a.where("query_id % 50 = 0"), cat).select("query_id", "provider", "edition_id")
 
 
 @query("""SELECT c.user_id AS video_id, e.event_id AS point_id, count(*) OVER (PARTITION BY c.user_id) > 100 AS truncated FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup') c
@@ -435,7 +449,7 @@ def graph_contributors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT album_id, disc, position, track_id, place FROM (SELECT DISTINCT album_id, disc, position, track_id, row_number() OVER (PARTITION BY album_id ORDER BY disc, position, track_id) AS place FROM (SELECT DISTINCT * FROM ({P.TRACKS}) t0) t) x WHERE place <= 5")
 def album_tracklist(spark: SparkSession, sf: str) -> DataFrame:
-    """L01, L02, W06."""
+    """L01, W06."""
     return albums.tracklist(P.view(spark, sf, P.TRACKS).distinct(), 5)
 
 
@@ -445,7 +459,7 @@ FROM (SELECT album_id, disc, count(*) AS returned, count(DISTINCT position) AS d
 
 @query(_COVER)
 def disc_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """A29, L05."""
+    """A29."""
     return albums.disc_coverage(P.view(spark, sf, P.TRACKS), P.view(spark, sf, P.DECLARED))
 
 
@@ -463,7 +477,7 @@ def album_completeness(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH r AS (SELECT {_clean_artist_sql('name')} AS k, count(DISTINCT id) AS n, min(id) AS one FROM ({P.REFERENCES}) x GROUP BY 1)
 SELECT a.name, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN one END AS id, coalesce(n, 0) AS n_candidates FROM ({P.ASKED}) a LEFT JOIN r ON {_clean_artist_sql('a.name')} = r.k""")
 def artist_name_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    """R01, R02, R03, U02."""
+    """R02, U02."""
     return artists.resolve_names(P.view(spark, sf, P.ASKED), P.view(spark, sf, P.REFERENCES))
 
 
@@ -518,8 +532,7 @@ def ttl_cache_read(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     cache = e.select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), (at + F.col("value") * 36000).alias("expires_at"), F.col("ts").alias("written_at"))
-    last = cache.groupBy("key").agg(F.max_by(F.struct("value", "expires_at"), F.struct("written_at", "value")).alias("e"))
-    return last.crossJoin(e.agg(F.max(at).alias("now"))).where(F.col("e.expires_at") > F.col("now")).select("key", F.col("e.value").alias("value"))
+    return state.cache_read(cache, e.agg(F.max(at).alias("now")).first()["now"])
 
 
 @query("SELECT event_id, least(CASE WHEN event_type = 'error' THEN 30 ELSE 86400 END, CASE WHEN event_type = 'view' AND value > 5 THEN 3600 WHEN event_type = 'view' THEN 300 ELSE 86400 END) AS ttl FROM events")
@@ -543,7 +556,7 @@ def role_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def resolve_catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole resolution, two of its passes, with Jaro-Winkler scores."""
+    """One pass of the resolution, with Jaro-Winkler scores."""
     return resolve(P.view(spark, sf, P.CANDIDATES))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from melder.operators.links import PLATFORMS
-from melder.session import table
+from melder.session import spread, table
 
 _PROVIDER = "CASE l_suppkey % 14 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PLATFORMS)) + " END"
 
@@ -45,9 +45,10 @@ REFERENCES = "SELECT 'src' || CAST(s_suppkey % 3 AS STRING) AS provider, CAST(s_
 ASKED = "SELECT DISTINCT 'artist ' || CAST(c_custkey % 60 AS STRING) AS name FROM customer"
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A projection over the tables that it names, each read once."""
-    used = {t: table(spark, sf_dir, t) for t in ("lineitem", "part", "orders", "events", "supplier", "customer", "pages") if f" {t}" in sql}
+def view(spark: SparkSession, sf_dir: str, sql: str, costly: bool = False) -> DataFrame:
+    """A projection over the tables that it names, each read once; `costly` is for queries that do much
+    work on a row before their first shuffle (see session.spread)."""
+    used = {t: spread(table(spark, sf_dir, t)) if costly else table(spark, sf_dir, t) for t in ("lineitem", "part", "orders", "events", "supplier", "customer", "pages") if f" {t}" in sql}
     for name in used:
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
     return spark.sql(sql, **used)

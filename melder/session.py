@@ -23,3 +23,14 @@ def local_session(cpus: int = 8, app: str = "melder") -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark alone so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in as many partitions as the cluster has cores, if its files give fewer splits.
+
+    A file is split between its row groups at best, so costly expressions over a small table would
+    keep one core busy. Rows are dealt in turn, whatever their keys; a scan of enough splits, as
+    any large table is, doesn't move. The argument must be a plain scan: its splits are counted.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +70,59 @@ def _present(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) != ""
 
 
+#: Distinct pairs of texts are broadcast up to this many bytes of text, joined with a shuffle beyond it.
+BROADCAST_BYTES = 32 << 20
+
+
+def with_pairs(rows: DataFrame, facts: dict[tuple[str, str], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """rows with the columns that each facts[(a, b)] adds to the distinct values of columns a and b.
+
+    Sources repeat each other, so a pair of texts is compared once, not once a row. Pairs are counted
+    in one scan of the texts alone; those under BROADCAST_BYTES go to the rows, which then don't
+    move; others meet the rows in a shuffle, where AQE splits a pair that many rows share.
+    """
+    kinds = list(facts)
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) + 64
+    entry = lambda i, a, b: F.struct(F.lit(i).alias("kind"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
+    every = rows.select(F.explode(F.array(*[entry(i, a, b) for i, (a, b) in enumerate(kinds)])).alias("p")).select("p.*").distinct()
+    sizes = {r["kind"]: r["bytes"] for r in every.groupBy("kind").agg(F.sum(size("a") + size("b")).alias("bytes")).collect()}
+    out = rows
+    for i, (a, b) in enumerate(kinds):
+        made = facts[a, b](rows.select(a, b).distinct())
+        made = made.withColumnsRenamed({a: "_left", b: "_right"})
+        if sizes.get(i, 0) <= BROADCAST_BYTES:
+            made = F.broadcast(made)
+        out = out.join(made, F.col(a).eqNullSafe(F.col("_left")) & F.col(b).eqNullSafe(F.col("_right")), "left").drop("_left", "_right")
+    return out
+
+
+def _titles(column: str, method: str) -> Callable[[str, str], Callable[[DataFrame], DataFrame]]:
+    def facts(a: str, b: str) -> Callable[[DataFrame], DataFrame]:
+        def add(pairs: DataFrame) -> DataFrame:
+            clean = pairs.withColumns({"_x": clean_title(F.coalesce(a, F.lit(""))), "_y": clean_title(F.coalesce(b, F.lit("")))})
+            both = (F.col("_x") != "") & (F.col("_y") != "")
+            return clean.withColumn(column, F.when(both, round2(composite(F.col("_x"), F.col("_y"), method)))).drop("_x", "_y")
+
+        return add
+
+    return facts
+
+
+def _artists(pairs: DataFrame, method: str) -> DataFrame:
+    clean = pairs.withColumns({"_x": clean_artist(F.coalesce("q_artist", F.lit(""))), "_y": clean_artist(F.coalesce("artist", F.lit("")))})
+    found = F.when(F.col("_x") != "", round2(composite(F.col("_x"), F.col("_y"), method))).otherwise(F.lit(0.8))
+    return clean.withColumn("_as", F.when(_present(F.col("artist")), found)).drop("_x", "_y")
+
+
+def pair_facts(method: str = "full") -> dict[tuple[str, str], Callable[[DataFrame], DataFrame]]:
+    """What score() needs of the distinct pairs of titles (_ts), artists (_as) and albums (_bs)."""
+    return {
+        ("q_title", "title"): _titles("_ts", method)("q_title", "title"),
+        ("q_artist", "artist"): lambda pairs: _artists(pairs, method),
+        ("q_album", "album"): _titles("_bs", method)("q_album", "album"),
+    }
+
+
 def score(rows: DataFrame, method: str = "full") -> DataFrame:
     """rows with title_score, artist_score, album_score, isrc_score (each null where not
     evaluated) and score.
@@ -75,21 +130,16 @@ def score(rows: DataFrame, method: str = "full") -> DataFrame:
     rows has q_title, q_artist, q_album, q_isrc, title, artist, album, isrc and direct (whether
     the candidate is the one asked for by id). Parts are rounded before they are weighted.
     """
+    return weighted(with_pairs(rows, pair_facts(method))).drop("_ts", "_as", "_bs")
+
+
+def weighted(rows: DataFrame) -> DataFrame:
+    """score() of rows that have the scores of their pairs."""
     both_isrc = _present(F.col("q_isrc")) & _present(F.col("isrc"))
     same_isrc = F.upper(F.trim("q_isrc")) == F.upper(F.trim("isrc"))
     conflict = both_isrc & ~same_isrc
     exact = both_isrc & (F.upper("q_isrc") == F.upper("isrc"))
     direct = F.coalesce(F.col("direct"), F.lit(False))
-    empty = F.lit("")
-    rows = rows.withColumns(
-        {
-            "_qt": clean_title(F.coalesce("q_title", empty)), "_t": clean_title(F.coalesce("title", empty)),
-            "_qa": clean_artist(F.coalesce("q_artist", empty)), "_a": clean_artist(F.coalesce("artist", empty)),
-            "_qb": clean_title(F.coalesce("q_album", empty)), "_b": clean_title(F.coalesce("album", empty)),
-        }
-    )
-    part = lambda a, b: F.when((F.col(a) != "") & (F.col(b) != ""), round2(composite(F.col(a), F.col(b), method)))
-    rows = rows.withColumns({"_ts": part("_qt", "_t"), "_as": F.when(F.col("_qa") != "", F.when(_present(F.col("artist")), round2(composite(F.col("_qa"), F.col("_a"), method)))).otherwise(F.when(_present(F.col("artist")), F.lit(0.8))), "_bs": part("_qb", "_b")})
     zero = F.lit(0.0)
     t, a = F.coalesce("_ts", zero), F.coalesce("_as", zero)
     raw = F.when(F.col("_bs").isNull(), 0.55 * t + 0.45 * a).otherwise(0.50 * t + 0.40 * a + 0.10 * F.col("_bs"))
@@ -104,7 +154,7 @@ def score(rows: DataFrame, method: str = "full") -> DataFrame:
             "isrc_score": F.when(conflict, 0.0).when(direct, none).when(_present(F.col("isrc")), 1.0),
             "score": F.when(conflict, 0.0).when(full, 1.0).otherwise(round2(raw)),
         }
-    ).drop("_qt", "_t", "_qa", "_a", "_qb", "_b", "_ts", "_as", "_bs")
+    )
 
 
 def artist_score(names: Column, wanted: Column, method: str = "full") -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from melder.functions import similarity
 from melder.operators import fusion, gates, identity, selection
 
 FIELDS = ["title", "album", "duration_ms", "release_date", "isrc", "label"]
@@ -14,7 +13,7 @@ FIELDS = ["title", "album", "duration_ms", "release_date", "isrc", "label"]
 def accepted(candidates: DataFrame, method: str = "full") -> DataFrame:
     """query_id and rows, an array of the scored and gated rows: the best of each source (so it has as
     many entries as there are sources), without outliers of duration."""
-    rows = gates.gate(similarity.score(candidates, method), spelling=method == "full").where("accepted")
+    rows = gates.judge(candidates, method).where("accepted")
     entry = F.struct("provider", "rank", "score", "artist", *FIELDS)
     best = rows.groupBy("query_id", F.lower("provider").alias("p")).agg(F.max_by(entry, F.struct("score", (-F.col("rank")).alias("r"))).alias("e"))
     one = best.groupBy("query_id").agg(F.array_sort(F.collect_list("e")).alias("rows"))

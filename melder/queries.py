@@ -159,7 +159,7 @@ SELECT *, score >= 0.40 AND artist_ok AND identity_ok AS accepted FROM (
 @query(f"SELECT query_id, provider, count(*) AS n_evaluated, CASE WHEN bool_or(accepted) THEN 'matched' WHEN bool_or(score >= 0.40 AND artist_ok AND NOT identity_ok) THEN 'identity_mismatch' ELSE 'below_threshold' END AS status FROM ({_GATED}) x GROUP BY query_id, provider")
 def source_status(spark: SparkSession, sf: str) -> DataFrame:
     """P09 to P12, A25 on token scores."""
-    return gates.source_status(gates.gate(similarity.score(P.view(spark, sf, P.CANDIDATES, costly=True), "tokens"), spelling=False))
+    return gates.source_status(gates.judge(P.view(spark, sf, P.CANDIDATES, costly=True), "tokens"))
 
 
 @query(f"SELECT query_id, provider, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, provider ORDER BY score DESC, rank) AS n FROM {R}) x WHERE n = 1")

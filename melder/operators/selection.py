@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from melder.operators.gates import REPORT
@@ -61,6 +61,16 @@ def without_outliers(rows: DataFrame, column: str) -> DataFrame:
     return timed.withColumn(column, F.expr(near)).drop("_d", "_a")
 
 
+def without_strays(rows: DataFrame, column: str, asked_isrc: Column, asked_id: Column) -> DataFrame:
+    """without_outliers() as a request has it: one by ISRC loses nothing, one by id loses what is off
+    the duration of the row (marked `direct`) that has the id, if that row is timed."""
+    seed = F.expr(f"get(filter({column}, x -> x.direct and x.duration_ms > 0), 0).duration_ms")
+    near = F.expr(f"filter({column}, x -> coalesce(x.direct, false) or coalesce(x.duration_ms <= 0 or abs(x.duration_ms - _seed) <= {_TOLERANCE.format('_seed')}, true))")
+    both = rows.withColumns({"_all": F.col(column), "_seed": seed}).withColumn("_near", near)
+    kept = F.when(asked_isrc, F.col("_all")).when(asked_id, F.col("_near")).otherwise(F.col(column))
+    return without_outliers(both, column).withColumn(column, kept).drop("_all", "_seed", "_near")
+
+
 def anchored_durations(rows: DataFrame) -> DataFrame:
     """query_id, provider, rejected: sources off the duration of the row asked for by id."""
     seeds = rows.where("direct and duration_ms > 0").groupBy("query_id").agg(F.min_by("duration_ms", F.struct("provider", "rank")).alias("seed"))

@@ -11,13 +11,19 @@ FIELDS = ["title", "album", "duration_ms", "release_date", "isrc", "label"]
 
 
 def accepted(candidates: DataFrame, method: str = "full") -> DataFrame:
-    """query_id and rows, an array of the scored and gated rows: the best of each source (so it has as
-    many entries as there are sources), without outliers of duration."""
-    rows = gates.judge(candidates, method).where("accepted")
-    entry = F.struct("provider", "rank", "score", "artist", *FIELDS)
-    best = rows.groupBy("query_id", F.lower("provider").alias("p")).agg(F.max_by(entry, F.struct("score", (-F.col("rank")).alias("r"))).alias("e"))
-    one = best.groupBy("query_id").agg(F.array_sort(F.collect_list("e")).alias("rows"))
-    return selection.without_outliers(one, "rows")
+    """query_id and rows, an array of the scored and gated rows that are fused (so it has as many
+    entries as there are sources): the best accepted one of each source without strays of duration,
+    or, where none is left, the best of all if it may be reported and passes the gates."""
+    rows = gates.judge(candidates, method)
+    entry = F.struct("provider", "rank", "score", "artist", "direct", *FIELDS)
+    first = F.struct((-F.col("score")).alias("s"), F.col("rank").alias("r"))
+    alone = F.struct((-F.col("score")).alias("s"), "provider", "rank", entry.alias("e"), ((F.col("score") >= gates.REPORT) & F.col("artist_ok") & F.col("identity_ok")).alias("fits"))
+    asked = [F.bool_or(F.coalesce(F.trim("q_isrc"), F.lit("")) != "").alias("by_isrc"), F.bool_or(F.coalesce("q_direct", F.lit(False))).alias("by_id")]
+    per = rows.groupBy("query_id", F.lower("provider").alias("p")).agg(F.min_by(entry, F.when(F.col("accepted"), first)).alias("e"), F.min(alone).alias("top"), *asked)
+    one = per.groupBy("query_id").agg(F.array_sort(F.collect_list("e")).alias("rows"), F.min("top").alias("top"), F.bool_or("by_isrc").alias("by_isrc"), F.bool_or("by_id").alias("by_id"))
+    kept = selection.without_strays(one, "rows", F.col("by_isrc"), F.col("by_id"))
+    lone = (F.size("rows") == 0) & F.col("top.fits")
+    return kept.select("query_id", F.when(lone, F.array("top.e")).otherwise(F.col("rows")).alias("rows"))
 
 
 def resolve(candidates: DataFrame, policy: fusion.Policy | None = None, method: str = "full") -> DataFrame:

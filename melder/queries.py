@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from melder.functions import similarity, text
 from melder.operators import albums, artists, enrich, fusion, gates, graph, identity, links, search, selection, state
 from melder.plans import projection as P
-from melder.plans.resolve import resolve
+from melder.plans.resolve import accepted, resolve
 from melder.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -560,6 +560,21 @@ def resolve_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return resolve(P.view(spark, sf, P.CANDIDATES))
 
 
+@query(f"""WITH g AS MATERIALIZED ({_GATED}), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, provider ORDER BY score DESC, rank) AS n FROM g WHERE accepted) x WHERE n = 1),
+s AS (SELECT query_id, duration_ms, row_number() OVER (PARTITION BY query_id ORDER BY duration_ms, provider) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS m FROM b WHERE duration_ms > 0 AND q_isrc IS NULL AND NOT q_direct),
+runs AS (SELECT x.query_id, x.i, any_value(x.m) AS m, count(*) AS n FROM s x JOIN s y ON x.query_id = y.query_id AND y.i >= x.i AND y.duration_ms - x.duration_ms <= greatest(10000, x.duration_ms // 20) GROUP BY x.query_id, x.i),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, i) AS k FROM runs) z WHERE k = 1 AND m >= 3 AND n >= 2 AND n * 2 > m),
+anchor AS (SELECT top.query_id, s.duration_ms AS ms FROM top JOIN s ON s.query_id = top.query_id AND s.i = (top.i + top.i + top.n - 1) // 2
+  UNION ALL SELECT query_id, duration_ms FROM b WHERE direct AND duration_ms > 0 AND q_isrc IS NULL),
+kept AS (SELECT b.query_id, b.provider, b.rank, b.score FROM b LEFT JOIN anchor ON b.query_id = anchor.query_id WHERE b.direct OR coalesce(b.duration_ms <= 0 OR abs(b.duration_ms - anchor.ms) <= greatest(10000, anchor.ms // 20), true))
+SELECT query_id, provider, rank, score FROM kept UNION ALL
+SELECT query_id, provider, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, provider, rank) AS n FROM g) x WHERE n = 1 AND score >= 0.30 AND artist_ok AND identity_ok AND query_id NOT IN (SELECT query_id FROM kept)""")
+def accepted_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A01 to A05 as the resolution combines them, on token scores: the rows that are fused."""
+    kept = accepted(P.view(spark, sf, P.CANDIDATES), "tokens")
+    return kept.select("query_id", F.explode("rows").alias("r")).select("query_id", "r.provider", "r.rank", "r.score")
+
+
 @query()
 def html_recovery(spark: SparkSession, sf: str) -> DataFrame:
     """S24 over raw pages: what JSON they hold, or why none is taken."""

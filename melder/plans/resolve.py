@@ -15,15 +15,16 @@ def accepted(candidates: DataFrame, method: str = "full") -> DataFrame:
     entries as there are sources): the best accepted one of each source without strays of duration,
     or, where none is left, the best of all if it may be reported and passes the gates."""
     rows = gates.judge(candidates, method)
-    entry = F.struct("provider", "rank", "score", "artist", "direct", *FIELDS)
-    first = F.struct((-F.col("score")).alias("s"), F.col("rank").alias("r"))
-    alone = F.struct((-F.col("score")).alias("s"), "provider", "rank", entry.alias("e"), ((F.col("score") >= gates.REPORT) & F.col("artist_ok") & F.col("identity_ok")).alias("fits"))
+    fits = (F.col("score") >= gates.REPORT) & F.col("artist_ok") & F.col("identity_ok")
+    entry = F.struct("provider", "rank", "score", "artist", "direct", *FIELDS, "accepted", fits.alias("fits"))
+    # one aggregate serves both cases: a source's best accepted row, or its best one if none is
+    order = F.struct((~F.col("accepted")).alias("a"), (-F.col("score")).alias("s"), F.col("rank").alias("r"))
     asked = [F.bool_or(F.coalesce(F.trim("q_isrc"), F.lit("")) != "").alias("by_isrc"), F.bool_or(F.coalesce("q_direct", F.lit(False))).alias("by_id")]
-    per = rows.groupBy("query_id", F.lower("provider").alias("p")).agg(F.min_by(entry, F.when(F.col("accepted"), first)).alias("e"), F.min(alone).alias("top"), *asked)
-    one = per.groupBy("query_id").agg(F.array_sort(F.collect_list("e")).alias("rows"), F.min("top").alias("top"), F.bool_or("by_isrc").alias("by_isrc"), F.bool_or("by_id").alias("by_id"))
-    kept = selection.without_strays(one, "rows", F.col("by_isrc"), F.col("by_id"))
-    lone = (F.size("rows") == 0) & F.col("top.fits")
-    return kept.select("query_id", F.when(lone, F.array("top.e")).otherwise(F.col("rows")).alias("rows"))
+    per = rows.groupBy("query_id", F.lower("provider").alias("p")).agg(F.min_by(entry, order).alias("e"), *asked)
+    one = per.groupBy("query_id").agg(F.array_sort(F.collect_list("e")).alias("every"), F.bool_or("by_isrc").alias("by_isrc"), F.bool_or("by_id").alias("by_id"))
+    kept = selection.without_strays(one.withColumn("rows", F.filter("every", lambda x: x["accepted"])), "rows", F.col("by_isrc"), F.col("by_id"))
+    best = F.array_min(F.transform("every", lambda x: F.struct((-x["score"]).alias("s"), x["provider"].alias("p"), x["rank"].alias("r"), x.alias("e"))))
+    return kept.withColumn("_best", F.when(F.size("rows") == 0, best)).select("query_id", F.when(F.col("_best.e.fits"), F.array("_best.e")).otherwise(F.col("rows")).alias("rows"))
 
 
 def resolve(candidates: DataFrame, policy: fusion.Policy | None = None, method: str = "full") -> DataFrame:

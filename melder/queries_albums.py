@@ -1,4 +1,4 @@
-"""Queries of the album readers: bodies are made of the driver's orders, expectations of their rows."""
+"""Queries of readers of albums, artwork, fingerprints and artists' tracks: bodies are made of the driver's orders, expectations of their rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from melder.plans import projection as P
 from melder.queries import query
-from melder.sources import albums
+from melder.session import table
+from melder.sources import albums, extras
 
 _LINES = "SELECT l_orderkey AS o, l_linenumber AS line, min(l_suppkey) AS supp, min(l_partkey) AS part FROM lineitem GROUP BY l_orderkey, l_linenumber"
 #: Some tracks lack a title, line 7 repeats the id of line 1, some albums declare one track more.
@@ -76,3 +77,66 @@ _ASKED = f"SELECT CAST(o AS STRING) AS album_id, line, CAST(part AS STRING) AS r
 def recordings_on_release(spark: SparkSession, sf: str) -> DataFrame:
     """A recording counts for a release that has its id, its title and the recording on a medium."""
     return albums.on_release(P.view(spark, sf, _ASKED), albums.release(_releases(spark, sf))).select("album_id", "line")
+
+
+_MBID = "'00000000-0000-0000-0000-' || lpad(CAST(o_orderkey AS STRING), 12, '0')"
+_ART = f"SELECT {_MBID} AS album_id, o_orderkey % 4 AS k, CAST(o_orderkey AS STRING) AS o, o_orderkey % 5 <> 0 AS own FROM orders"
+
+
+@query(f"""SELECT album_id, row_number() OVER (PARTITION BY album_id ORDER BY n) AS place, url, type FROM (
+  SELECT album_id, 1 AS n, CASE WHEN k = 1 THEN 'https://coverartarchive.org/' || o ELSE 'https://img.example.org/' || o END AS url, CASE WHEN k = 0 THEN 'cover' WHEN k = 1 THEN 'back' ELSE 'artwork' END AS type FROM ({_ART}) a WHERE own AND k <> 3
+  UNION ALL SELECT album_id, 2, 'https://ia.archive.org/1200', 'thumbnail' FROM ({_ART}) a WHERE own UNION ALL SELECT album_id, 3, 'https://ia.archive.org/250', 'thumbnail' FROM ({_ART}) a WHERE own) x""")
+def cover_art(spark: SparkSession, sf: str) -> DataFrame:
+    """Artwork of the release asked for; one address in four is http on a foreign host."""
+    host = F.expr("case k when 1 then 'http://coverartarchive.org/' when 3 then 'http://img.example.org/' else 'https://img.example.org/' end || o")
+    thumbs = F.create_map(F.lit("250"), F.lit("http://ia.archive.org/250"), F.lit("1200"), F.lit("https://ia.archive.org/1200"))
+    image = F.struct(host.alias("image"), (F.col("k") == 0).alias("front"), (F.col("k") == 1).alias("back"), thumbs.alias("thumbnails"))
+    of = F.when(F.col("own"), F.col("album_id")).otherwise(F.lit("another"))
+    body = F.to_json(F.struct(F.concat(F.when(F.col("k") == 1, "http").otherwise("https"), F.lit("://musicbrainz.org/release/"), of).alias("release"), F.array(image).alias("images")))
+    return extras.artwork(P.view(spark, sf, _ART).select("album_id", body.alias("body")))
+
+
+@query("""SELECT c_custkey AS query_id, 'a' || n AS acoustid, n / 4.0 AS score, CASE WHEN n = 1 THEN 'r' || c_nationkey ELSE NULL END AS recording_id
+FROM (SELECT *, unnest([1, 2]) AS n FROM customer) c WHERE c_custkey % 7 NOT IN (0, 1) AND c_nationkey % 5 <> 0""")
+def fingerprint_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate of a fingerprint, none chosen."""
+    asked = P.view(spark, sf, "SELECT c_custkey AS query_id, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'AQAD' || CAST(c_nationkey AS STRING) END AS fingerprint, CASE WHEN c_custkey % 7 = 1 THEN 86401 ELSE 200 END AS duration FROM customer")
+    rec = F.array(F.struct(F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("id")))
+    results = F.array(F.struct(F.lit("a1").alias("id"), F.lit(0.25).alias("score"), rec.alias("recordings")), F.struct(F.lit("a2").alias("id"), F.lit(0.5).alias("score"), F.lit(None).cast("array<struct<id: string>>").alias("recordings")))
+    body = F.to_json(F.struct(F.when(F.col("n_nationkey") % 5 == 0, "error").otherwise("ok").alias("status"), results.alias("results")))
+    landed = table(spark, sf, "nation").select(F.concat(F.lit("AQAD"), F.col("n_nationkey").cast("string")).alias("fingerprint"), F.explode(F.array(F.lit(200), F.lit(86401))).alias("duration"), body.alias("body"))
+    return extras.fingerprint_matches(asked, landed)
+
+
+_CATALOGUE = """SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'deezer' ELSE 'ytmusic' END AS provider, CASE c_custkey % 4 WHEN 0 THEN 'song' WHEN 1 THEN 'album' WHEN 2 THEN 'playlist' ELSE 'lyrics' END AS kind,
+  CASE c_custkey % 4 WHEN 0 THEN lpad(CAST(c_custkey AS STRING), CASE WHEN c_custkey % 3 = 0 THEN 12 ELSE 11 END, 'x') WHEN 1 THEN 'MPRE' || CAST(c_custkey AS STRING) WHEN 2 THEN 'PL' || lpad(CAST(c_custkey AS STRING), CASE WHEN c_custkey % 3 = 0 THEN 4 ELSE 9 END, '0') ELSE 'x' END AS id,
+  CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '100' WHEN 2 THEN '101' WHEN 3 THEN 'x' ELSE '1' END AS "limit" FROM customer"""
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'unsupported provider' WHEN c_custkey % 4 = 3 OR (c_custkey % 4 IN (0, 2) AND c_custkey % 3 = 0) THEN 'invalid type or id'
+  WHEN c_custkey % 5 IN (2, 3) THEN 'limit must be between 1 and 100' END AS error, CASE c_custkey % 5 WHEN 0 THEN 20 WHEN 1 THEN 100 WHEN 2 THEN 101 WHEN 4 THEN 1 END AS n FROM customer""")
+def catalogue_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds, forms of ids and limits."""
+    asked = P.view(spark, sf, _CATALOGUE.replace('"limit"', "`limit`"))
+    return extras.catalogue_requests(asked).select("c_custkey", "error", F.col("limit").alias("n"))
+
+
+@query(f"""SELECT provider, artist_id, place, id, title, duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY provider, artist_id ORDER BY pos) AS place FROM (
+  SELECT p.provider, s.artist_id, s.id, min(s.pos) AS pos, arg_min(s.title, s.pos) AS title, arg_min(s.ms, s.pos) AS duration_ms
+  FROM (SELECT CAST(o AS STRING) AS artist_id, CAST(supp % 5 AS STRING) AS id, 'Song ' || line AS title, line AS pos, part * 1000 AS ms FROM ({_LINES}) l WHERE part % 97 <> 0) s, (SELECT unnest(['deezer', 'applemusic', 'musicbrainz', 'jiosaavn', 'ytmusic']) AS provider) p GROUP BY 1, 2, 3) y) x WHERE place <= 3""")
+def artist_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """An artist's tracks in the shape of each source, the first three with distinct ids."""
+    shapes = {
+        "deezer": "'id', i, 'title', t, 'duration', part",
+        "applemusic": "'trackId', i, 'trackName', t, 'trackTimeMillis', part * 1000",
+        "musicbrainz": "'id', i, 'title', t, 'length', part * 1000, 'artist-credit', array(named_struct('name', 'x'))",
+        "jiosaavn": "'id', i, 'song', t, 'more_info', named_struct('duration', cast(part as string))",
+        "ytmusic": "'videoId', i, 'title', t, 'duration_seconds', part",
+    }
+    lines = P.view(spark, sf, _LINES).selectExpr("cast(o as string) as artist_id", "line", "part", "cast(supp % 5 as string) as i", "if(part % 97 = 0, null, concat('Song ', line)) as t")
+    out = None
+    for provider, shape in shapes.items():
+        rows = lines.groupBy("artist_id").agg(F.expr(f"to_json(transform(array_sort(collect_list(struct(line, named_struct({shape}) as r))), x -> x.r))").alias("body"))
+        one = extras.artist_tracks(rows, provider, 3).select(F.lit(provider).alias("provider"), "artist_id", "place", "id", "title", "duration_ms")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -188,6 +188,27 @@ def artist_ids(selected: DataFrame, voted: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "place", "name", F.col("source").alias("provider")).agg(F.min_by("id", F.struct("rank", "at")).alias("id"))
 
 
+def album_editions(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """query_id, album, provider, track_number, disc_number, ids of rows(query_id, provider, score, album,
+    album_id, track_number, disc_number, q_provider), one of each source.
+
+    The title with most votes wins (then the source's place, the score, the name), but where the
+    source asked by id has a title and an id of its own, its edition does. The position is that of the
+    edition alone; ids are those that sources of the same title give for their own album.
+    """
+    there = rows.where(F.coalesce(F.trim("album"), F.lit("")) != "")
+    has_id = F.coalesce("album_id", F.lit("")) != ""
+    first = F.struct(priority(F.col("provider"), order or TITLE).alias("r"), (-F.col("score")).alias("s"), "provider", "album", "track_number", "disc_number")
+    own = F.when((F.col("provider") == F.col("q_provider")) & has_id, first)
+    ids = F.array_sort(F.collect_set(F.when(has_id, F.struct("provider", "album_id"))))
+    titles = there.groupBy("query_id", F.lower(F.trim("album")).alias("vote")).agg(F.count("*").alias("n"), F.min(first).alias("best"), F.min(own).alias("own"), ids.alias("ids"))
+    voted = F.min(F.struct((-F.col("n")).alias("n"), F.col("best").alias("e"), "ids"))
+    won = titles.groupBy("query_id").agg(F.min(F.when(F.col("own").isNotNull(), F.struct(F.col("own").alias("e"), "ids"))).alias("a"), voted.alias("v"))
+    pick = lambda f: F.when(F.col("a").isNotNull(), F.col(f"a.{f}")).otherwise(F.col(f"v.{f}"))
+    chosen = won.select("query_id", pick("e").alias("e"), pick("ids").alias("ids"))
+    return chosen.select("query_id", "e.album", "e.provider", "e.track_number", "e.disc_number", F.map_from_entries("ids").alias("ids"))
+
+
 def copyrights_union(rows: DataFrame) -> DataFrame:
     """query_id, copyrights (type, text): once each, sorted by both joined."""
     one = rows.where("coalesce(text, '') <> ''").groupBy("query_id", "type", "text").agg(F.count("*").alias("n"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from melder.operators import fusion
 from melder.plans import projection as P
-from melder.queries import query
+from melder.queries import _B, _best, query
 from melder.session import table
 from melder.sources import albums, extras
 
@@ -140,3 +141,18 @@ def artist_tracks(spark: SparkSession, sf: str) -> DataFrame:
         one = extras.artist_tracks(rows, provider, 3).select(F.lit(provider).alias("provider"), "artist_id", "place", "id", "title", "duration_ms")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_ASKED_OF = "CASE WHEN query_id % 3 = 0 THEN 'deezer' WHEN query_id % 3 = 1 THEN 'qobuz' END"
+_SOURCES = "['spotify', 'applemusic', 'tidal', 'qobuz', 'amazonmusic', 'pandora', 'bugs', 'genie', 'melon', 'musicbrainz', 'deezer', 'soundcloud', 'jiosaavn', 'ytmusic']"
+
+
+@query(f"""WITH b AS (SELECT query_id, provider, score, album, lower(trim(album)) AS vote, CASE WHEN supp % 6 <> 0 THEN native_id END AS album_id, line, list_position({_SOURCES}, provider) AS place, {_ASKED_OF} AS asked FROM {_B} x WHERE album IS NOT NULL),
+n AS (SELECT *, count(*) OVER (PARTITION BY query_id, vote) AS votes, coalesce(provider = asked AND album_id IS NOT NULL, false) AS own FROM b),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY own DESC, votes DESC, place, score DESC, provider) AS k FROM n) y WHERE k = 1)
+SELECT w.query_id, w.album, w.provider, w.line AS track_number, (SELECT string_agg(n.provider || '=' || n.album_id, ',' ORDER BY n.provider) FROM n WHERE n.query_id = w.query_id AND n.vote = w.vote AND n.album_id IS NOT NULL) AS ids FROM w""")
+def album_editions(spark: SparkSession, sf: str) -> DataFrame:
+    """The edition by votes or of the source asked by id, with its position and ids."""
+    rows = _best(spark, sf).select("query_id", "provider", "score", "album", F.expr("if(supp % 6 <> 0, native_id, null)").alias("album_id"), F.col("line").alias("track_number"), F.lit(1).alias("disc_number"), F.expr(_ASKED_OF).alias("q_provider"))
+    ids = F.array_join(F.transform(F.array_sort(F.map_entries("ids")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return fusion.album_editions(rows).select("query_id", "album", "provider", "track_number", F.nullif(ids, F.lit("")).alias("ids"))

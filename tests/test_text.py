@@ -45,7 +45,7 @@ def test_jaro_winkler_counts_halves():
     assert similarity.jaro(b"abc", b"") == 0.0
     assert similarity.jaro(b"", b"") == 1.0
     # three of the matched bytes stand elsewhere: one and a half transpositions
-    assert similarity.jaro(b"abcd", b"bcad") == pytest.approx((1 + 1 + (4 - 1.5) / 4) / 3) or similarity.jaro(b"abcd", b"bcad") < 1
+    assert similarity.jaro(b"abcdef", b"bcadef") == pytest.approx((1 + 1 + (6 - 1.5) / 6) / 3)
 
 
 @pytest.mark.parametrize(("t", "want"), [("3:05", 185000), ("1:02:03", 3723000), ("45", 45000), ("x", 0), ("1:2:3:4", 0)])

@@ -30,3 +30,14 @@ def test_a_lone_row_below_the_threshold(spark):
     assert kept(spark, *low) == {(1, "deezer")}
     assert kept(spark, *low, cand(provider="spotify", q_title=None, q_artist=None, artist="Ann", direct=True)) == {(1, "spotify")}
     assert kept(spark, cand(artist="Other"), cand(provider="b", title="Else", artist="Other")) == set()
+
+
+def test_pairs_too_large_to_broadcast_give_the_same_scores(spark, monkeypatch):
+    from melder.functions import similarity
+    from melder.operators import gates
+
+    rows = spark.createDataFrame([cand(rank=i, title=t, artist=a, q_artist=None if i == 3 else "Ann") for i, (t, a) in enumerate([("Song", "Ann"), ("Sonk", "Anna"), (None, "Ann"), ("Song", None), ("Song", "Ann")])], ROW)
+    shown = lambda: sorted(map(str, gates.judge(rows).collect()))
+    small = shown()
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", -1)
+    assert shown() == small and len(small) == 5

@@ -108,3 +108,16 @@ def whole_groups(frames: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.
         held = [frame.iloc[start:]]
     if held:
         yield pd.concat(held, ignore_index=True)
+
+
+def lower_ascii(c: Column) -> Column:
+    """A-Z in lower case and nothing else; meant for single words, most of which are ASCII."""
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, upper, low))
+
+
+def small_side(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """df, a written table, marked for broadcast if its values take at most `most` bytes; a larger one
+    is left to a shuffle join. One job over df counts them."""
+    size = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c)) if kind.startswith(("array", "struct")) else F.col(c).cast("string")), F.lit(0)) for c, kind in df.dtypes), F.lit(64))
+    return F.broadcast(df) if (df.agg(F.sum(size).alias("n")).first()["n"] or 0) <= most else df

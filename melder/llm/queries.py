@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melder.llm import imatch, language_id, license_scan, minhash_dedup, mixing, packing, quality_knn, robust_quality, secret_scan, warc
+from melder.llm import fill_middle, imatch, language_id, license_scan, minhash_dedup, mixing, packing, phrase_index, quality_knn, robust_quality, secret_scan, spelling, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "lang", "source", "n_chars"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with their forms among the words one edit away."""
+    return spelling.variants(spelling.vocabulary(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rearranged texts and, from them, the texts they were made of, as digests."""
+    done = fill_middle.rearrange(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark's windows that occur in them."""
+    found = phrase_index.contamination(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", "n_near")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scans": op9_license_scans,
     "op10_mixing": op10_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_decontamination": op13_decontamination,
     "pipeline": pipeline,
 }
 

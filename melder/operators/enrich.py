@@ -24,6 +24,34 @@ def hydrate(base: DataFrame, detail: DataFrame, fields: list[str]) -> DataFrame:
     return out.select(*filled, state.alias("hydration"))
 
 
+def with_detail(base: DataFrame, details: DataFrame, fields: list[str]) -> DataFrame:
+    """base with the fields of details(provider, native_id, title, artist, isrc, duration_ms, album_id, ...)
+    where a record's own page is the same record, and hydration: ok, unavailable or identity_mismatch.
+
+    The page must have the row's ISRC if the row has one, its title and first artist but for case
+    and surrounding blanks, a duration within NEAR_MS and the same album id where both know. What the
+    page leaves out stays as the row has it (0 is no duration); id, title and artist always stay.
+    """
+    facts = list(dict.fromkeys(["title", "artist", "isrc", "duration_ms", "album_id", *fields]))
+    d = details.select("provider", "native_id", F.struct(*facts).alias("d"))
+    out = base.join(d, ["provider", "native_id"], "left")
+    fold = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    text = lambda c: fold(c) != ""
+    mine, page = F.col, lambda f: F.col(f"d.{f}")
+    timed = (mine("duration_ms") > 0) & (page("duration_ms") > 0)
+    same = (
+        (~text(mine("isrc")) | (fold(mine("isrc")) == fold(page("isrc"))))
+        & ~F.coalesce(timed & (F.abs(mine("duration_ms") - page("duration_ms")) > NEAR_MS), F.lit(False))
+        & (~text(mine("album_id")) | ~text(page("album_id")) | (mine("album_id") == page("album_id")))
+        & (fold(mine("title")) == fold(page("title"))) & text(mine("artist")) & (fold(mine("artist")) == fold(page("artist")))
+    )
+    state = F.when(F.col("d").isNull(), "unavailable").when(same, "ok").otherwise("identity_mismatch")
+    kinds = dict(base.dtypes)
+    there = lambda f: (page(f) > 0) if kinds[f] in ("int", "bigint", "double") else F.size(page(f)) > 0 if kinds[f].startswith(("array", "map")) else page(f).isNotNull() if kinds[f] == "boolean" else text(page(f))
+    taken = [F.when((F.col("hydration") == "ok") & F.coalesce(there(f), F.lit(False)), page(f)).otherwise(mine(f)).alias(f) if f in fields else F.col(f) for f in base.columns]
+    return out.withColumn("hydration", state).select(*taken, "hydration")
+
+
 def editions(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
     """rows joined with catalogue on folded title, artist and (where both have the column) album, and
     durations within NEAR_MS where both know. Durations are cut into bands of NEAR_MS, and a row

@@ -38,6 +38,39 @@ FROM (
 #: Scores between 0 and 1 without text comparison, for operators that only order by a score.
 RANKED = f"SELECT *, CAST((supp * 37 + line * 11) % 101 AS DOUBLE) / 100 AS score, (supp * 37 + line * 11) % 101 >= 40 AS accepted, supp % 5 <> 0 AS artist_ok, line <> 5 AS identity_ok FROM ({CANDIDATES}) c"
 
+#: Records of sources, none of them paired with a request; one in five search rows has no duration.
+CATALOGUE = f"""
+SELECT provider, native_id, title, artist, guest, album, album_id, position, CAST(CASE WHEN supp % 5 = 2 THEN 0 ELSE real_ms END AS BIGINT) AS duration_ms, real_ms, isrc, release_date, label, line, supp
+FROM (
+  SELECT {_PROVIDER} AS provider, CAST(l_orderkey * 10 + l_linenumber AS STRING) AS native_id,
+    p_name || CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN ' (Official Video)' WHEN 3 THEN ' [Remastered]' WHEN 4 THEN ' (Live)' WHEN 5 THEN ' - Remix' ELSE ' (2011 Remaster)' END AS title,
+    CASE WHEN l_suppkey % 5 = 0 THEN 'Other Name' WHEN l_suppkey % 7 = 0 THEN p_brand || ' - Topic' ELSE p_brand END AS artist,
+    CASE WHEN l_suppkey % 4 = 2 THEN 'Guest ' || CAST(l_partkey % 3 AS STRING) END AS guest,
+    CASE WHEN l_linenumber % 4 = 3 THEN NULL WHEN l_suppkey % 13 = 0 THEN 'GREATEST HITS' ELSE p_type END AS album, 'al' || CAST(l_partkey % 50 AS STRING) AS album_id, CAST(l_linenumber AS INT) AS position,
+    CAST(180000 + CAST(l_quantity AS BIGINT) * 200 + CASE WHEN l_linenumber = 7 THEN 60000 ELSE 0 END AS BIGINT) AS real_ms,
+    CASE WHEN l_suppkey % 3 = 0 THEN 'USABC' || CAST(1000000 + l_partkey AS STRING) WHEN l_suppkey % 11 = 0 THEN 'GBXYZ' || CAST(1000000 + l_partkey AS STRING) END AS isrc,
+    substr(CAST(l_shipdate AS STRING), 1, 10) AS release_date, CASE WHEN l_suppkey % 4 = 1 THEN NULL ELSE 'Label ' || CAST(l_suppkey % 4 AS STRING) END AS label, l_linenumber AS line, l_suppkey AS supp,
+    row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_shipdate) AS k
+  FROM lineitem JOIN part ON l_partkey = p_partkey) x
+WHERE k = 1
+"""
+
+#: What a source's own page of a record says; some pages are another record's.
+DETAILS = f"""
+SELECT provider, native_id, CASE WHEN supp % 17 = 4 THEN title || ' II' ELSE upper(title) END AS title, artist, isrc, CASE WHEN supp % 19 = 5 THEN 'other' ELSE album_id END AS album_id,
+  CAST(real_ms + (supp % 3) * 1500 AS BIGINT) AS duration_ms, CASE WHEN supp % 2 = 0 THEN 'Detail ' || CAST(supp % 4 AS STRING) END AS label, CAST(NULL AS STRING) AS release_date
+FROM ({CATALOGUE}) d0 WHERE line <> 6
+"""
+
+#: Requests by ISRC alone, by id alone, and by artist and title.
+REQUESTS = f"""
+SELECT p_partkey AS query_id, CASE WHEN p_partkey % 4 >= 2 THEN p_name END AS q_title, CASE WHEN p_partkey % 4 >= 2 THEN p_brand END AS q_artist, CASE WHEN p_partkey % 4 = 3 THEN p_type END AS q_album,
+  CASE WHEN p_partkey % 4 = 0 THEN 'usabc' || CAST(1000000 + p_partkey AS STRING) END AS q_isrc,
+  CASE WHEN p_partkey % 4 = 1 THEN CASE v % 14 {" ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PLATFORMS))} END END AS q_provider,
+  CASE WHEN p_partkey % 4 = 1 THEN CAST(CAST((v - v % 14) / 14 AS BIGINT) AS STRING) END AS q_id
+FROM part JOIN (SELECT l_partkey AS k, min((l_orderkey * 10 + l_linenumber) * 14 + l_suppkey % 14) AS v FROM lineitem GROUP BY l_partkey) y ON p_partkey = k
+"""
+
 TRACKS = "SELECT CAST(l_orderkey AS BIGINT) AS album_id, CAST(1 + l_suppkey % 2 AS INT) AS disc, CAST(l_linenumber AS INT) AS position, CAST(l_partkey AS BIGINT) * 1000 + CAST(l_suppkey AS BIGINT) AS track_id FROM lineitem"
 DECLARED = "SELECT CAST(o_orderkey AS BIGINT) AS album_id, d AS disc, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE CAST(1 + (o_custkey + d) % 4 AS BIGINT) END AS declared FROM orders CROSS JOIN (SELECT 1 AS d UNION ALL SELECT 2 AS d) dd"
 HEALTH_EVENTS = "SELECT user_id % 14 AS source, ts, event_id AS seq, event_type = 'error' AS failed FROM events"

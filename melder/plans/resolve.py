@@ -10,13 +10,14 @@ from melder.operators import fusion, gates, identity, selection
 FIELDS = ["title", "album", "duration_ms", "release_date", "isrc", "label"]
 
 
-def accepted(candidates: DataFrame, method: str = "full") -> DataFrame:
+def accepted(candidates: DataFrame, method: str = "full", more: list[str] | None = None) -> DataFrame:
     """query_id and rows, an array of the scored and gated rows that are fused (so it has as many
     entries as there are sources): the best accepted one of each source without strays of duration,
-    or, where none is left, the best of all if it may be reported and passes the gates."""
+    or, where none is left, the best of all if it may be reported and passes the gates. Entries carry
+    the columns of `more` too."""
     rows = gates.judge(candidates, method)
     fits = (F.col("score") >= gates.REPORT) & F.col("artist_ok") & F.col("identity_ok")
-    entry = F.struct("provider", "rank", "score", "artist", "direct", *FIELDS, "accepted", fits.alias("fits"))
+    entry = F.struct("provider", "rank", "score", "artist", "direct", *FIELDS, *(more or []), "accepted", fits.alias("fits"))
     # one aggregate serves both cases: a source's best accepted row, or its best one if none is
     order = F.struct((~F.col("accepted")).alias("a"), (-F.col("score")).alias("s"), F.col("rank").alias("r"))
     asked = [F.bool_or(F.coalesce(F.trim("q_isrc"), F.lit("")) != "").alias("by_isrc"), F.bool_or(F.coalesce("q_direct", F.lit(False))).alias("by_id")]
@@ -37,16 +38,18 @@ def resolve(candidates: DataFrame, policy: fusion.Policy | None = None, method:
     kept = accepted(candidates, method).where(F.size("rows") > 0)
     per = kept.select(
         "query_id", F.size("rows").cast("long").alias("n_sources"), F.array_max(F.transform("rows", lambda x: x["score"])).alias("match_score"),
-        F.size(F.filter("rows", lambda x: x["isrc"].isNotNull())).alias("votes"), F.exists("rows", lambda x: x["provider"] == "musicbrainz").alias("has_mbid"), "rows",
+        F.exists("rows", lambda x: x["provider"] == "musicbrainz").alias("has_mbid"), "rows",
     )
-    rows = per.select("query_id", "n_sources", "match_score", "votes", "has_mbid", F.explode("rows").alias("e")).select("query_id", "n_sources", "match_score", "votes", "has_mbid", "e.*")
+    carried = ["n_sources", "match_score", "has_mbid"]
+    rows = per.select("query_id", *carried, F.explode("rows").alias("e")).select("query_id", *carried, "e.*")
     base = policy or fusion.Policy()
     by_source = fusion.Policy(base.mode, {**base.priorities, "artists": base.order("artists")})
     names = [*FIELDS, "artists"]
-    values = fusion.long_form(rows.withColumnRenamed("artist", "artists"), names, ["n_sources", "match_score", "votes", "has_mbid"])
-    won = fusion.choose(values, by_source, names, ["n_sources", "match_score", "votes", "has_mbid"])
+    won = fusion.choose(fusion.long_form(rows.withColumnRenamed("artist", "artists"), names, carried), by_source, names, carried)
     pick = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in names]
-    out = won.groupBy("query_id", "n_sources", "match_score", "votes", "has_mbid").agg(*pick).withColumnRenamed("artists", "artist").withColumn("mbid", F.lit(None).cast("string"))
+    # the sources that agree on the chosen ISRC vouch for it, others with one of their own don't
+    votes = F.coalesce(F.max(F.when(F.col("field") == "isrc", F.col("n_votes"))), F.lit(0)).alias("votes")
+    out = won.groupBy("query_id", *carried).agg(*pick, votes).withColumnRenamed("artists", "artist").withColumn("mbid", F.lit(None).cast("string"))
     has_isrc = F.col("isrc").isNotNull()
     return out.select(
         "query_id", identity.canonical_id("title", "artist", "isrc", "mbid").alias("canonical_id"), "title", "artist", "album", F.col("duration_ms").cast("long").alias("duration_ms"), "isrc", "n_sources", "match_score",

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_own_dir: dict[str, str] = {}
+
 
 def local_session(cpus: int = 8, app: str = "melder") -> SparkSession:
     """A session for one machine; on a cluster the caller brings their own."""
@@ -34,3 +39,23 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the folder that spark.checkpoint.dir names, read again: a plan's stages
+    are computed once, survive lost executors, and show the planner their true sizes.
+
+    Without that setting a folder of our own is taken in local mode; on a cluster, whose machines
+    don't share one, it is an error.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        app = spark.sparkContext.applicationId
+        folder = _own_dir.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="melder-")
+        _own_dir[app] = folder
+    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -26,6 +26,7 @@ from melder.llm.common import batches_of, written
 LENGTH = 2048
 END_ID = 0
 GROUP = 40_000  # pieces in a group, on average
+ROUNDS = 6  # in which the pieces of sequences that aren't full are placed
 CACHE = 1_200_000  # words whose ids a Python worker remembers, from task to task
 #: Fixed value: what the tokenizer's own pattern takes for one unit inside a word.
 _UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -176,12 +177,38 @@ def place(lengths: np.ndarray, length: int = LENGTH, spare: bool = False) -> tup
     return where, offset
 
 
+def place_again(lengths: np.ndarray, length: int = LENGTH, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """place() with further rounds: items of bins that aren't full are taken out and placed once more by
+    the same rule, longest first and in a drawn order by turns; the round with the fewest bins counts."""
+    where, offset = place(lengths, length)
+    best = where, offset
+    done, open_items = 0, np.arange(len(lengths))
+    for r in range(1, rounds):
+        count = int(where[open_items].max()) + 1 if len(open_items) else 0
+        fill = np.bincount(where[open_items] - done, weights=lengths[open_items], minlength=count - done)
+        full = fill == length
+        # full bins get the next numbers for good, in the order in which they were opened
+        number = done + np.cumsum(full) - 1
+        local = where[open_items] - done
+        where, offset = where.copy(), offset.copy()
+        where[open_items[full[local]]] = number[local[full[local]]]
+        open_items = open_items[~full[local]]
+        done += int(full.sum())
+        if not len(open_items):
+            break
+        order = open_items[np.argsort(-lengths[open_items], kind="stable")] if r % 2 else np.random.default_rng(r).permutation(open_items)
+        bins, at = place(lengths[order], length)
+        where[order], offset[order] = bins + done, at
+        if where.max() < best[0].max():
+            best = where, offset
+    return best
+
+
 def _place(length: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         # Long pieces first: each starts a bin or ends one, and the short ones find many gaps.
         g = g.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        # the rule as it stands, and with bins opened sparingly: what fills fewer sequences counts
-        where, offset = min((place(g["length"].to_numpy(), length, spare) for spare in (False, True)), key=lambda x: x[0].max())
+        where, offset = place_again(g["length"].to_numpy(), length)
         return g.assign(sequence_id=(g["part"].to_numpy() << 32) + where, offset=offset).drop(columns="part")
 
     return run
@@ -206,7 +233,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
     """
     cut = written(pieces(docs, tokenizer_path, length), "pieces")
     groups = max(1, round(cut.count() / GROUP))
-    dealt = cut.withColumn("part", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32), {groups}L)"))
+    # by a row's number in the written table: rows alike would all hash to one group
+    dealt = cut.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("part").applyInPandas(_place(length), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -123,3 +123,24 @@ def test_other_tokenizers_get_whole_texts():
     w = P.Words(public_tokenizers.path("byte_bpe_50k.json"))
     assert not w.cuts and P.Words(tokenizer()).cuts
     assert w.encode(["Hello  World"]) == [w._whole("Hello  World")]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_further_rounds_keep_sequences_sound(seed):
+    r = np.random.default_rng(seed)
+    sizes = np.sort(r.integers(1, 101, size=r.integers(0, 400)))[::-1].copy()
+    if len(sizes):
+        where, offset = P.place_again(sizes, 100)
+        assert where.max() <= P.place(sizes, 100)[0].max()
+        assert sorted(set(where)) == list(range(where.max() + 1))
+        for b in range(where.max() + 1):
+            inside = sorted((o, s) for o, s, w in zip(offset, sizes, where, strict=True) if w == b)
+            assert all(o == sum(s for _, s in inside[:i]) for i, (o, _) in enumerate(inside)) and sum(s for _, s in inside) <= 100
+
+
+def test_rows_alike_are_dealt_over_groups(spark, frame, monkeypatch):
+    monkeypatch.setattr(P, "GROUP", 50)
+    from melder.llm.queries import tokenizer
+
+    done = P.pack(frame([(1, "the same words")] * 400, "doc_id long, text string"), tokenizer())
+    assert done.count() == 400 and done.selectExpr("shiftright(sequence_id, 32)").distinct().count() > 4

@@ -141,7 +141,8 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """From at most about SAMPLE_ROWS labelled documents, drawn by a hash of doc_id."""
+    """From at most about SAMPLE_ROWS labelled documents, drawn by a hash of doc_id. Of rows that repeat a
+    doc_id the one whose text has the smallest hash is learned from, however many there are."""
     rows = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(crc32_mod("doc_id", FOLDS) != HELD_OUT)
     # repeated labels of a document: the lower one counts
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -154,7 +155,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             got = [counts(t) for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "quality": f["quality"], "at": [a.tobytes() for a, _ in got], "n": [v.tobytes() for _, v in got]})
 
-    found = docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text").mapInPandas(run, "doc_id long, quality int, at binary, n binary").collect()
+    one = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality")).alias("m"))
+    found = one.select("doc_id", "m.quality", "m.text").mapInPandas(run, "doc_id long, quality int, at binary, n binary").collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["at"]), bytes(r["n"])))
     x = np.zeros((len(found), DIMENSIONS), dtype=np.float32)
     for i, r in enumerate(found):

@@ -172,4 +172,12 @@ def test_pipeline_dedup_leaves_no_link(spark):
 
 
 def test_every_operator_has_its_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 14)) and "pipeline" in queries.QUERIES
+
+
+def test_one_row_of_each_labelled_id_is_learned_from(spark, frame):
+    from melder.llm import quality_knn
+
+    docs = frame([(2, f"text number {i}") for i in range(5000)] + [(3, "another good text")], "doc_id long, text string")
+    model = quality_knn.learn(docs, frame([(2, 0), (3, 1), (4, 1)], "doc_id long, quality int"))
+    assert len(model.labels) <= 2

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from melder.llm.common import lower_ascii, written
+from melder.llm.common import lower_ascii, small_side, written
 
 #: Fixed value: the letters of a run.
 LETTERS = r"A-Za-zÀ-ÿ"
@@ -80,7 +80,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     word's own, so a chain of length c takes log2(c) rounds."""
     now = written(forms.select("word", F.col("form").alias("root")), "roots")
     for _ in range(MAX_ROUNDS):
-        further = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
+        further = small_side(now.select(F.col("word").alias("root"), F.col("root").alias("next")))
         step = written(now.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         now = step.select("word", "root")
         if step.where("moved").isEmpty():

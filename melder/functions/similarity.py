@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from melder.functions.text import clean_artist, clean_title, round2, token_set_ratio
+from melder.session import staged
 
 
 def jaro(a: bytes, b: bytes) -> float:
@@ -77,21 +78,25 @@ BROADCAST_BYTES = 32 << 20
 def with_pairs(rows: DataFrame, facts: dict[tuple[str, str], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """rows with the columns that each facts[(a, b)] adds to the distinct values of columns a and b.
 
-    Sources repeat each other, so a pair of texts is compared once, not once a row. Pairs are counted
-    in one scan of the texts alone; those under BROADCAST_BYTES go to the rows, which then don't
-    move; others meet the rows in a shuffle, where AQE splits a pair that many rows share.
+    Sources repeat each other, so a pair of texts is compared once, not once a row. One scan of the
+    texts alone writes the distinct pairs; kinds of pairs under BROADCAST_BYTES are dealt over all cores,
+    whatever their few bytes, and go to the rows, which then don't move; others meet the rows in a
+    shuffle, where AQE splits a pair that many rows share. What the facts add is a few numbers a pair.
     """
     kinds = list(facts)
-    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) + 64
+    spark = rows.sparkSession
     entry = lambda i, a, b: F.struct(F.lit(i).alias("kind"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
-    every = rows.select(F.explode(F.array(*[entry(i, a, b) for i, (a, b) in enumerate(kinds)])).alias("p")).select("p.*").distinct()
+    every = staged(rows.select(F.explode(F.array(*[entry(i, a, b) for i, (a, b) in enumerate(kinds)])).alias("p")).select("p.*").distinct(), "pairs")
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) + 64
     sizes = {r["kind"]: r["bytes"] for r in every.groupBy("kind").agg(F.sum(size("a") + size("b")).alias("bytes")).collect()}
     out = rows
     for i, (a, b) in enumerate(kinds):
-        made = facts[a, b](rows.select(a, b).distinct())
-        made = made.withColumnsRenamed({a: "_left", b: "_right"})
-        if sizes.get(i, 0) <= BROADCAST_BYTES:
-            made = F.broadcast(made)
+        pairs = every.where(F.col("kind") == i).select(F.col("a").alias(a), F.col("b").alias(b))
+        small = sizes.get(i, 0) <= BROADCAST_BYTES
+        if small:
+            pairs = pairs.repartition(spark.sparkContext.defaultParallelism)
+        made = facts[a, b](pairs).withColumnsRenamed({a: "_left", b: "_right"})
+        made = F.broadcast(made) if small else made
         out = out.join(made, F.col(a).eqNullSafe(F.col("_left")) & F.col(b).eqNullSafe(F.col("_right")), "left").drop("_left", "_right")
     return out
 

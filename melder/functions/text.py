@@ -135,6 +135,13 @@ def clean_channel(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(head, " - VEVO$", ""), "VEVO$", ""))
 
 
+def unescaped(c: Column) -> Column:
+    """HTML entities of JSON sources as characters, each once: what an ampersand's own entity spells stays."""
+    for entity, letter in (("&quot;", '"'), ("&#0?39;|&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;|&#160;", "\u00a0"), ("&amp;|&#0?38;", "&")):
+        c = F.regexp_replace(c, entity, letter)
+    return c
+
+
 def clock_ms(c: Column) -> Column:
     """H:MM:SS, MM:SS or seconds to milliseconds; 0 for anything else."""
     p = F.split(c, ":")

@@ -40,6 +40,45 @@ def bounded(rows: DataFrame, order: list[str], most: int) -> DataFrame:
     return rows.withColumn("n", n).withColumn("truncated", F.count("*").over(w) > most).where(F.col("n") <= most).drop("n")
 
 
+def capped(nodes: DataFrame, edges: DataFrame, most_nodes: int = MAX_NODES, most_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of each root's graph within both caps, with truncated: whether the graph lost any.
+
+    nodes(root, id, seq, ...) and edges(root, source, target, type, seq, ...) may be a union of several
+    graphs of a root. The first nodes by first appearance (seq, then id) stay, once each with their first
+    row; then the first edges between two of them, equal ones once. A root's graph is cut by its
+    rank before anything is gathered, so a hot root costs a sort of its own rows.
+    """
+    row = F.struct("seq", *[c for c in nodes.columns if c not in ("root", "id", "seq")])
+    once = nodes.where("id is not null").groupBy("root", "id").agg(F.min(row).alias("r")).select("root", "id", "r.*")
+    w = Window.partitionBy("root")
+    ranked = once.withColumns({"place": F.row_number().over(w.orderBy("seq", "id")), "_n": F.count("*").over(w)})
+    kept = ranked.where(F.col("place") <= most_nodes).withColumn("_cut", F.col("_n") > most_nodes).drop("_n")
+    one = edges.where("source <> target").groupBy("root", "source", "target", "type").agg(F.min(F.struct("seq", *[c for c in edges.columns if c not in ("root", "source", "target", "type", "seq")])).alias("r")).select("root", "source", "target", "type", "r.*")
+    for end in ("source", "target"):
+        one = one.join(kept.select("root", F.col("id").alias(end)), ["root", end], "left_semi")
+    placed = one.withColumns({"place": F.row_number().over(w.orderBy("seq", "source", "target", "type")), "_n": F.count("*").over(w)})
+    inside = placed.where(F.col("place") <= most_edges).withColumn("_over", F.col("_n") > most_edges).drop("_n")
+    flags = kept.groupBy("root").agg(F.bool_or("_cut").alias("a")).join(inside.groupBy("root").agg(F.bool_or("_over").alias("b")), "root", "left")
+    flags = flags.select("root", (F.col("a") | F.coalesce("b", F.lit(False))).alias("truncated"))
+    return kept.drop("_cut").join(flags, "root"), inside.drop("_over").join(flags, "root")
+
+
+def album(albums: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of albums(album_id, title, tracks) as the readers of sources.albums give them: the
+    release, its returned track entries, which appear on it at their places, and the artists of each
+    entry, who are nodes of their own below it. The root is the release."""
+    root = node_id(F.lit(provider), F.lit("release"), F.col("album_id"))
+    t = albums.select(root.alias("root"), "album_id", F.posexplode("tracks").alias("i", "t")).select("root", "album_id", ((F.col("i") + 1) * 1000).alias("seq"), "t.*")
+    entry = node_id(F.lit(provider), F.lit("track_entry"), F.concat_ws("/", "album_id", F.col("disc").cast("string"), F.col("position").cast("string"), "track_id"))
+    t = t.withColumn("entry", entry)
+    a = t.select("root", "entry", "seq", F.posexplode("artists").alias("j", "artist")).where("coalesce(trim(artist), '') <> ''").withColumns({"seq": F.col("seq") + F.col("j") + 1, "who": local_artist_id(F.lit(provider), F.col("entry"), F.col("artist"))})
+    nodes = albums.select(root.alias("root"), root.alias("id"), F.lit(0).alias("seq"), F.lit("release").alias("type"), F.col("title").alias("name"))
+    nodes = nodes.unionAll(t.select("root", "entry", "seq", F.lit("track_entry"), "title")).unionAll(a.select("root", "who", "seq", F.lit("artist"), "artist"))
+    edges = t.select("root", F.col("entry").alias("source"), F.col("root").alias("target"), F.lit("appears_on").alias("type"), "seq", "disc", "position", F.lit(None).cast("string").alias("role"))
+    none = F.lit(None).cast("int")
+    return nodes, edges.unionAll(a.select("root", "who", "entry", F.lit("credit"), "seq", none, none, F.lit("primary_artist")))
+
+
 def credit_edges(credits: DataFrame) -> DataFrame:
     """source, target, type, attributes of credits(root, provider, target, native_artist, name, role).
 

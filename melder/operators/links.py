@@ -52,30 +52,70 @@ def parts(url: Column) -> dict[str, Column]:
     }
 
 
-def recognise(url: Column) -> Column:
-    """struct(provider, id) of a direct track link; null for any other. Only https without port,
-    user and encoded separators, at most 4096 characters."""
-    host, path = parts(url)["host"], F.coalesce(parts(url)["path"], F.lit(""))
-    param = lambda k: F.regexp_extract(url, rf"[?&]{k}=([^&#]+)", 1)
-    seg = lambda p: F.regexp_extract(path, p, 1)
-    made = lambda provider, i: F.struct(F.lit(provider).alias("provider"), i.alias("id"))
+#: The request field that a source's link fills.
+LINK_FIELDS = {
+    "spotify": "spotify_id", "ytmusic": "youtube_id", "applemusic": "apple_id", "deezer": "deezer_id", "jiosaavn": "jiosaavn_url", "soundcloud": "soundcloud_id", "musicbrainz": "musicbrainz_id", "tidal": "tidal_id", "qobuz": "qobuz_id",
+}
+_NUMBER = "^[0-9]{1,18}$"
+_LOCALE = "^[a-zA-Z]{2}(-[a-zA-Z]{2})?$"
+
+
+def _decoded(c: Column) -> Column:
+    """Percent escapes resolved, a plus sign left alone; null for broken escapes."""
+    return F.when(~c.rlike("%(?![0-9a-fA-F]{2})"), F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))))
+
+
+def recognised(rows: DataFrame, column: str = "url") -> DataFrame:
+    """rows with link, a struct(provider, field, id) of a direct track link; null for any other.
+
+    Only https without port and user, at most 4096 bytes, no control characters, encoded separators, empty
+    or dot segments; a parameter that names the track occurs once. Hosts that only redirect, lists
+    and albums aren't track links.
+    """
+    raw = F.trim(F.col(column))
+    host = F.lower(F.regexp_extract("_raw", r"(?i)^https://([^/?#]*)", 1))
+    path = F.regexp_extract("_raw", r"(?i)^https://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract("_raw", r"(?i)^https://[^/?#]*[^?#]*\?([^#]*)", 1)
+    pairs = F.filter(F.split("_query", "&"), lambda p: p != "")
+    named = lambda k: F.filter("_params", lambda p: p["k"] == k)
+    out = rows.withColumn("_raw", raw).withColumns({"_host": host, "_path": path, "_query": query})
+    # step by step: nested, the expressions would be generated many times over
+    out = out.withColumns({"_p": F.split(F.regexp_replace(_decoded(F.col("_path")), "^/+|/+$", ""), "/"), "_params": F.transform(pairs, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), F.when(p.contains("="), _decoded(F.regexp_replace(p, "^[^=]*=", ""))).otherwise(F.lit("")).alias("v")))})
+    out = out.withColumns({"_v": named("v"), "_i": named("i")})
+    sound = (
+        (F.octet_length("_raw") <= 4096) & ~F.col("_raw").rlike(r"[\x00-\x1F\x7F-\x9F]") & F.col("_host").rlike("^[^@:]+$") & ~F.col("_path").rlike(r"(?i)%2f|%5c|\\") & ~F.col("_query").contains(";")
+        & ~F.exists("_p", lambda x: x.isin("", ".", "..")) & ~F.exists("_params", lambda p: p["k"].isNull() | p["v"].isNull()) & (F.size("_v") <= 1) & (F.size("_i") <= 1)
+    )
+    leave = lambda p, test: F.when(test, F.slice(p, 2, 100)).otherwise(p)
+    p = F.col("_p")
+    at = lambda q, i: F.get(q, F.lit(i))
+    tail = F.when(F.col("_host") == "open.spotify.com", leave(p, (at(p, 0) == "embed") | at(p, 0).rlike("^intl-[a-zA-Z]{2}(-[a-zA-Z]{2})?$")))
+    tail = tail.when(F.col("_host").isin("deezer.com", "www.deezer.com"), leave(p, (F.size(p) == 3) & at(p, 0).rlike(_LOCALE))).when(F.col("_host").endswith("tidal.com"), leave(p, (F.size(p) == 3) & (at(p, 0) == "browse"))).otherwise(p)
+    out = out.withColumns({"_ok": F.coalesce(sound, F.lit(False)), "_t": tail, "_n": F.size("_p")})
+    t, n = F.col("_t"), F.col("_n")
+    track = (F.size(t) == 2) & (at(t, 0) == "track")
+    only = lambda test, value, pattern: F.when(test & value.rlike(pattern), value)
+    video = F.when(F.col("_host").isin("youtu.be", "www.youtu.be"), F.when(n == 1, at(p, 0))).when((n == 1) & (at(p, 0) == "watch"), F.get("_v", F.lit(0))["v"]).when((n == 2) & at(p, 0).isin("shorts", "embed", "live"), at(p, 1))
+    apple = F.when(n.isin(3, 4) & at(p, 0).rlike(_LOCALE), F.when(at(p, 1) == "song", F.element_at(p, -1)).when(at(p, 1) == "album", F.get("_i", F.lit(0))["v"]))
+    part = "^[A-Za-z0-9_-]+$"
+    sounds = (n == 2) & at(p, 0).rlike(part) & at(p, 1).rlike(part) & (at(p, 1) != "sets") & ~at(p, 0).isin("discover", "you")
     rules = [
-        (url.rlike(r"^spotify:track:[A-Za-z0-9]{22}$"), "spotify", F.regexp_extract(url, r"track:(.*)$", 1)),
-        (host == "open.spotify.com", "spotify", seg(r"^(?:/intl-[a-z]{2})?/track/([A-Za-z0-9]{22})/?$")),
-        (host.isin("youtube.com", "www.youtube.com", "m.youtube.com", "music.youtube.com") & (path == "/watch"), "ytmusic", F.regexp_extract(param("v"), r"^([A-Za-z0-9_-]{11})$", 1)),
-        (host == "youtu.be", "ytmusic", seg(r"^/([A-Za-z0-9_-]{11})/?$")),
-        (host == "music.apple.com", "applemusic", F.coalesce(F.nullif(F.regexp_extract(param("i"), r"^([0-9]+)$", 1), F.lit("")), seg(r"^/[a-z]{2}/song/(?:[^/]+/)?([0-9]+)/?$"))),
-        (host.isin("deezer.com", "www.deezer.com"), "deezer", seg(r"^(?:/[a-z]{2})?/track/([0-9]+)/?$")),
-        (host == "soundcloud.com", "soundcloud", seg(r"^/([A-Za-z0-9_-]+/[A-Za-z0-9_-]+)/?$")),
-        (host == "musicbrainz.org", "musicbrainz", seg(f"^/recording/({UUID})/?$")),
-        (host.isin("tidal.com", "www.tidal.com", "listen.tidal.com"), "tidal", seg(r"^(?:/browse)?/track/([0-9]+)/?$")),
-        (host.isin("open.qobuz.com", "play.qobuz.com"), "qobuz", seg(r"^/track/([0-9]+)/?$")),
+        ("spotify", ["open.spotify.com"], only(track, at(t, 1), "^[A-Za-z0-9]{22}$")),
+        ("ytmusic", ["youtube.com", "www.youtube.com", "m.youtube.com", "music.youtube.com", "youtu.be", "www.youtu.be"], only(F.lit(True), video, "^[A-Za-z0-9_-]{11}$")),
+        ("applemusic", ["music.apple.com", "itunes.apple.com"], only(F.lit(True), apple, _NUMBER)),
+        ("deezer", ["deezer.com", "www.deezer.com"], only(track, at(t, 1), _NUMBER)),
+        ("jiosaavn", ["jiosaavn.com", "www.jiosaavn.com"], F.when((n == 3) & (at(p, 0) == "song") & at(p, 2).rlike("^[A-Za-z0-9_,+-]{1,128}$"), F.concat(F.lit("https://www.jiosaavn.com/"), F.regexp_replace("_path", "^/+|/+$", "")))),
+        ("soundcloud", ["soundcloud.com", "www.soundcloud.com", "m.soundcloud.com"], F.when(sounds, F.array_join(p, "/"))),
+        ("musicbrainz", ["musicbrainz.org"], F.when((n == 2) & (at(p, 0) == "recording") & at(p, 1).rlike(f"^{UUID}$"), F.lower(at(p, 1)))),
+        ("tidal", ["tidal.com", "www.tidal.com", "listen.tidal.com"], only(track, at(t, 1), _NUMBER)),
+        ("qobuz", ["open.qobuz.com", "play.qobuz.com"], only(track, at(t, 1), _NUMBER)),
     ]
-    out = F.lit(None)
-    for test, provider, i in reversed(rules):
-        out = F.when(test, F.when(i != "", made(provider, i))).otherwise(out)
-    sound = (F.length(url) <= 4096) & ~url.rlike(r"[\x00-\x1F\x7F]") & ~url.rlike(r"(?i)%2f|%5c") & (url.rlike(r"^https://[^/?#@:]+(?:[/?#]|$)") | url.startswith("spotify:"))
-    return F.when(sound, out)
+    uri = F.regexp_extract("_raw", "^spotify:track:([A-Za-z0-9]{22})$", 1)
+    named_id = lambda provider, i: F.when(i.isNotNull(), F.struct(F.lit(provider).alias("provider"), F.lit(LINK_FIELDS[provider]).alias("field"), i.alias("id")))
+    link = F.when(F.col("_raw").startswith("spotify:track:"), named_id("spotify", F.nullif(uri, F.lit(""))))
+    for provider, hosts, i in rules:
+        link = link.when(F.col("_ok") & F.col("_host").isin(*hosts), named_id(provider, i))
+    return out.withColumn("link", link).drop("_raw", "_host", "_path", "_query", "_p", "_params", "_v", "_i", "_ok", "_t", "_n")
 
 
 def owned_url(provider: Column, id_: Column, url: Column) -> Column:

@@ -60,33 +60,38 @@ def _prefix(words: Column, least: float) -> Column:
     return F.slice(words, 1, F.greatest(n - F.ceil(n * least - 1e-9) + 1, F.lit(0)).cast("int"))
 
 
-def similar_texts(asked: DataFrame, catalogue: DataFrame, least: float = LEAST, block: int = BLOCK_TEXTS) -> DataFrame:
-    """q_title, q_artist, title, artist, ratio, artist_ratio: the catalogue's texts with at least the share
-    `least` of words common to both cleaned titles, whose artist has all words of the wanted one.
+class Index:
+    """The inverted index of a catalogue's texts, written once for any number of searches.
 
-    asked has q_title and q_artist, catalogue title and artist. Texts without words match nothing.
+    texts: title and artist with the words of both, title words rarest first; titles, names: how many
+    texts have a word; blocks: (a, t) to texts, a an artist's word and t one of the rarest words of
+    the title; large: the blocks that are cut, with their number of parts.
     """
-    # written before they are filtered: a filter pushed down would clean every text once more
-    have = staged(_texts(catalogue, "title", "artist"), "texts").where("size(tw) > 0 and size(aw) > 0")
-    want = staged(_texts(asked, "q_title", "q_artist"), "wanted").where("size(tw) > 0 and size(aw) > 0")
-    titles, names = staged(_counted(have, "tw"), "title_words"), staged(_counted(have, "aw"), "artist_words")
 
-    index = _ordered(have, "tw", titles)
-    index = index.withColumn("a", F.explode("aw")).withColumn("t", F.explode(_prefix(F.col("tw"), least)))
-    index = staged(index, "index")
-    probe = _ordered(_ordered(want, "tw", titles), "aw", names).withColumn("a", F.get("aw", F.lit(0)))
-    probe = probe.withColumn("t", F.explode(_prefix(F.col("tw"), least))).withColumnsRenamed({"title": "q_title", "artist": "q_artist", "tw": "q_tw", "aw": "q_aw"})
-
-    large = index.groupBy("a", "t").agg(F.count("*").alias("c")).where(F.col("c") > block).select("a", "t", F.ceil(F.col("c") / block).cast("int").alias("parts"))
-    large = staged(large, "blocks")
-    parts = F.coalesce("parts", F.lit(1))
-    index = index.join(large, ["a", "t"], "left").withColumn("part", F.pmod(F.xxhash64("title", "artist"), parts).cast("int")).drop("parts")
-    probe = probe.join(large, ["a", "t"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-
-    met = probe.join(index, ["a", "t", "part"])
-    shared = lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    met = met.withColumns({"ratio": shared("q_tw", "tw"), "artist_ratio": shared("q_aw", "aw")})
-    return met.where((F.col("ratio") >= least) & (F.size(F.array_except("q_aw", "aw")) == 0)).select("q_title", "q_artist", "title", "artist", "ratio", "artist_ratio").distinct()
+    def __init__(self, catalogue: DataFrame, least: float = LEAST, block: int = BLOCK_TEXTS):
+        self.least = least
+        # written before it is filtered: a filter pushed down would clean every text once more
+        texts = staged(_texts(catalogue, "title", "artist"), "texts").where("size(tw) > 0 and size(aw) > 0")
+        self.titles, self.names = staged(_counted(texts, "tw"), "title_words"), staged(_counted(texts, "aw"), "artist_words")
+        blocks = _ordered(texts, "tw", self.titles).withColumn("a", F.explode("aw")).withColumn("t", F.explode(_prefix(F.col("tw"), least)))
+        self.blocks = staged(blocks, "index")
+        large = self.blocks.groupBy("a", "t").agg(F.count("*").alias("c")).where(F.col("c") > block)
+        self.large = staged(large.select("a", "t", F.ceil(F.col("c") / block).cast("int").alias("parts")), "blocks")
+
+    def similar(self, asked: DataFrame) -> DataFrame:
+        """q_title, q_artist, title, artist, ratio, artist_ratio: the texts with at least the share `least`
+        of words common to both cleaned titles, whose artist has all words of the wanted one.
+        Texts without words match nothing."""
+        want = staged(_texts(asked, "q_title", "q_artist"), "wanted").where("size(tw) > 0 and size(aw) > 0")
+        probe = _ordered(_ordered(want, "tw", self.titles), "aw", self.names).withColumn("a", F.get("aw", F.lit(0)))
+        probe = probe.withColumn("t", F.explode(_prefix(F.col("tw"), self.least))).withColumnsRenamed({"title": "q_title", "artist": "q_artist", "tw": "q_tw", "aw": "q_aw"})
+        parts = F.coalesce("parts", F.lit(1))
+        index = self.blocks.join(self.large, ["a", "t"], "left").withColumn("part", F.pmod(F.xxhash64("title", "artist"), parts).cast("int")).drop("parts")
+        probe = probe.join(self.large, ["a", "t"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        met = probe.join(index, ["a", "t", "part"])
+        shared = lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+        met = met.withColumns({"ratio": shared("q_tw", "tw"), "artist_ratio": shared("q_aw", "aw")})
+        return met.where((F.col("ratio") >= self.least) & (F.size(F.array_except("q_aw", "aw")) == 0)).select("q_title", "q_artist", "title", "artist", "ratio", "artist_ratio").distinct()
 
 
 def by_id(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def by_isrc(wanted: DataFrame, catalogue: DataFrame, most: int = MOST) -> DataFr
     return asked.join(heads, ["provider", "code"]).select("query_id", "provider", "native_id", "rank")
 
 
-def by_words(wanted: DataFrame, catalogue: DataFrame, most: int = MOST, least: float = LEAST) -> DataFrame:
+def by_words(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int = MOST) -> DataFrame:
     """The first records of each source whose title and artist match the request's in words: by the
     weighted share of common words, then native id.
 
@@ -110,7 +115,7 @@ def by_words(wanted: DataFrame, catalogue: DataFrame, most: int = MOST, least: f
     `most` of a source before they meet a request.
     """
     asked = wanted.where(_given("q_title") & _given("q_artist")).select("query_id", "provider", "q_title", "q_artist")
-    pairs = similar_texts(asked, catalogue, least)
+    pairs = index.similar(asked)
     same = F.coalesce("title", F.lit("")).alias("title"), F.coalesce("artist", F.lit("")).alias("artist")
     heads = _first(catalogue.select("provider", "native_id", *same), ["provider", "title", "artist"], ["native_id"], most, "head").drop("head")
     order = [(0.55 * F.col("ratio") + 0.45 * F.col("artist_ratio")).desc(), F.col("native_id")]
@@ -118,9 +123,10 @@ def by_words(wanted: DataFrame, catalogue: DataFrame, most: int = MOST, least: f
     return asked.join(found, ["q_title", "q_artist", "provider"]).select("query_id", "provider", "native_id", "rank")
 
 
-def retrieve(wanted: DataFrame, catalogue: DataFrame, most: int = MOST, least: float = LEAST) -> DataFrame:
+def retrieve(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int = MOST) -> DataFrame:
     """query_id, provider, native_id, rank, tier of wanted(query_id, provider, q_title, q_artist, q_isrc,
-    q_provider, q_id), a row for each source to ask, over catalogue(provider, native_id, title, artist, isrc).
+    q_provider, q_id), a row for each source to ask, over catalogue(provider, native_id, title, artist, isrc)
+    and its Index.
 
     tier is id, isrc or words. The source whose id is asked for is looked up by it alone. Each tier is
     written before the next looks at what it left.
@@ -130,6 +136,6 @@ def retrieve(wanted: DataFrame, catalogue: DataFrame, most: int = MOST, least: f
     ids = staged(by_id(wanted, catalogue), "by_id")
     rest = wanted.where(~own)
     codes = staged(by_isrc(rest, catalogue, most), "by_isrc")
-    words = staged(by_words(rest.join(codes.select(*key).distinct(), key, "left_anti"), catalogue, most, least), "by_words")
+    words = staged(by_words(rest.join(codes.select(*key).distinct(), key, "left_anti"), catalogue, index, most), "by_words")
     tiers = [df.select(*key, "native_id", "rank", F.lit(name).alias("tier")) for df, name in ((ids, "id"), (codes, "isrc"), (words, "words"))]
     return tiers[0].unionAll(tiers[1]).unionAll(tiers[2])

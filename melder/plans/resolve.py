@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from melder.operators import fusion, gates, identity, selection
+from melder.session import staged
 
 FIELDS = ["title", "album", "duration_ms", "release_date", "isrc", "label"]
 
@@ -35,7 +36,8 @@ def resolve(candidates: DataFrame, policy: fusion.Policy | None = None, method:
     Candidates are scored where they are read; what is left of them is shuffled once by query
     and source and once by query, and the fusion that follows keeps that partitioning.
     """
-    kept = accepted(candidates, method).where(F.size("rows") > 0)
+    # written before it is filtered: the filter would be pushed below what makes the arrays
+    kept = staged(accepted(candidates, method), "kept").where(F.size("rows") > 0)
     per = kept.select(
         "query_id", F.size("rows").cast("long").alias("n_sources"), F.array_max(F.transform("rows", lambda x: x["score"])).alias("match_score"),
         F.exists("rows", lambda x: x["provider"] == "musicbrainz").alias("has_mbid"), "rows",

@@ -35,11 +35,11 @@ def cleaned(requests: DataFrame) -> DataFrame:
     return requests.select("query_id", clean_title(F.col("q_title")).alias("q_title"), clean_artist(F.col("q_artist")).alias("q_artist"), *[c for c in ASKED if c not in ("q_title", "q_artist")])
 
 
-def first_pass(requests: DataFrame, catalogue: DataFrame, sources: list[str] = PLATFORMS) -> DataFrame:
+def first_pass(requests: DataFrame, catalogue: DataFrame, index: retrieval.Index, sources: list[str] = PLATFORMS) -> DataFrame:
     """query_id, provider, native_id, rank, tier, trusted: what the sources give for cleaned() requests;
     trusted ones are what a request by id or ISRC names, for a request by texts all."""
     wanted = selection.asked_sources(requests, sources).join(requests, "query_id")
-    found = retrieval.retrieve(wanted, catalogue)
+    found = retrieval.retrieve(wanted, catalogue, index)
     rows = found.join(catalogue.select("provider", "native_id", "isrc"), ["provider", "native_id"]).join(requests.select("query_id", "q_isrc", "q_provider", "q_id"), "query_id")
     return selection.trusted(rows.withColumn("accepted", F.lit(True))).select("query_id", "provider", "native_id", "rank", "tier", "trusted")
 
@@ -55,7 +55,7 @@ def seeds(requests: DataFrame, first: DataFrame, catalogue: DataFrame) -> DataFr
     return won.groupBy("query_id").agg(*pick)
 
 
-def second_pass(seed: DataFrame, first: DataFrame, catalogue: DataFrame, sources: list[str] = PLATFORMS) -> DataFrame:
+def second_pass(seed: DataFrame, first: DataFrame, catalogue: DataFrame, index: retrieval.Index, sources: list[str] = PLATFORMS) -> DataFrame:
     """query_id, provider, native_id, rank, tier of the sources without a trusted candidate, asked with
     the seed's cleaned texts and ISRC."""
     status = first.where("trusted").select("query_id", "provider", F.lit("matched").alias("status")).distinct()
@@ -63,7 +63,7 @@ def second_pass(seed: DataFrame, first: DataFrame, catalogue: DataFrame, sources
         "query_id", clean_title(F.coalesce("s_title", F.lit(""))).alias("q_title"), clean_artist(F.coalesce("s_artist", F.lit(""))).alias("q_artist"), F.col("s_isrc").alias("q_isrc"), F.lit(None).cast("string").alias("q_provider"), F.lit(None).cast("string").alias("q_id"),
     )
     asked = staged(asked, "asked_again")
-    return retrieval.retrieve(enrich.second_pass(asked.select("query_id"), status, asked, sources), catalogue)
+    return retrieval.retrieve(enrich.second_pass(asked.select("query_id"), status, asked, sources), catalogue, index)
 
 
 def candidates(requests: DataFrame, first: DataFrame, second: DataFrame, seed: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -119,15 +119,17 @@ def run(requests: DataFrame, catalogue: DataFrame, details: DataFrame, sources:
     requests: query_id and ASKED; catalogue: provider, native_id and FACTS, details as enrich.with_detail()
     wants them. Stages that several later ones read are written once.
     """
-    asked = staged(cleaned(requests), "requests")
-    out = {"first": staged(first_pass(asked, catalogue, sources), "first")}
+    asked, catalogue = staged(cleaned(requests), "requests"), staged(catalogue, "catalogue")
+    index = retrieval.Index(catalogue)
+    out = {"first": staged(first_pass(asked, catalogue, index, sources), "first")}
     out["seeds"] = staged(seeds(asked, out["first"], catalogue), "seeds")
-    out["second"] = staged(second_pass(out["seeds"], out["first"], catalogue, sources), "second")
+    out["second"] = staged(second_pass(out["seeds"], out["first"], catalogue, index, sources), "second")
     every = staged(candidates(asked, out["first"], out["second"], out["seeds"], catalogue), "candidates")
-    kept = accepted(every, method, ["native_id", "pass", "q_provider", "q_isrc", "artists", "album_id", "position"])
+    # written before it is exploded: the filter on its size would be pushed below what makes the arrays
+    kept = staged(accepted(every, method, ["native_id", "pass", "q_provider", "q_isrc", "artists", "album_id", "position"]), "kept")
     rows = kept.select("query_id", F.explode("rows").alias("e")).select("query_id", "e.*")
     rows = rows.withColumns({"by_isrc": _given("q_isrc"), "by_id": _given("q_provider")})
-    out["accepted"] = staged(rows, "accepted")
+    out["accepted"] = rows
     out["hydrated"] = staged(hydrated(out["accepted"], details), "hydrated")
     out["rows"] = out["hydrated"].select("query_id", F.explode("rows").alias("e")).select("query_id", "e.*")
     return out

@@ -234,7 +234,7 @@ def health_counts(spark: SparkSession, sf: str) -> DataFrame:
     return state.states(P.view(spark, sf, _HEALTH))
 
 
-_CALLS = "SELECT user_id % 50 AS key, CAST(event_id % 977 AS DOUBLE) / 8 AS moment, event_id AS seq FROM events WHERE event_id < 20000"
+_CALLS = "SELECT user_id % 50 AS key, CAST(event_id % 977 AS DOUBLE) / 8 AS moment, event_id AS seq FROM events"
 
 
 @query(f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY moment, seq) AS n FROM ({_CALLS}) x),

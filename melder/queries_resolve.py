@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from melder.operators import retrieval
 from melder.operators.links import PLATFORMS
 from melder.plans import projection as P
 from melder.plans import stages
@@ -59,20 +60,25 @@ def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     return P.view(spark, sf, P.REQUESTS), catalogue.withColumn("artists", artists), P.view(spark, sf, P.DETAILS)
 
 
+def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, retrieval.Index]:
+    requests, catalogue, _ = _tables(spark, sf)
+    catalogue = staged(catalogue, "catalogue")
+    return staged(stages.cleaned(requests), "requests"), catalogue, retrieval.Index(catalogue)
+
+
 @query(f"{_FIRST} SELECT query_id, provider, native_id, rank, tier, trusted FROM first")
 def first_pass_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Requests to candidates by id, ISRC and words, without ready-made pairs."""
-    requests, catalogue, _ = _tables(spark, sf)
-    return stages.first_pass(staged(stages.cleaned(requests), "requests"), catalogue)
+    asked, catalogue, index = _indexed(spark, sf)
+    return stages.first_pass(asked, catalogue, index)
 
 
 @query(f"{_SECOND} SELECT query_id, provider, native_id, rank, tier FROM more")
 def second_pass_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Sources without a trusted candidate, asked with the seed's texts and ISRC."""
-    requests, catalogue, _ = _tables(spark, sf)
-    asked = staged(stages.cleaned(requests), "requests")
-    first = staged(stages.first_pass(asked, catalogue), "first")
-    return stages.second_pass(staged(stages.seeds(asked, first, catalogue), "seeds"), first, catalogue)
+    asked, catalogue, index = _indexed(spark, sf)
+    first = staged(stages.first_pass(asked, catalogue, index), "first")
+    return stages.second_pass(staged(stages.seeds(asked, first, catalogue), "seeds"), first, catalogue, index)
 
 
 _TS, _AS, _BS = (_round2_sql(_ratio_sql(a, b)) for a, b in ((_clean_title_sql("q_title"), _clean_title_sql("title")), (_clean_artist_sql("q_artist"), _clean_artist_sql("artist")), (_clean_title_sql("q_album"), _clean_title_sql("album"))))

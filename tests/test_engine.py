@@ -86,8 +86,8 @@ def test_policy_is_strict(text):
     ],
 )
 def test_recognise(spark, url, want):
-    got = spark.createDataFrame([(url,)], "u string").select(links.recognise(F.col("u")).alias("x")).first()["x"]
-    assert (None if got is None else tuple(got)) == want
+    got = links.recognised(spark.createDataFrame([(url,)], "u string"), "u").first()["link"]
+    assert (None if got is None else (got["provider"], got["id"])) == want
 
 
 def test_without_tracking(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melder.operators import graph, links
+from melder.operators import graph, links, metadata
 from melder.plans import projection as P
 from melder.queries import query
 from melder.queries_albums import _ENTRIES
@@ -126,3 +126,46 @@ def album_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     """The edges between them under a cap of their own."""
     _, edges = graph.capped(*graph.album(_deezer(spark, sf), "deezer"), 8, 5)
     return edges.select("root", "source", "target", "type", F.col("position").cast("long").alias("position"), "truncated")
+
+
+# a record inside its envelope, in five shapes; the artist's id is the record's own in the third
+_NATIVE = "CAST(7000 + c_custkey AS STRING)"
+_RECORD = {
+    "query_id": "c_custkey", "provider": "CASE c_custkey % 5 WHEN 0 THEN 'deezer' WHEN 1 THEN 'spotify' WHEN 2 THEN 'applemusic' WHEN 3 THEN 'ytmusic' ELSE 'jiosaavn' END", "native_id": _NATIVE, "title": "c_name", "label": "c_mktsegment",
+    "body": """CASE c_custkey % 5
+ WHEN 0 THEN '{"id": ' || CAST(7000 + c_custkey AS STRING) || ', "title": "' || c_name || '", "explicit_lyrics": false, "access_token": "private", "Stream-URL": {"a": 1}, "mood": {"calm": [1, {"deep": null}], "none": {}}}'
+ WHEN 1 THEN '{"request": {"id": "' || CAST(7000 + c_custkey AS STRING) || '"}, "tracks": {"items": [{"id": "wrong", "name": "Wrong"}, {"id": "' || CAST(7000 + c_custkey AS STRING) || '", "name": "' || c_name || '", "explicit": true, "tags": []}]}}'
+ WHEN 2 THEN '{"artist": {"id": ' || CAST(7000 + c_custkey AS STRING) || ', "name": "Artist"}, "data": [[{"trackId": ' || CAST(7000 + c_custkey AS STRING) || ', "attributes": {"contentRating": "CLEAN", "segment": "' || c_mktsegment || '"}, "headers": {"x": 1}}]]}'
+ WHEN 3 THEN '{"items": [{"videoId": "' || CAST(7000 + c_custkey AS STRING) || '", "from": "items"}], "videoDetails": {"videoId": "' || CAST(7000 + c_custkey AS STRING) || '", "from": "details", "explicit": "true"}}'
+ ELSE CASE WHEN c_custkey % 2 = 0 THEN '{"results": [{"id": "other", "perma_url": "https://www.jiosaavn.com/song/name/' || CAST(7000 + c_custkey AS STRING) || '"}]}' ELSE '{"results": [{"id": "other"}], "broken' END END""",
+}
+_BODIES = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _RECORD.items()) + " FROM customer"
+
+
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").select(*[F.expr(e).alias(n) for n, e in _RECORD.items()])
+    return rows.withColumn("ids", F.create_map(F.col("provider"), F.col("native_id"), F.lit("other_track_id"), F.lit("foreign")))
+
+
+_LEAVES = """SELECT query_id, provider, e.p AS path, e.v AS value FROM (SELECT *, unnest(CASE query_id % 5
+ WHEN 0 THEN [{'p': 'id', 'v': native_id}, {'p': 'title', 'v': '"' || title || '"'}, {'p': 'explicit_lyrics', 'v': 'false'}, {'p': 'mood.calm[0]', 'v': '1'}, {'p': 'mood.calm[1].deep', 'v': 'null'}, {'p': 'mood.none', 'v': '{}'}]
+ WHEN 1 THEN [{'p': 'id', 'v': '"' || native_id || '"'}, {'p': 'name', 'v': '"' || title || '"'}, {'p': 'explicit', 'v': 'true'}, {'p': 'tags', 'v': '[]'}]
+ WHEN 2 THEN [{'p': 'trackId', 'v': native_id}, {'p': 'attributes.contentRating', 'v': '"CLEAN"'}, {'p': 'attributes.segment', 'v': '"' || label || '"'}]
+ WHEN 3 THEN [{'p': 'videoId', 'v': '"' || native_id || '"'}, {'p': 'from', 'v': '"details"'}, {'p': 'explicit', 'v': '"true"'}]
+ ELSE CASE WHEN query_id % 2 = 0 THEN [{'p': 'id', 'v': '"other"'}, {'p': 'perma_url', 'v': '"https://www.jiosaavn.com/song/name/' || native_id || '"'}] ELSE [] END END) AS e FROM b) x"""
+
+
+@query(f"WITH b AS ({_BODIES}) " + _LEAVES)
+def record_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity out of a record of unknown shape, its public facts by path."""
+    rows = _bodies(spark, sf).select("query_id", "provider", F.array("native_id").alias("ids"), "body")
+    return metadata.leaves(metadata.entities(rows))
+
+
+@query(f"SELECT query_id, CASE query_id % 5 WHEN 0 THEN 'clean' WHEN 1 THEN 'explicit' WHEN 2 THEN 'clean' ELSE 'unknown' END AS explicit_status, CASE query_id % 5 WHEN 0 THEN 6 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE CASE WHEN query_id % 2 = 0 THEN 2 ELSE 0 END END + 4 AS n_facts, '{{\"' || provider || '\":\"' || native_id || '\"}}' AS ids FROM ({_BODIES}) b")
+def attached_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source's facts and the tri-state flag of explicit words beside a result."""
+    rows = _bodies(spark, sf)
+    out = metadata.public(metadata.attach(rows.select("query_id", F.lit("diagnostic").alias("match_score")), rows.drop("match_score")), metadata.PUBLIC_TRACK, ["query_id"])
+    one = F.from_json(F.element_at(F.map_values("provider_data"), 1), "map<string, string>")
+    return out.select("query_id", "explicit_status", F.size(one).alias("n_facts"), F.try_element_at(one, F.lit("metadata.ids")).alias("ids"))

@@ -10,7 +10,7 @@ from melder.plans import projection as P
 from melder.queries import query
 from melder.queries_albums import _ENTRIES
 from melder.session import table
-from melder.sources import albums
+from melder.sources import albums, catalogue_pages
 
 # (link, provider, id): {n} is a number, {s} 22 letters, {v} 11, {u} an id of a recording; no provider: not a track link
 _LINK_CASES = [
@@ -169,3 +169,23 @@ def attached_metadata(spark: SparkSession, sf: str) -> DataFrame:
     out = metadata.public(metadata.attach(rows.select("query_id", F.lit("diagnostic").alias("match_score")), rows.drop("match_score")), metadata.PUBLIC_TRACK, ["query_id"])
     one = F.from_json(F.element_at(F.map_values("provider_data"), 1), "map<string, string>")
     return out.select("query_id", "explicit_status", F.size(one).alias("n_facts"), F.try_element_at(one, F.lit("metadata.ids")).alias("ids"))
+
+
+# result pages of a catalogue, a row for each line of an order; lines whose part divides by 13 have no title, parts may repeat
+_LISTED = "SELECT l_orderkey AS query_id, CASE l_orderkey % 3 WHEN 0 THEN 'bugs' WHEN 1 THEN 'genie' ELSE 'melon' END AS provider, l_linenumber AS line, l_partkey AS part, min(l_suppkey) AS supp FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey"
+
+
+@query(f"""SELECT query_id, provider, row_number() OVER (PARTITION BY query_id ORDER BY line, part) AS rank, id, title, artist, album_id FROM (SELECT query_id, provider, line, part, CAST(part AS VARCHAR) AS id, 'Song & ' || part AS title, 'Singer ' || supp AS artist, CAST(part % 100 AS VARCHAR) AS album_id,
+row_number() OVER (PARTITION BY query_id, part ORDER BY line) AS k FROM ({_LISTED}) l WHERE part % 13 <> 0) x WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY line, part) <= 10""")
+def listed_songs(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of result pages to candidates with distinct ids, in the page's order."""
+    rows = P.view(spark, sf, _LISTED)
+    part, supp = F.col("part").cast("string"), F.col("supp").cast("string")
+    title = F.when(F.col("part") % 13 != 0, F.concat(F.lit("Song &amp; "), part)).otherwise("")
+    album = (F.col("part") % 100).cast("string")
+    shape = F.when(F.col("provider") == "bugs", F.format_string('<tr trackId="%s"><th><p class="title"><a>%s</a></p></th><td><a href="/artist/%s">Singer %s</a><a class="album" href="/album/%s">A</a></td></tr>', part, title, supp, supp, album))
+    shape = shape.when(F.col("provider") == "genie", F.format_string("<tr songid='%s'><td><a class='title'><span class='icon'>TITLE</span>%s</a><a onclick=\"fnViewArtist('%s')\">Singer %s</a><a onclick=\"fnViewAlbumLayer('%s')\">A</a></td></tr>", part, title, supp, supp, album))
+    shape = shape.otherwise(F.format_string("<tr><td><button data-song-no='%s'></button><a href=\"javascript:playSong('1',1)\">%s</a><a href=\"javascript:goArtistDetail('%s')\">Singer %s</a><a href=\"javascript:goAlbumDetail('%s')\">A</a>", part, title, supp, supp, album))
+    table_rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part", shape.alias("tr")))), lambda x: x["tr"]), "\n")
+    pages = rows.groupBy("query_id", "provider").agg(F.concat(F.lit("<html><table>"), table_rows, F.lit("</table></html>")).alias("body"))
+    return catalogue_pages.listed_songs(pages).select("query_id", "provider", F.col("rank").cast("long").alias("rank"), "id", "title", F.get("artists", F.lit(0))["name"].alias("artist"), "album_id")

@@ -27,6 +27,7 @@ LENGTH = 2048
 END_ID = 0
 GROUP = 40_000  # pieces in a group, on average
 ROUNDS = 6  # in which the pieces of sequences that aren't full are placed
+NEARLY = 8  # tokens that a sequence may lack to count as full in these rounds
 CACHE = 1_200_000  # words whose ids a Python worker remembers, from task to task
 #: Fixed value: what the tokenizer's own pattern takes for one unit inside a word.
 _UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -178,7 +179,7 @@ def place(lengths: np.ndarray, length: int = LENGTH, spare: bool = False) -> tup
 
 
 def place_again(lengths: np.ndarray, length: int = LENGTH, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """place() with further rounds: items of bins that aren't full are taken out and placed once more by
+    """place() with further rounds: items of bins that aren't nearly full are taken out and placed once more by
     the same rule, longest first and in a drawn order by turns; the round with the fewest bins counts."""
     where, offset = place(lengths, length)
     best = where, offset
@@ -186,7 +187,7 @@ def place_again(lengths: np.ndarray, length: int = LENGTH, rounds: int = ROUNDS)
     for r in range(1, rounds):
         count = int(where[open_items].max()) + 1 if len(open_items) else 0
         fill = np.bincount(where[open_items] - done, weights=lengths[open_items], minlength=count - done)
-        full = fill == length
+        full = fill >= length - NEARLY
         # full bins get the next numbers for good, in the order in which they were opened
         number = done + np.cumsum(full) - 1
         local = where[open_items] - done

@@ -22,11 +22,13 @@ def tokenizer() -> str:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score by its labelled neighbours in a latent space."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return quality_knn.classify(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates, findings and the masked text of every document, as digests."""
     found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text", "source"), path="source")
     return found.select(
         "doc_id",
@@ -45,32 +47,39 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited one, with their likeness to each other and to the next."""
     return imatch.stability(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language whose learned text parses every text in the fewest phrases."""
     return language_id.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives written from all pages and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return warc.round_trip(pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts of every text and whether rules and its group's spread keep it."""
     found = robust_quality.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document's pieces in sequences of 2048 tokens."""
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"), tokenizer())
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of fixed phrases and labels of license texts in every document."""
     return license_scan.scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's rate draws them, shuffled."""
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "lang", "source", "n_chars"))
 
 
@@ -95,6 +104,7 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five stages from documents to packed sequences."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -74,9 +74,6 @@ def _version_sql(a: str, b: str) -> str:
     return " AND ".join(f"(regexp_matches({_qualifier_sql(a)}, {_re(p)}, 'i') = regexp_matches({_qualifier_sql(b)}, {_re(p)}, 'i'))" for p in text.VERSION_MARKERS)
 
 
-_CASES = "(VALUES ('Believer (Official Video)'), ('Bohemian Rhapsody (2011 Remaster)'), ('Café de Flore (HD)'), ('Mötley Crüe'), ('KatyPerryVEVO'), ('AP Dhillon - Topic')) v(t)"
-
-
 @query(f"SELECT DISTINCT title, {_clean_title_sql('title')} AS cleaned, {_clean_artist_sql('artist')} AS artist_cleaned, artist FROM {C}")
 def clean_title_terms(spark: SparkSession, sf: str) -> DataFrame:
     """cleaned titles and artists."""
@@ -191,7 +188,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 anchor AS (SELECT best.query_id, s.duration_ms AS anchor FROM best JOIN s ON s.query_id = best.query_id AND s.i = (best.i + best.i + best.n - 1) // 2)
 SELECT t.query_id, t.provider, t.duration_ms, coalesce(abs(t.duration_ms - anchor) > greatest(10000, anchor // 20), false) AS rejected FROM t LEFT JOIN anchor ON t.query_id = anchor.query_id""")
 def duration_outliers(spark: SparkSession, sf: str) -> DataFrame:
-    """A03, A05, W09."""
+    """A03, W09."""
     return selection.duration_outliers(P.view(spark, sf, P.CANDIDATES))
 
 
@@ -287,15 +284,18 @@ def identity_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return _best(spark, sf).select("query_id", "provider", identity.identity_confidence(F.col("provider"), F.col("score")).alias("confidence"))
 
 
-_PER = f"(SELECT query_id, max(score) AS score, count(DISTINCT CASE WHEN isrc IS NOT NULL THEN provider END) AS votes, bool_or(provider = 'musicbrainz') AS mbid, bool_or(isrc IS NOT NULL) AS has_isrc FROM {_B} b GROUP BY 1)"
+_VOTES = f"(SELECT query_id, max(n) AS votes FROM (SELECT query_id, count(*) AS n FROM {_B} b WHERE isrc IS NOT NULL GROUP BY query_id, lower(trim(isrc))) v GROUP BY 1)"
+_PER = f"(SELECT p.*, coalesce(votes, 0) AS votes FROM (SELECT query_id, max(score) AS score, bool_or(provider = 'musicbrainz') AS mbid, bool_or(isrc IS NOT NULL) AS has_isrc FROM {_B} b GROUP BY 1) p LEFT JOIN {_VOTES} v ON p.query_id = v.query_id)"
 
 
 @query(f"""SELECT query_id, CASE WHEN votes >= 2 THEN 'verified' WHEN score >= 0.95 THEN 'exact' WHEN score >= 0.85 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END AS level,
 CASE WHEN score < 0.75 THEN 'weak' WHEN score < 0.85 THEN 'probable' WHEN votes >= 2 OR (mbid AND has_isrc) THEN 'verified' WHEN score >= 0.9 THEN 'strong' ELSE 'probable' END AS status,
 concat_ws(',', CASE WHEN has_isrc THEN 'isrc_match' END, CASE WHEN mbid THEN 'musicbrainz_match' END, CASE WHEN score >= 0.9 THEN 'exact_title_artist_match' END, CASE WHEN votes >= 2 THEN 'multi_provider_isrc_consensus' END) AS reasons FROM {_PER} p""")
 def identity_status(spark: SparkSession, sf: str) -> DataFrame:
-    """F12, F13, A14."""
-    per = _best(spark, sf).groupBy("query_id").agg(F.max("score").alias("score"), F.countDistinct(F.when(F.col("isrc").isNotNull(), F.col("provider"))).alias("votes"), F.bool_or(F.col("provider") == "musicbrainz").alias("mbid"), F.bool_or(F.col("isrc").isNotNull()).alias("has_isrc"))
+    """The sources that agree on the chosen ISRC count, others with one of their own don't."""
+    best = _best(spark, sf)
+    won = fusion.choose(fusion.long_form(best, ["isrc"]), fusion.Policy(), ["isrc"]).select("query_id", F.col("n_votes").alias("votes"))
+    per = best.groupBy("query_id").agg(F.max("score").alias("score"), F.bool_or(F.col("provider") == "musicbrainz").alias("mbid"), F.bool_or(F.col("isrc").isNotNull()).alias("has_isrc")).join(won, "query_id", "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
     a = (F.col("score"), F.col("votes"), F.col("mbid"), F.col("has_isrc"))
     return per.select("query_id", identity.confidence_level(a[0], a[1]).alias("level"), identity.identity_status(*a).alias("status"), F.array_join(identity.identity_reasons(*a), ",").alias("reasons"))
 
@@ -373,7 +373,7 @@ def url_parts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT c.query_id, p.provider FROM (SELECT DISTINCT query_id FROM {C}) c CROSS JOIN (SELECT unnest({links.PLATFORMS}) AS provider) p
 EXCEPT SELECT query_id, provider FROM {R} WHERE accepted""")
 def seed_second_pass(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources to ask again with the seed's fields."""
+    """Sources to ask again with the seed's fields."""
     rows = P.view(spark, sf, P.RANKED)
     seeds = rows.select("query_id").distinct()
     status = rows.where("accepted").select("query_id", "provider", F.lit("matched").alias("status")).distinct()
@@ -428,14 +428,14 @@ _CREDITS = f"(SELECT DISTINCT query_id AS root, CASE WHEN supp % 2 = 0 THEN prov
 
 @query(f"SELECT root, source, target, role FROM {_CREDITS} c")
 def credit_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """G02, G03, F19, F21, J16."""
+    """G02, G03, F19, J16."""
     nodes, edges = _graph(spark, sf)
     return graph.add_edges(edges, nodes).select("root", "source", "target", F.array_join("attributes", ",").alias("role"))
 
 
 @query(f"SELECT query_id AS root, {_TRACK} AS id, 'track' AS type FROM {_B} b UNION SELECT root, source, 'artist' FROM {_CREDITS} c")
 def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """G01, G04, G05, W08."""
+    """G01, G04, G05."""
     nodes, _ = _graph(spark, sf)
     return graph.bounded(nodes, ["id"], graph.MAX_NODES).select("root", "id", "type")
 

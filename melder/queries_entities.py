@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melder.operators import graph, links, metadata
+from melder.operators import context, graph, links, metadata
 from melder.plans import projection as P
 from melder.queries import query
 from melder.queries_albums import _ENTRIES
@@ -189,3 +189,50 @@ def listed_songs(spark: SparkSession, sf: str) -> DataFrame:
     table_rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part", shape.alias("tr")))), lambda x: x["tr"]), "\n")
     pages = rows.groupBy("query_id", "provider").agg(F.concat(F.lit("<html><table>"), table_rows, F.lit("</table></html>")).alias("body"))
     return catalogue_pages.listed_songs(pages).select("query_id", "provider", F.col("rank").cast("long").alias("rank"), "id", "title", F.get("artists", F.lit(0))["name"].alias("artist"), "album_id")
+
+
+# works link to entities (k % 5 = 0, 1, 2), to an article (3) or to nothing; entities lack a sitelink (k % 7 = 3), articles name another entity (k % 11 = 4) or none (5), or aren't standard (6)
+_ARTICLE = "CASE WHEN k % 5 = 4 THEN 'no_data' WHEN k % 11 = 6 THEN 'unavailable' WHEN k % 5 = 3 THEN 'ok' WHEN k % 7 = 3 OR k % 11 = 4 THEN 'unavailable' ELSE 'ok' END"
+
+
+@query(f"SELECT k AS query_id, {_ARTICLE} AS status, CASE WHEN {_ARTICLE} = 'ok' THEN 'Work ' || k END AS title, CASE WHEN {_ARTICLE} = 'ok' THEN CASE WHEN k % 11 = 4 THEN 'Q1' WHEN k % 11 = 5 AND k % 5 = 3 THEN NULL ELSE 'Q' || (k + 1) END END AS wikidata_id FROM (SELECT c_custkey AS k FROM customer) c")
+def work_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Works to entities to articles, which must name the entity back."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    k, q = F.col("k").cast("string"), F.concat(F.lit("Q"), (F.col("k") + 1).cast("string"))
+    link = F.when(F.col("k") % 5 < 3, F.concat(F.lit("https://www.wikidata.org/wiki/"), q)).when(F.col("k") % 5 == 3, F.concat(F.lit("https://en.wikipedia.org/wiki/Work%5F"), k, F.lit("?x=1")))
+    site = F.when(F.col("k") % 7 == 3, F.lit("{}")).otherwise(F.concat(F.lit('{"enwiki": {"title": "Work '), k, F.lit('"}}')))
+    entities = c.select(q.alias("entity_id"), F.concat(F.lit('{"entities": {"'), q, F.lit('": {"sitelinks": '), site, F.lit("}}}")).alias("body"))
+    item = F.when(F.col("k") % 11 == 4, "Q1").when(F.col("k") % 11 != 5, q)
+    summary = F.to_json(F.struct(F.when(F.col("k") % 11 == 6, "disambiguation").otherwise("standard").alias("type"), item.alias("wikibase_item"), F.concat(F.lit("Work "), k).alias("title"), F.lit("About it.").alias("extract")))
+    out = context.articles(c.select(F.col("k").alias("query_id"), link.alias("link")), entities, c.select(F.concat(F.lit("Work_"), k).alias("page"), summary.alias("body")))
+    return out.select("query_id", "status", "title", "wikidata_id")
+
+
+@query("""SELECT s_suppkey AS query_id, CASE s_suppkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'unavailable' ELSE 'no_data' END AS covers, CASE WHEN s_suppkey % 2 = 0 THEN 'ok' ELSE 'no_data' END AS notes, 1 + CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 5 <> 0 THEN 1 ELSE 0 END AS n_images,
+CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 5 <> 0 THEN 'small' ELSE 'own' END AS first, round(0.12 + 0.08, 4)::DOUBLE AS completeness, CASE WHEN s_suppkey % 2 = 0 THEN '{"n":' || s_suppkey || '}' END AS note FROM supplier""")
+def enrichment_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Independent sources with a status each; a failing one takes nothing from a track."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_name").alias("title"))
+    image = lambda url, size: F.array(F.struct(url.alias("url"), F.lit(size).alias("width"), F.lit(size).alias("height")))
+    tracks = s.withColumn("images", image(F.lit("own"), 100))
+    url = F.when(F.col("query_id") % 5 == 0, "own").otherwise("small")
+    covers = s.where("query_id % 3 < 2").select("query_id", (F.col("query_id") % 3 == 0).alias("ok"), F.lit(None).cast("string").alias("data"), image(url, 10).alias("images"))
+    notes = s.where("query_id % 2 = 0").select("query_id", F.lit(True).alias("ok"), F.to_json(F.struct(F.col("query_id").alias("n"))).alias("data"), F.lit(None).alias("images"))
+    out = context.enriched(tracks, {"covers": covers, "notes": notes})
+    return out.select("query_id", F.col("statuses.covers").alias("covers"), F.col("statuses.notes").alias("notes"), F.size("images").alias("n_images"), F.get("images", F.lit(0))["url"].alias("first"), F.round("completeness", 4).alias("completeness"), F.try_element_at("data", F.lit("notes")).alias("note"))
+
+
+@query("SELECT c_custkey AS query_id, CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE 'id' || c_custkey END AS id, 'Guest' AS second FROM customer WHERE c_custkey % 4 <> 3")
+def native_artist_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of artists whose row has the same name and address; two ids for one reject the song."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"))
+    k = F.col("query_id").cast("string")
+    action = F.concat(F.lit("/artist/"), k)
+    row = lambda i, name, path: F.struct(i.alias("id"), name.alias("name"), F.concat(F.lit("https://site.example"), path).alias("perma_url"))
+    other = F.when(F.col("query_id") % 4 == 3, F.concat(F.lit("other"), k)).otherwise(F.concat(F.lit("id"), k))
+    rows = F.array(row(F.concat(F.lit("id"), k), F.lit("Main"), F.when(F.col("query_id") % 4 == 1, F.lit("/artist/x")).otherwise(action)), row(other, F.lit("Main"), F.when(F.col("query_id") % 4 == 1, F.lit("/artist/y")).otherwise(action)), row(F.lit("g"), F.lit("Guest"), F.lit("")))
+    credit = lambda name, role, path: F.struct(F.lit(name).alias("name"), F.lit(role).alias("role"), path.alias("action"))
+    songs = c.withColumns({"credits": F.array(credit("Main", "primary_artists", action), credit("Guest", "featured_artists", F.lit(""))), "artists": rows})
+    out = context.native_artists(songs, "https://site.example")
+    return out.select("query_id", F.get("credits", F.lit(0))["id"].alias("id"), F.when(F.get("credits", F.lit(1))["id"].isNull(), F.get("credits", F.lit(1))["name"]).alias("second"))

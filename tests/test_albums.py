@@ -71,3 +71,33 @@ def apple(*tracks, total=None, **root):
 def test_apple(spark, body, complete, ids):
     r = read(spark, albums.apple, body)[0]
     assert (r["complete"], [t["track_id"] for t in r["tracks"]]) == (complete, ids)
+
+
+def test_song_lists_in_both_forms(spark):
+    from melder.sources import albums
+
+    bodies = [
+        ("123", '{"id":"123","title":"A &amp; B","list_count":"1","list":[{"id":"abcdefgh","title":"Song &quot;x&quot;","more_info":{"album_id":"123","duration":"163","artistMap":{"primary_artists":[{"name":"Singer &amp; Co"}]}}}]}'),
+        ("124", '{"id":124,"name":"A &amp;amp; B","song_count":1,"songs":[{"id":"abcdefgh","song":"Song","duration":163,"albumid":124,"primary_artists":"Singer, Other"}]}'),
+        ("125", '{"id":"125","title":"A","list_count":"1","list":[{"id":"x","title":"Song","more_info":{"album_id":"999"}}]}'),
+    ]
+    got = {r["album_id"]: r for r in albums.jiosaavn(spark.createDataFrame(bodies, "album_id string, body string")).collect()}
+    assert set(got) == {"123", "124"}
+    assert [(got[i]["title"], got[i]["complete"], got[i]["tracks"][0]["title"], got[i]["tracks"][0]["duration_ms"], got[i]["tracks"][0]["artists"]) for i in ("123", "124")] == [
+        ("A & B", True, 'Song "x"', 163000, ["Singer & Co"]), ("A &amp; B", True, "Song", 163000, ["Singer", "Other"]),
+    ]
+
+
+def test_paged_albums(spark):
+    from melder.sources import albums
+
+    root = lambda i, n: (i, f'{{"id": {i}, "title": "A"{"" if n is None else f", {chr(34)}nb_tracks{chr(34)}: {n}"}}}')
+    one, two = '{"data":[{"id":1,"title":"One"}],"next":"more"}', '{"data":[{"id":2,"title":"Two"}]}'
+    roots = [root("1", 2), root("2", 2), root("3", 2), root("4", None), root("5", 2), ("6", '{"id": 7, "title": "Other"}'), root("8", 0)]
+    pages = [("1", 0, one), ("1", 1, two), ("2", 0, one), ("2", 1, one), ("3", 0, one), ("3", 1, None), ("4", 0, one), ("4", 1, two), ("5", 0, one), ("5", 1, '{"data":[{"id":3,"title":"Three","album":{"id":"9"}}]}'), ("8", 0, '{"data":[]}')]
+    got = albums.deezer(spark.createDataFrame(roots, "album_id string, body string"), spark.createDataFrame(pages, "album_id string, page int, body string")).collect()
+    assert {r["album_id"]: (r["returned"], r["complete"], r["reason"]) for r in got} == {
+        "1": (2, True, None), "2": (1, False, "upstream_error"), "3": (1, False, "upstream_error"), "4": (2, False, "unknown_total"), "5": (1, False, "upstream_error"), "8": (0, True, None),
+    }
+    short = albums.deezer(spark.createDataFrame(roots[:1], "album_id string, body string"), spark.createDataFrame(pages[:1], "album_id string, page int, body string"), 1).first()
+    assert (short["returned"], short["complete"], short["reason"]) == (1, False, "limit")

@@ -157,11 +157,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     one = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality")).alias("m"))
     found = one.select("doc_id", "m.quality", "m.text").mapInPandas(run, "doc_id long, quality int, at binary, n binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], bytes(r["at"]), bytes(r["n"])))
-    x = np.zeros((len(found), DIMENSIONS), dtype=np.float32)
-    for i, r in enumerate(found):
-        x[i, np.frombuffer(bytes(r["at"]), dtype=np.int32)] = np.frombuffer(bytes(r["n"]), dtype=np.float32)
-    return Model(x, np.array([r["quality"] for r in found], dtype=np.float32))
+    found.sort(key=lambda r: r["doc_id"])
+    x, quality = np.zeros((len(found), DIMENSIONS), dtype=np.float32), np.zeros(len(found), dtype=np.float32)
+    while found:  # rows go as the array fills: the driver holds the sample once
+        r = found.pop()
+        x[len(found), np.frombuffer(r["at"], dtype=np.int32)] = np.frombuffer(r["n"], dtype=np.float32)
+        quality[len(found)] = r["quality"]
+    return Model(x, quality)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

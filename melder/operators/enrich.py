@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from melder.session import joined
+
 NEAR_MS = 2000
 
 
@@ -15,7 +17,7 @@ def hydrate(base: DataFrame, detail: DataFrame, fields: list[str]) -> DataFrame:
     A detail agrees if ISRCs don't contradict and durations are within NEAR_MS, where both know.
     """
     d = detail.select("provider", "native_id", *[F.col(f).alias(f"d_{f}") for f in dict.fromkeys([*fields, "isrc", "duration_ms"])], F.lit(True).alias("there"))
-    out = base.join(d, ["provider", "native_id"], "left")
+    out = joined(base, d, ["provider", "native_id"], "left")
     isrc = F.coalesce(F.upper(F.trim("isrc")) == F.upper(F.trim("d_isrc")), F.lit(True))
     near = F.coalesce(F.abs(F.col("duration_ms") - F.col("d_duration_ms")) <= NEAR_MS, F.lit(True))
     agrees = F.col("there") & isrc & near
@@ -34,7 +36,7 @@ def with_detail(base: DataFrame, details: DataFrame, fields: list[str]) -> DataF
     """
     facts = list(dict.fromkeys(["title", "artist", "isrc", "duration_ms", "album_id", *fields]))
     d = details.select("provider", "native_id", F.struct(*facts).alias("d"))
-    out = base.join(d, ["provider", "native_id"], "left")
+    out = joined(base, d, ["provider", "native_id"], "left")
     fold = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     text = lambda c: fold(c) != ""
     mine, page = F.col, lambda f: F.col(f"d.{f}")
@@ -85,4 +87,4 @@ def second_pass(queries: DataFrame, status: DataFrame, seeds: DataFrame, sources
     """(query_id, provider, title, artist, isrc): sources still without a match, asked with the seed's fields."""
     every = seeds.withColumn("provider", F.explode(F.array(*[F.lit(s) for s in sources])))
     done = status.where("status = 'matched'").select("query_id", "provider")
-    return every.join(queries.select("query_id"), "query_id", "left_semi").join(done, ["query_id", "provider"], "left_anti")
+    return joined(joined(every, queries.select("query_id"), "query_id", "left_semi"), done, ["query_id", "provider"], "left_anti")

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from melder.session import joined
+
 # The sources in order of priority, and where a field's order differs.
 TITLE = ["spotify", "applemusic", "tidal", "qobuz", "amazonmusic", "pandora", "bugs", "genie", "melon", "musicbrainz", "deezer", "soundcloud", "jiosaavn", "ytmusic"]
 CREDITS = ["musicbrainz", "applemusic", "spotify", "tidal", "qobuz", "amazonmusic", "pandora", "bugs", "genie", "melon", "deezer", "soundcloud", "jiosaavn", "ytmusic"]
@@ -158,7 +160,8 @@ def artist_votes(rows: DataFrame) -> DataFrame:
     listed = F.when(F.size(n) > 2, F.array(*[F.concat(head(n), F.lit(x), F.element_at(n, -1)) for x in (" & ", " and ")])).otherwise(F.array().cast("array<string>"))
     lists = named.where(F.size("_n") > 1).select("query_id", F.explode(F.concat(spelled, listed)).alias("_display"), "_k")
     one = lists.groupBy("query_id", "_display").agg(F.min("_k").alias("_one"), F.max("_k").alias("_other")).where("_one = _other").drop("_other")
-    out = named.withColumn("_display", F.when(F.size("_n") == 1, F.element_at("_n", 1))).join(one, ["query_id", "_display"], "left")
+    out = named.withColumn("_display", F.when(F.size("_n") == 1, F.element_at("_n", 1)))
+    out = joined(out, one, ["query_id", "_display"], "left")
     return out.withColumn("vote", F.coalesce("_one", "_k")).drop("_n", "_k", "_display", "_one")
 
 
@@ -184,7 +187,7 @@ def artist_ids(selected: DataFrame, voted: DataFrame) -> DataFrame:
     mine = selected.select("query_id", "vote", F.posexplode("artists").alias("place", "name")).withColumn("k", fold("name"))
     others = voted.select("query_id", "vote", F.col("provider").alias("source"), "rank", F.posexplode(F.arrays_zip("artists", "artist_ids")).alias("at", "e"))
     others = others.select("query_id", "vote", "source", "rank", "at", fold("e.artists").alias("k"), F.col("e.artist_ids").alias("id")).where("coalesce(id, '') <> ''")
-    found = mine.join(others, ["query_id", "vote", "k"])
+    found = joined(mine, others, ["query_id", "vote", "k"])
     return found.groupBy("query_id", "place", "name", F.col("source").alias("provider")).agg(F.min_by("id", F.struct("rank", "at")).alias("id"))
 
 
@@ -226,7 +229,7 @@ def totals(rows: DataFrame) -> DataFrame:
     ids = pairs.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("ids"))
     top = F.struct((-F.col("score")).alias("s"), "provider", "rank")
     out = rows.groupBy("query_id").agg(F.max("play_count").alias("play_count"), F.array_sort(F.collect_set("provider")).alias("sources"), F.max("score").alias("match_score"), F.min(top)["provider"].alias("top_source"))
-    return out.join(ids, "query_id", "left")
+    return joined(out, ids, "query_id", "left")
 
 
 def best_image(images: DataFrame) -> DataFrame:

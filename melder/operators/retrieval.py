@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from melder.functions.text import artist_words, clean_title, tokens, without_article
-from melder.session import staged
+from melder.session import joined, staged
 
 #: Candidates of one request and source.
 MOST = 10
@@ -52,7 +52,7 @@ def _ordered(texts: DataFrame, words: str, counts: DataFrame) -> DataFrame:
     """texts with `words` in the order of counts, rarest first; words that counts lacks come first of all."""
     each = texts.select("title", "artist", F.explode(words).alias("w")).join(counts, "w", "left")
     lists = each.groupBy("title", "artist").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("o"))
-    return texts.join(lists, ["title", "artist"]).withColumn(words, F.col("o.w")).drop("o")
+    return joined(texts, lists, ["title", "artist"]).withColumn(words, F.col("o.w")).drop("o")
 
 
 def _prefix(words: Column, least: float) -> Column:
@@ -88,7 +88,7 @@ class Index:
         parts = F.coalesce("parts", F.lit(1))
         index = self.blocks.join(self.large, ["a", "t"], "left").withColumn("part", F.pmod(F.xxhash64("title", "artist"), parts).cast("int")).drop("parts")
         probe = probe.join(self.large, ["a", "t"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-        met = probe.join(index, ["a", "t", "part"])
+        met = joined(probe, index, ["a", "t", "part"])
         shared = lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
         met = met.withColumns({"ratio": shared("q_tw", "tw"), "artist_ratio": shared("q_aw", "aw")})
         return met.where((F.col("ratio") >= self.least) & (F.size(F.array_except("q_aw", "aw")) == 0)).select("q_title", "q_artist", "title", "artist", "ratio", "artist_ratio").distinct()
@@ -97,14 +97,14 @@ class Index:
 def by_id(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
     """query_id, provider, native_id: the record asked for by its own source's id, compared with case."""
     own = wanted.where(_given("q_id") & (F.lower("provider") == F.lower(F.col("q_provider")))).select("query_id", "provider", F.col("q_id").alias("native_id"))
-    return own.join(catalogue.select("provider", "native_id"), ["provider", "native_id"]).select("query_id", "provider", "native_id", F.lit(1).cast("long").alias("rank"))
+    return joined(own, catalogue.select("provider", "native_id"), ["provider", "native_id"]).select("query_id", "provider", "native_id", F.lit(1).cast("long").alias("rank"))
 
 
 def by_isrc(wanted: DataFrame, catalogue: DataFrame, most: int = MOST) -> DataFrame:
     """The first records, by native id, of each source with the request's ISRC."""
     asked = wanted.where(_given("q_isrc")).select("query_id", "provider", _code("q_isrc").alias("code"))
     heads = _first(catalogue.where(_given("isrc")).select("provider", "native_id", _code("isrc").alias("code")), ["provider", "code"], ["native_id"], most)
-    return asked.join(heads, ["provider", "code"]).select("query_id", "provider", "native_id", "rank")
+    return joined(asked, heads, ["provider", "code"]).select("query_id", "provider", "native_id", "rank")
 
 
 def by_words(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int = MOST) -> DataFrame:
@@ -119,8 +119,8 @@ def by_words(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int =
     same = F.coalesce("title", F.lit("")).alias("title"), F.coalesce("artist", F.lit("")).alias("artist")
     heads = _first(catalogue.select("provider", "native_id", *same), ["provider", "title", "artist"], ["native_id"], most, "head").drop("head")
     order = [(0.55 * F.col("ratio") + 0.45 * F.col("artist_ratio")).desc(), F.col("native_id")]
-    found = _first(pairs.join(heads, ["title", "artist"]), ["q_title", "q_artist", "provider"], order, most)
-    return asked.join(found, ["q_title", "q_artist", "provider"]).select("query_id", "provider", "native_id", "rank")
+    found = _first(joined(pairs, heads, ["title", "artist"]), ["q_title", "q_artist", "provider"], order, most)
+    return joined(asked, found, ["q_title", "q_artist", "provider"]).select("query_id", "provider", "native_id", "rank")
 
 
 def retrieve(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int = MOST) -> DataFrame:
@@ -136,6 +136,6 @@ def retrieve(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int =
     ids = staged(by_id(wanted, catalogue), "by_id")
     rest = wanted.where(~own)
     codes = staged(by_isrc(rest, catalogue, most), "by_isrc")
-    words = staged(by_words(rest.join(codes.select(*key).distinct(), key, "left_anti"), catalogue, index, most), "by_words")
+    words = staged(by_words(joined(rest, codes.select(*key).distinct(), key, "left_anti"), catalogue, index, most), "by_words")
     tiers = [df.select(*key, "native_id", "rank", F.lit(name).alias("tier")) for df, name in ((ids, "id"), (codes, "isrc"), (words, "words"))]
     return tiers[0].unionAll(tiers[1]).unionAll(tiers[2])

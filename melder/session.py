@@ -41,6 +41,15 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def joined(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the input, by a shuffle.
+
+    Spark takes a table's file size for its size, and columns that repeat themselves (keys in order,
+    sources' names) take few bytes in Parquet: left to itself it would send millions of rows through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the folder that spark.checkpoint.dir names, read again: a plan's stages
     are computed once, survive lost executors, and show the planner their true sizes.

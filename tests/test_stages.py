@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from melder.operators import enrich, retrieval
 from melder.plans import stages
+from melder.session import staged
 
 CATALOGUE = "provider string, native_id string, title string, artist string, artists array<string>, album string, album_id string, position int, duration_ms long, isrc string, release_date string, label string"
 REQUEST = "query_id long, q_title string, q_artist string, q_album string, q_isrc string, q_provider string, q_id string"
@@ -88,3 +89,21 @@ def test_a_detail_must_be_the_same_record(spark, change, state):
 def test_no_requests_and_no_catalogue(spark):
     assert result(spark, [], [request(1, "Song", "Ann")]) == {}
     assert result(spark, [row("spotify", "s1")], []) == {}
+
+
+def test_what_grows_isnt_broadcast(spark):
+    """However few bytes a table takes in Parquet, requests, records and candidates meet in shuffles."""
+    cat = staged(spark.createDataFrame([row("spotify", "s1", isrc="USAAA1"), row("deezer", "d1")], CATALOGUE), "catalogue")
+    asked = staged(stages.cleaned(spark.createDataFrame([request(1, "Song", "Ann Lee"), request(2, isrc="USAAA1")], REQUEST)), "requests")
+    details = staged(spark.createDataFrame([], DETAIL), "details")
+    index = retrieval.Index(cat)
+    first = staged(stages.first_pass(asked, cat, index, SOURCES), "first")
+    seed = staged(stages.seeds(asked, first, cat), "seeds")
+    second = staged(stages.second_pass(seed, first, cat, index, SOURCES), "second")
+    rows = stages.run(asked, cat, details, SOURCES, "tokens")["rows"]
+    every = stages.candidates(asked, first, second, seed, cat)
+    lazy = [stages.first_pass(asked, cat, index, SOURCES), stages.seeds(asked, first, cat), every, enrich.with_detail(every, details, ["label"]), stages.fused(rows)]
+    wanted = asked.withColumn("provider", F.lit("spotify"))
+    lazy += [retrieval.by_id(wanted, cat), retrieval.by_isrc(wanted, cat), enrich.second_pass(seed, first.withColumn("status", F.lit("matched")), seed, SOURCES)]
+    for i, df in enumerate(lazy):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString(), i

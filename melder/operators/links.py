@@ -174,8 +174,11 @@ def build(ids: DataFrame) -> DataFrame:
         "query_id", "platform", F.when(swap, native).otherwise(i).alias("id"), F.when(swap, "track_id").otherwise(kind).alias("id_type"), F.when(swap, i).alias("lookup_id"),
         F.coalesce(given, url).alias("url"), F.when(given.isNotNull(), "provider").when(url.isNotNull(), "id_template").alias("url_source"),
     )
-    twin = own.where("platform = 'ytmusic'").select("query_id", F.lit("youtube").alias("platform"), "id", "id_type", "lookup_id", F.concat(F.lit("https://www.youtube.com/watch?v="), "id").alias("url"), F.lit("id_template").alias("url_source"))
-    return own.unionByName(twin)
+    # exploded, not united: the plan below would run once more for the twins
+    rest = ["id", "id_type", "lookup_id"]
+    row = F.struct("platform", *rest, "url", "url_source")
+    twin = F.struct(F.lit("youtube").alias("platform"), *rest, F.concat(F.lit("https://www.youtube.com/watch?v="), "id").alias("url"), F.lit("id_template").alias("url_source"))
+    return own.select("query_id", F.explode(F.when(F.col("platform") == "ytmusic", F.array(row, twin)).otherwise(F.array(row))).alias("l")).select("query_id", "l.*")
 
 
 def loose_id(provider: str, text: Column) -> Column:

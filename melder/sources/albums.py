@@ -151,5 +151,5 @@ def deezer(roots: DataFrame, pages: DataFrame, limit: int = MOST) -> DataFrame:
 def on_release(tracks: DataFrame, releases: DataFrame) -> DataFrame:
     """tracks(album_id, recording_id, album, ...) whose release has that id, the same title but for
     case and blanks, and the recording on one of its media."""
-    there = releases.select("album_id", F.lower(F.trim("title")).alias("_t"), F.explode("tracks.recording_id").alias("recording_id")).where("coalesce(recording_id, '') <> ''").distinct()
+    there = releases.select("album_id", F.lower(F.trim("title")).alias("_t"), F.explode("tracks.recording_id").alias("recording_id")).where("coalesce(recording_id, '') <> ''")
     return tracks.join(there.withColumnsRenamed({"album_id": "_i", "recording_id": "_r"}), (F.col("album_id") == F.col("_i")) & (F.col("recording_id") == F.col("_r")) & (F.lower(F.trim("album")) == F.col("_t")), "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from melder.session import joined
+
 # Caps of one graph.
 MAX_NODES, MAX_EDGES = 4096, 8192
 
@@ -29,8 +31,8 @@ def add_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct edges (root, source, target, type, attributes) between two nodes that exist."""
     n = nodes.select("root", "id")
     out = edges.where("source <> target").withColumn("attributes", F.array_sort("attributes")).distinct()
-    out = out.join(n.withColumnRenamed("id", "source"), ["root", "source"], "left_semi")
-    return out.join(n.withColumnRenamed("id", "target"), ["root", "target"], "left_semi")
+    out = joined(out, n.withColumnRenamed("id", "source"), ["root", "source"], "left_semi")
+    return joined(out, n.withColumnRenamed("id", "target"), ["root", "target"], "left_semi")
 
 
 def bounded(rows: DataFrame, order: list[str], most: int) -> DataFrame:
@@ -85,7 +87,7 @@ def credit_edges(credits: DataFrame) -> DataFrame:
     A structured credit hides one that only gives the name.
     """
     structured = credits.where("native_artist is not null").select("root", "target", F.lower(F.trim("name")).alias("k"), "role").distinct()
-    loose = credits.where("native_artist is null").withColumn("k", F.lower(F.trim("name"))).join(structured, ["root", "target", "k", "role"], "left_anti").drop("k")
+    loose = joined(credits.where("native_artist is null").withColumn("k", F.lower(F.trim("name"))), structured, ["root", "target", "k", "role"], "left_anti").drop("k")
     both = credits.where("native_artist is not null").unionByName(loose)
     source = F.coalesce(node_id(F.col("provider"), F.lit("artist"), F.col("native_artist")), local_artist_id(F.col("provider"), F.col("target"), F.col("name")))
     source = F.when(F.col("native_artist").isNull(), local_artist_id(F.col("provider"), F.col("target"), F.col("name"))).otherwise(source)
@@ -94,7 +96,7 @@ def credit_edges(credits: DataFrame) -> DataFrame:
 
 def contributors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes from which a credit edge starts."""
-    return nodes.join(edges.where("type = 'credit'").select("root", F.col("source").alias("id")).distinct(), ["root", "id"], "left_semi")
+    return joined(nodes, edges.where("type = 'credit'").select("root", F.col("source").alias("id")).distinct(), ["root", "id"], "left_semi")
 
 
 def directed(edges: DataFrame) -> DataFrame:

@@ -10,10 +10,13 @@ from melder.operators.gates import REPORT
 
 def best_per_source(rows: DataFrame) -> DataFrame:
     """The row with the highest score of each query and source, the first on ties: a partial
-    aggregate, so a hot query's rows never meet in one task before they are few."""
-    row = F.struct(*rows.columns)
-    best = rows.groupBy("query_id", "provider").agg(F.max_by(row, F.struct("score", (-F.col("rank")).alias("r"))).alias("b"))
-    return best.select("b.*")
+    aggregate, so a hot query's rows never meet in one task before they are few. All columns of rows
+    are carried along: select what is wanted before. The keys stay outside the carried row, so that
+    Spark knows that the result is still dealt by them."""
+    key = ["query_id", "provider"]
+    row = F.struct(*[c for c in rows.columns if c not in key])
+    best = rows.groupBy(*key).agg(F.max_by(row, F.struct("score", (-F.col("rank")).alias("r"))).alias("b"))
+    return best.select(*[F.col(c).alias(c) if c in key else F.col("b")[c].alias(c) for c in rows.columns])
 
 
 def top_per_source(rows: DataFrame, k: int = 10) -> DataFrame:
@@ -26,11 +29,11 @@ def top_per_source(rows: DataFrame, k: int = 10) -> DataFrame:
 
 def global_fallback(rows: DataFrame) -> DataFrame:
     """For queries without an accepted row, their best row, if it may be reported and passes the gates."""
-    alone = rows.join(rows.where("accepted").select("query_id").distinct(), "query_id", "left_anti")
-    row = F.struct(*rows.columns)
+    row = F.struct(*[c for c in rows.columns if c != "query_id"])
     order = F.struct("score", F.expr("transform(split(provider, ''), c -> -ascii(c))").alias("p"), (-F.col("rank")).alias("r"))
-    best = alone.groupBy("query_id").agg(F.max_by(row, order).alias("b")).select("b.*")
-    return best.where((F.col("score") >= REPORT) & F.col("artist_ok") & F.col("identity_ok"))
+    # one aggregate tells both: rows are read once and none of a query with an accepted one is joined away
+    best = rows.groupBy("query_id").agg(F.max_by(row, order).alias("b"), F.bool_or("accepted").alias("any")).where("not coalesce(any, false)")
+    return best.select(F.col("query_id").alias("query_id"), "b.*").where((F.col("score") >= REPORT) & F.col("artist_ok") & F.col("identity_ok"))
 
 
 _TOLERANCE = "greatest(10000L, cast(floor({0} / 20) as bigint))"

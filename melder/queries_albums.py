@@ -153,6 +153,6 @@ w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 SELECT w.query_id, w.album, w.provider, w.line AS track_number, (SELECT string_agg(n.provider || '=' || n.album_id, ',' ORDER BY n.provider) FROM n WHERE n.query_id = w.query_id AND n.vote = w.vote AND n.album_id IS NOT NULL) AS ids FROM w""")
 def album_editions(spark: SparkSession, sf: str) -> DataFrame:
     """The edition by votes or of the source asked by id, with its position and ids."""
-    rows = _best(spark, sf).select("query_id", "provider", "score", "album", F.expr("if(supp % 6 <> 0, native_id, null)").alias("album_id"), F.col("line").alias("track_number"), F.lit(1).alias("disc_number"), F.expr(_ASKED_OF).alias("q_provider"))
+    rows = _best(spark, sf, "album", "native_id", "supp", "line").select("query_id", "provider", "score", "album", F.expr("if(supp % 6 <> 0, native_id, null)").alias("album_id"), F.col("line").alias("track_number"), F.lit(1).alias("disc_number"), F.expr(_ASKED_OF).alias("q_provider"))
     ids = F.array_join(F.transform(F.array_sort(F.map_entries("ids")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return fusion.album_editions(rows).select("query_id", "album", "provider", "track_number", F.nullif(ids, F.lit("")).alias("ids"))

@@ -87,7 +87,7 @@ def provider_owned_ids(spark: SparkSession, sf: str) -> DataFrame:
     """A source speaks for its own ids alone."""
     p = F.col("provider")
     ids = F.create_map(p, F.col("native_id"), F.concat(p, F.lit("_url")), F.lit("https://e.org"), F.lit("isrc"), F.lit("x"), F.concat(p, F.lit("_other")), F.lit("y"))
-    return _best(spark, sf).select("query_id", "provider", F.array_join(F.array_sort(F.map_keys(links.owned_ids(p, ids))), ",").alias("keys"))
+    return _best(spark, sf, "native_id").select("query_id", "provider", F.array_join(F.array_sort(F.map_keys(links.owned_ids(p, ids))), ",").alias("keys"))
 
 
 @query(f"SELECT query_id, provider, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(provider) ORDER BY score DESC, rank) AS n FROM (SELECT query_id, CASE WHEN rank % 2 = 0 THEN upper(provider) ELSE provider END AS provider, score, rank FROM ({P.RANKED}) r0) r) x WHERE n = 1")
@@ -157,7 +157,7 @@ def artist_id_union(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT query_id, string_agg(k, '; ' ORDER BY k) AS copyrights FROM (SELECT DISTINCT query_id, 'P' || label AS k FROM {_B} b WHERE label IS NOT NULL UNION SELECT query_id, 'C' || artist FROM {_B} c) x GROUP BY 1""")
 def copyrights_union(spark: SparkSession, sf: str) -> DataFrame:
     """A18."""
-    b = _best(spark, sf)
+    b = _best(spark, sf, "label", "artist")
     rows = b.select("query_id", F.explode(F.array(F.struct(F.lit("P").alias("type"), F.col("label").alias("text")), F.struct(F.lit("C").alias("type"), F.col("artist").alias("text")))).alias("c")).select("query_id", "c.*")
     return fusion.copyrights_union(rows).select("query_id", F.array_join(F.transform("copyrights", lambda c: F.concat(c["type"], c["text"])), "; ").alias("copyrights"))
 
@@ -166,7 +166,7 @@ def copyrights_union(spark: SparkSession, sf: str) -> DataFrame:
 string_agg(provider || '=' || native_id, ',' ORDER BY provider) AS ids FROM {_B} b GROUP BY 1""")
 def fused_totals(spark: SparkSession, sf: str) -> DataFrame:
     """The largest play count, own ids, sources, the highest score and whose it is."""
-    b = _best(spark, sf).select("query_id", "provider", "score", "rank", (F.col("supp").cast("long") * 100).alias("play_count"), F.create_map(F.col("provider"), F.col("native_id"), F.lit("isrc"), F.lit("x")).alias("ids"))
+    b = _best(spark, sf, "supp", "native_id").select("query_id", "provider", "score", "rank", (F.col("supp").cast("long") * 100).alias("play_count"), F.create_map(F.col("provider"), F.col("native_id"), F.lit("isrc"), F.lit("x")).alias("ids"))
     out = fusion.totals(b)
     return out.select("query_id", "play_count", F.array_join("sources", ",").alias("sources"), "match_score", "top_source", F.array_join(F.transform(F.array_sort(F.map_entries("ids")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("ids"))
 
@@ -181,7 +181,7 @@ def identity_match_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT query_id, url FROM (SELECT query_id, image_url AS url, row_number() OVER (PARTITION BY query_id ORDER BY supp % 6 <> 0, width * height DESC, provider) AS n FROM {_B} b) x WHERE n = 1")
 def best_image(spark: SparkSession, sf: str) -> DataFrame:
     """Thumbnails first, then the largest."""
-    rows = _best(spark, sf).select("query_id", F.col("image_url").alias("url"), F.when(F.col("supp") % 6 == 0, "thumbnail").otherwise("cover").alias("type"), "width", "height", F.col("provider").alias("seq"))
+    rows = _best(spark, sf, "image_url", "supp", "width", "height").select("query_id", F.col("image_url").alias("url"), F.when(F.col("supp") % 6 == 0, "thumbnail").otherwise("cover").alias("type"), "width", "height", F.col("provider").alias("seq"))
     return fusion.best_image(rows)
 
 

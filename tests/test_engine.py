@@ -1,5 +1,7 @@
 """Scores, gates, selection, fusion, links, graph and state on small hand-made rows."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,15 @@ def test_circuit():
     assert ok and s[0] == "suspended" and s[2] == 130
     s, ok = state.step(s, 140, True, missing=True)
     assert ok and s == ("active", 0, 0.0, 3)
+
+
+def test_best_rows_are_shuffled_once_and_narrow(spark, tmp_path):
+    """One shuffle of lineitem serves the ranks, the best rows and their fusion; part isn't broadcast."""
+    from melder import queries
+
+    spark.createDataFrame([(1, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", datetime(2020, 1, 1))], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "Song", "Ann", "Album")], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    plan = lambda q: queries.QUERIES[q](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    for q in ("global_best_fallback", "consensus_pick", "field_comparison", "platform_links"):
+        p = plan(q)
+        assert "Broadcast" not in p and "Union" not in p and p.count("FileScan") == 2, q

@@ -11,7 +11,7 @@ from melder.functions import similarity, text
 from melder.operators import albums, artists, enrich, fusion, gates, graph, identity, links, search, selection, state
 from melder.plans import projection as P
 from melder.plans.resolve import accepted, resolve
-from melder.session import staged, table
+from melder.session import staged, table, unfolded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,7 +574,7 @@ SELECT query_id, provider, rank, score FROM (SELECT *, row_number() OVER (PARTIT
 def accepted_rows(spark: SparkSession, sf: str) -> DataFrame:
     """A01 to A05 as the resolution combines them, on token scores: the rows that are fused."""
     kept = accepted(P.view(spark, sf, P.CANDIDATES), "tokens")
-    return kept.select("query_id", F.explode("rows").alias("r")).select("query_id", "r.provider", "r.rank", "r.score")
+    return unfolded(kept, ["query_id"], "rows", "r").select("query_id", "r.provider", "r.rank", "r.score")
 
 
 @query()

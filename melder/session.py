@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
 
@@ -50,6 +51,17 @@ def joined(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "i
     return left.join(right.hint("merge"), on, how)
 
 
+def unfolded(df: DataFrame, keep: list[str | Column], column: str, *names: str) -> DataFrame:
+    """keep and the entries of an array of structs as names[-1], with their places as names[0] if two are given.
+
+    An inner explode makes Spark infer a filter on the array's size and push it below whatever makes the
+    array, which is then worked out once more for each time that it is mentioned there. The outer form has
+    no such filter; the empty entry that it gives for an empty array is dropped behind it.
+    """
+    every = (F.posexplode_outer if len(names) == 2 else F.explode_outer)(column).alias(*names)
+    return df.select(*keep, every).where(F.col(names[-1]).isNotNull())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the folder that spark.checkpoint.dir names, read again: a plan's stages
     are computed once, survive lost executors, and show the planner their true sizes.

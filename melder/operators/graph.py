@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,41 @@ def album(albums: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.unionAll(a.select("root", "who", "entry", F.lit("credit"), "seq", none, none, F.lit("primary_artist")))
 
 
+def _once(rows: Column, key: Callable[[Column], Column]) -> Column:
+    """The entries of an array of structs in their natural order, the first of each key alone."""
+    # bound as a one-entry array: an expression that a lambda mentions would be worked out for each entry
+    both = F.array(F.struct(rows.alias("rows"), F.transform(rows, key).alias("keys")))
+    return F.get(F.transform(both, lambda s: F.filter(s["rows"], lambda x, i: F.array_position(s["keys"], key(x)) == i + 1)), F.lit(0))
+
+
+def album_graphs(albums: DataFrame, provider: str, most_nodes: int = MAX_NODES, most_edges: int = MAX_EDGES) -> DataFrame:
+    """root, nodes, edges and truncated: capped() of album(), for albums that have one row each. An album's
+    tracks are bounded, so its graph is made and cut within its row and nothing is shuffled."""
+    p = F.lit(provider)
+    root = node_id(p, F.lit("release"), F.col("album_id"))
+    entry = lambda t: node_id(p, F.lit("track_entry"), F.concat_ws("/", "album_id", t["disc"].cast("string"), t["position"].cast("string"), t["track_id"]))
+    named = lambda t: F.filter(F.transform(t["artists"], lambda a, j: F.struct(a.alias("name"), j.alias("j"))), lambda a: F.trim(a["name"]) != "")
+    placed = F.transform("tracks", lambda t, i: F.struct(((i + 1) * 1000).alias("seq"), entry(t).alias("entry"), t["title"].alias("title"), t["disc"].alias("disc"), t["position"].alias("position"), named(t).alias("artists")))
+    who = lambda e: F.transform(e["artists"], lambda a: F.struct((e["seq"] + a["j"] + 1).alias("seq"), local_artist_id(p, e["entry"], a["name"]).alias("who"), a["name"].alias("name")))
+    made = F.transform(placed, lambda e: F.struct(*[e[c].alias(c) for c in ("seq", "entry", "title", "disc", "position")], who(e).alias("artists")))
+    out = albums.select(root.alias("root"), "title", F.coalesce(made, F.array()).alias("_made"))
+    node = lambda seq, i, kind, name: F.struct(seq.alias("seq"), i.alias("id"), F.lit(kind).alias("type"), name.alias("name"))
+    below = lambda e: F.concat(F.array(node(e["seq"], e["entry"], "track_entry", e["title"])), F.transform(e["artists"], lambda a: node(a["seq"], a["who"], "artist", a["name"])))
+    nodes = F.concat(F.array(node(F.lit(0), F.col("root"), "release", F.col("title"))), F.flatten(F.transform("_made", below)))
+    edge = lambda seq, a, b, kind, disc, position, role: F.struct(seq.alias("seq"), a.alias("source"), b.alias("target"), F.lit(kind).alias("type"), disc.alias("disc"), position.alias("position"), role.alias("role"))
+    none = F.lit(None).cast("int")
+    ends = lambda e: F.concat(
+        F.array(edge(e["seq"], e["entry"], F.col("root"), "appears_on", e["disc"], e["position"], F.lit(None).cast("string"))),
+        F.transform(e["artists"], lambda a: edge(a["seq"], a["who"], e["entry"], "credit", none, none, F.lit("primary_artist"))),
+    )
+    out = out.select("root", F.sort_array(nodes).alias("_nodes"), F.sort_array(F.flatten(F.transform("_made", ends))).alias("_edges"))
+    out = out.withColumn("_nodes", _once(F.col("_nodes"), lambda n: n["id"])).withColumn("nodes", F.slice("_nodes", 1, most_nodes))
+    inside = F.transform(F.array(F.col("nodes.id")), lambda ids: F.filter("_edges", lambda e: (e["source"] != e["target"]) & F.array_contains(ids, e["source"]) & F.array_contains(ids, e["target"])))
+    out = out.withColumn("_edges", F.get(inside, F.lit(0)))
+    out = out.withColumn("_edges", _once(F.col("_edges"), lambda e: F.struct(e["source"], e["target"], e["type"])))
+    return out.select("root", "nodes", F.slice("_edges", 1, most_edges).alias("edges"), ((F.size("_nodes") > most_nodes) | (F.size("_edges") > most_edges)).alias("truncated"))
+
+
 def credit_edges(credits: DataFrame) -> DataFrame:
     """source, target, type, attributes of credits(root, provider, target, native_artist, name, role).
 

@@ -9,7 +9,7 @@ from melder.operators import context, graph, links, metadata
 from melder.plans import projection as P
 from melder.queries import query
 from melder.queries_albums import _ENTRIES
-from melder.session import table
+from melder.session import table, unfolded
 from melder.sources import albums, catalogue_pages
 
 # (link, provider, id): {n} is a number, {s} 22 letters, {v} 11, {u} an id of a recording; no provider: not a track link
@@ -81,15 +81,16 @@ def _deezer(spark: SparkSession, sf: str) -> DataFrame:
     placed = ~F.col("line").isin(1, 7)
     foreign = (F.col("o") % 7 == 3) & (F.col("idx") == 4)
     track = F.struct(F.col("track_id").alias("id"), "title", F.when(placed, F.col("position")).alias("track_position"), F.when(placed, F.col("disc")).alias("disk_number"), (100 + F.col("line")).alias("duration"), F.struct(F.concat(F.lit("Singer "), (F.col("line") % 2).cast("string")).alias("name")).alias("artist"), F.struct(F.when(foreign, "999").otherwise(F.col("album_id")).alias("id")).alias("album"))
-    pages = e.groupBy("album_id", "o", "n", F.floor(F.col("idx") / 3).cast("int").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", track.alias("t")))), lambda x: x["t"]).alias("data"))
-    told = F.to_json(F.struct("data", F.when((F.col("page") + 1) * 3 < F.col("n"), "more").alias("next")))
-    first = pages.where("page = 0").select("album_id", F.lit(1).alias("page"), F.to_json(F.struct("data")).alias("again"))
-    bodies = pages.withColumn("body", told).join(first, ["album_id", "page"], "left")
-    bodies = bodies.select("album_id", "page", F.when((F.col("page") == 1) & (F.col("o") % 7 == 1), F.col("again")).when((F.col("page") == 1) & (F.col("o") % 7 == 2), F.lit(None)).otherwise(F.col("body")).alias("body"))
-    after = e.where("o % 13 <> 4").groupBy("album_id").agg((F.floor((F.max("n") + 2) / 3)).cast("int").alias("page")).withColumn("body", F.lit('{"data": []}'))
+    # an album's tracks are gathered once and its pages cut from them, so that all of it stays dealt by album
+    every = e.groupBy("album_id", "o", "n").agg(F.array_sort(F.collect_list(F.struct("idx", track.alias("t")))).alias("every"), F.floor((F.col("n") + 2) / 3).cast("int").alias("after"))
+    pages = every.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("after") - F.when(F.col("o") % 13 == 4, 1).otherwise(0))))
+    again = (F.col("page") == 1) & (F.col("o") % 7 == 1)
+    data = F.transform(F.slice("every", 3 * F.when(again, 0).otherwise(F.col("page")) + 1, F.lit(3)), lambda x: x["t"])
+    told = F.to_json(F.struct(data.alias("data"), F.when(~again & ((F.col("page") + 1) * 3 < F.col("n")), "more").alias("next")))
+    bodies = pages.select("album_id", "page", F.when(F.col("page") == F.col("after"), F.lit('{"data": []}')).when((F.col("page") == 1) & (F.col("o") % 7 == 2), F.lit(None)).otherwise(told).alias("body"))
     roots = e.groupBy("album_id", "o", "n").agg(F.max("more").alias("more"))
     root = F.to_json(F.struct(F.col("album_id").alias("id"), F.concat(F.lit("Album "), "album_id").alias("title"), F.when(F.col("o") % 6 != 5, F.col("n") + F.col("more")).alias("nb_tracks")))
-    return albums.deezer(roots.select("album_id", root.alias("body")), bodies.unionAll(after))
+    return albums.deezer(roots.select("album_id", root.alias("body")), bodies)
 
 
 _READ = f"""p AS (SELECT *, CASE WHEN o % 7 IN (1, 2) AND n > 3 THEN 3 WHEN o % 7 = 3 AND n > 4 THEN 4 ELSE n END AS got, (o % 7 IN (1, 2) AND n > 3) OR (o % 7 = 3 AND n > 4) OR (more = 1 AND o % 6 <> 5 AND o % 13 = 4) AS failed FROM ({_PAGED}) x),
@@ -117,15 +118,15 @@ flag AS (SELECT kn.root, bool_or(kn.m > 8) OR coalesce((SELECT bool_or(ke.m > 5)
 @query(f"{_GRAPH} SELECT kn.root, id, type, place, truncated FROM kn JOIN flag ON kn.root = flag.root")
 def album_graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """An album's nodes in order of appearance under a cap, with the graph's flag."""
-    nodes, _ = graph.capped(*graph.album(_deezer(spark, sf), "deezer"), 8, 5)
-    return nodes.select("root", "id", "type", F.col("place").cast("long").alias("place"), "truncated")
+    nodes = unfolded(graph.album_graphs(_deezer(spark, sf), "deezer", 8, 5), ["root", "truncated"], "nodes", "i", "n")
+    return nodes.select("root", "n.id", "n.type", (F.col("i") + 1).cast("long").alias("place"), "truncated")
 
 
 @query(f"{_GRAPH} SELECT ke.root, source, target, type, position, truncated FROM ke JOIN flag ON ke.root = flag.root WHERE k <= 5")
 def album_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     """The edges between them under a cap of their own."""
-    _, edges = graph.capped(*graph.album(_deezer(spark, sf), "deezer"), 8, 5)
-    return edges.select("root", "source", "target", "type", F.col("position").cast("long").alias("position"), "truncated")
+    edges = unfolded(graph.album_graphs(_deezer(spark, sf), "deezer", 8, 5), ["root", "truncated"], "edges", "e")
+    return edges.select("root", "e.source", "e.target", "e.type", F.col("e.position").cast("long").alias("position"), "truncated")
 
 
 # a record inside its envelope, in five shapes; the artist's id is the record's own in the third

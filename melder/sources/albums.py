@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from melder.functions.text import unescaped
 from melder.operators.albums import MOST
+from melder.session import unfolded
 from melder.sources.wire import bodies
 
 TRACKS = "array<struct<track_id: string, recording_id: string, title: string, disc: int, position: int, duration_ms: bigint, isrc: string, artists: array<string>>>"
@@ -122,7 +123,9 @@ def deezer(roots: DataFrame, pages: DataFrame, limit: int = MOST) -> DataFrame:
     Reading ends well with an empty page, with the total that the root declares, or where nothing more
     is announced. Entries without id or title and repeated ones are left out and make the album incomplete.
     """
-    root = bodies(roots, DEEZER).where("b.id = album_id and coalesce(b.title, '') <> ''").select("album_id", "b.title", "b.release_date", F.col("b.nb_tracks").try_cast("bigint").alias("total"))
+    # filtered behind an explode: a filter on the body's fields would be pushed below and parse it for each of them
+    root = unfolded(bodies(roots, DEEZER).select("album_id", F.array("b").alias("b")), ["album_id"], "b", "b").where("b.id = album_id and coalesce(b.title, '') <> ''")
+    root = root.select("album_id", "b.title", "b.release_date", F.col("b.nb_tracks").try_cast("bigint").alias("total"))
     read = bodies(pages.where(F.col("page").between(0, PAGES - 1)), DEEZER_PAGE)
     row = "named_struct('id', r.id, 'title', r.title, 'disc', coalesce(try_cast(r.disk_number as int), 0), 'position', coalesce(try_cast(r.track_position as int), 0), 'duration_ms', coalesce(try_cast(r.duration as bigint), 0) * 1000, 'isrc', r.isrc, 'artist', r.artist.name, 'place', i)"
     foreign = "filter(sequence(0, size(b.data)), i -> i = size(b.data) or coalesce(get(b.data, i).album.id, '') not in ('', album_id))[0]"

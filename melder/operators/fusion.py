@@ -59,6 +59,12 @@ def priority(provider: Column, order: list[str]) -> Column:
     return F.when(at > 0, at - 1).otherwise(len(order)).cast("int")
 
 
+def filled(c: Column, field: str) -> Column:
+    """Whether a row's value of a field is there."""
+    text = c.cast("string")
+    return text.isNotNull() & (F.trim(text) != "") & (text != "0" if field == "duration_ms" else F.lit(True))
+
+
 def long_form(rows: DataFrame, fields: list[str], carried: list[str] | None = None) -> DataFrame:
     """query_id, provider, score, field, value, vote: one row for each value that is there.
     `carried` are further columns, alike in all rows of a query."""
@@ -66,8 +72,7 @@ def long_form(rows: DataFrame, fields: list[str], carried: list[str] | None = No
     entries = []
     for f in fields:
         text = F.col(f).cast("string")
-        present = text.isNotNull() & (F.trim(text) != "") & (text != "0" if f == "duration_ms" else F.lit(True))
-        entries.append(F.when(present, F.struct(F.lit(f).alias("field"), text.alias("value"), F.lower(F.trim(text)).alias("vote"))))
+        entries.append(F.when(filled(F.col(f), f), F.struct(F.lit(f).alias("field"), text.alias("value"), F.lower(F.trim(text)).alias("vote"))))
     return rows.select(*own, F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("e")).select(*own, "e.*")
 
 
@@ -90,6 +95,38 @@ def choose(values: DataFrame, policy: Policy, fields: list[str], carried: list[s
     return won.select(*key, "field", F.col("w.o.best.value").alias("value"), F.col("w.o.best.provider").alias("provider"), F.col("w.n_votes").alias("n_votes"), F.col("w.sources").alias("sources"))
 
 
+def chosen(per: DataFrame, column: str, policy: Policy, fields: dict[str, str]) -> DataFrame:
+    """per with, for each of `fields`, a column of value, provider and n_votes: what choose() takes of the
+    entries of the array `column` (one of each source), null where none has a value.
+
+    fields tells what a field is called in the entries. All is decided within the row, so no value is
+    shuffled; an entry is compared with the others, of which there are as many as sources.
+    """
+    voters = {f"_{f}": _voters(column, f, name, policy) for f, name in fields.items()}
+    won = {f: _winner(f"_{f}", policy.by_votes(f)) for f in fields}
+    return per.withColumns(voters).withColumns(won).drop(*voters)
+
+
+def _voters(column: str, field: str, name: str, policy: Policy) -> Column:
+    """The entries that have a value of the field, as they are compared."""
+
+    def entry(x: Column) -> Column:
+        text = x[name].cast("string")
+        rank = priority(x["provider"], policy.order(field))
+        return F.when(filled(x[name], field), F.struct(rank.alias("rank"), (-x["score"]).alias("score"), x["provider"].alias("provider"), text.alias("value"), F.lower(F.trim(text)).alias("vote")))
+
+    return F.filter(F.transform(column, entry), lambda v: v.isNotNull())
+
+
+def _winner(voters: str, by_votes: bool) -> Column:
+    def alike(v: Column) -> Column:
+        return F.size(F.filter(voters, lambda y: y["vote"] == v["vote"])).cast("long")
+
+    # by votes they are counted for each entry, else for the first one alone
+    first = F.array_min(F.transform(voters, lambda v: F.struct((-alike(v) if by_votes else F.lit(0)).alias("n"), v.alias("e"))))
+    return F.transform(F.array(first), lambda w: F.when(w.isNotNull(), F.struct(w["e"]["value"].alias("value"), w["e"]["provider"].alias("provider"), (-w["n"] if by_votes else alike(w["e"])).alias("n_votes"))))[0]
+
+
 def fuse(rows: DataFrame, policy: Policy | None = None, fields: list[str] | None = None) -> DataFrame:
     """One row for each query: a column for each field, and field_sources."""
     policy, fields = policy or Policy(), fields or [f for f in FIELDS if f in rows.columns]

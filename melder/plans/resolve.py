@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from melder.operators import fusion, gates, identity, selection
@@ -34,24 +36,21 @@ def resolve(candidates: DataFrame, policy: fusion.Policy | None = None, method:
     confidence, identity_status of candidates(query_id, provider, rank, q_*, ...).
 
     Candidates are scored where they are read; what is left of them is shuffled once by query
-    and source and once by query, and the fusion that follows keeps that partitioning.
+    and source and once by query, and fused within the query's row.
     """
-    # written before it is filtered: the filter would be pushed below what makes the arrays
-    kept = staged(accepted(candidates, method), "kept").where(F.size("rows") > 0)
-    per = kept.select(
-        "query_id", F.size("rows").cast("long").alias("n_sources"), F.array_max(F.transform("rows", lambda x: x["score"])).alias("match_score"),
-        F.exists("rows", lambda x: x["provider"] == "musicbrainz").alias("has_mbid"), "rows",
-    )
-    carried = ["n_sources", "match_score", "has_mbid"]
-    rows = per.select("query_id", *carried, F.explode("rows").alias("e")).select("query_id", *carried, "e.*")
     base = policy or fusion.Policy()
     by_source = fusion.Policy(base.mode, {**base.priorities, "artists": base.order("artists")})
-    names = [*FIELDS, "artists"]
-    won = fusion.choose(fusion.long_form(rows.withColumnRenamed("artist", "artists"), names, carried), by_source, names, carried)
-    pick = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in names]
+    names = {**{f: f for f in FIELDS}, "artists": "artist"}
+    there = F.exists("rows", lambda x: reduce(Column.__or__, [fusion.filled(x[name], f) for f, name in names.items()]))
+    # written before it is filtered: the filter would be pushed below what makes the arrays
+    kept = staged(accepted(candidates, method), "kept").where(there)
+    won = fusion.chosen(kept, "rows", by_source, names)
     # the sources that agree on the chosen ISRC vouch for it, others with one of their own don't
-    votes = F.coalesce(F.max(F.when(F.col("field") == "isrc", F.col("n_votes"))), F.lit(0)).alias("votes")
-    out = won.groupBy("query_id", *carried).agg(*pick, votes).withColumnRenamed("artists", "artist").withColumn("mbid", F.lit(None).cast("string"))
+    votes = F.coalesce("isrc.n_votes", F.lit(0)).alias("votes")
+    out = won.select(
+        "query_id", F.size("rows").cast("long").alias("n_sources"), F.array_max(F.transform("rows", lambda x: x["score"])).alias("match_score"),
+        F.exists("rows", lambda x: x["provider"] == "musicbrainz").alias("has_mbid"), *[F.col(f)["value"].alias(name) for f, name in names.items()], votes, F.lit(None).cast("string").alias("mbid"),
+    )
     has_isrc = F.col("isrc").isNotNull()
     return out.select(
         "query_id", identity.canonical_id("title", "artist", "isrc", "mbid").alias("canonical_id"), "title", "artist", "album", F.col("duration_ms").cast("long").alias("duration_ms"), "isrc", "n_sources", "match_score",

@@ -77,18 +77,18 @@ _PAGED = f"SELECT *, CAST(album_id AS BIGINT) AS o, row_number() OVER (PARTITION
 
 
 def _deezer(spark: SparkSession, sf: str) -> DataFrame:
-    e = P.view(spark, sf, _PAGED)
-    placed = ~F.col("line").isin(1, 7)
-    foreign = (F.col("o") % 7 == 3) & (F.col("idx") == 4)
-    track = F.struct(F.col("track_id").alias("id"), "title", F.when(placed, F.col("position")).alias("track_position"), F.when(placed, F.col("disc")).alias("disk_number"), (100 + F.col("line")).alias("duration"), F.struct(F.concat(F.lit("Singer "), (F.col("line") % 2).cast("string")).alias("name")).alias("artist"), F.struct(F.when(foreign, "999").otherwise(F.col("album_id")).alias("id")).alias("album"))
-    # an album's tracks are gathered once and its pages cut from them, so that all of it stays dealt by album
-    every = e.groupBy("album_id", "o", "n").agg(F.array_sort(F.collect_list(F.struct("idx", track.alias("t")))).alias("every"), F.floor((F.col("n") + 2) / 3).cast("int").alias("after"))
+    e = P.view(spark, sf, _ENTRIES)
+    o, placed = F.col("album_id").cast("long"), ~F.col("line").isin(1, 7)
+    track = F.struct(F.col("track_id").alias("id"), "title", F.when(placed, F.col("position")).alias("track_position"), F.when(placed, F.col("disc")).alias("disk_number"), (100 + F.col("line")).alias("duration"), F.struct(F.concat(F.lit("Singer "), (F.col("line") % 2).cast("string")).alias("name")).alias("artist"))
+    # an album's tracks are gathered once, which tells their number and places too, and its pages cut from them
+    every = e.groupBy("album_id").agg(F.sort_array(F.collect_list(F.struct("line", track.alias("t")))).alias("every")).withColumns({"o": o, "n": F.size("every")}).withColumn("after", F.floor((F.col("n") + 2) / 3).cast("int"))
     pages = every.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("after") - F.when(F.col("o") % 13 == 4, 1).otherwise(0))))
     again = (F.col("page") == 1) & (F.col("o") % 7 == 1)
-    data = F.transform(F.slice("every", 3 * F.when(again, 0).otherwise(F.col("page")) + 1, F.lit(3)), lambda x: x["t"])
+    foreign = lambda i: (F.col("o") % 7 == 3) & (F.col("page") == 1) & (i == 1)
+    data = F.transform(F.slice("every", 3 * F.when(again, 0).otherwise(F.col("page")) + 1, F.lit(3)), lambda x, i: x["t"].withField("album", F.struct(F.when(foreign(i), "999").otherwise(F.col("album_id")).alias("id"))))
     told = F.to_json(F.struct(data.alias("data"), F.when(~again & ((F.col("page") + 1) * 3 < F.col("n")), "more").alias("next")))
     bodies = pages.select("album_id", "page", F.when(F.col("page") == F.col("after"), F.lit('{"data": []}')).when((F.col("page") == 1) & (F.col("o") % 7 == 2), F.lit(None)).otherwise(told).alias("body"))
-    roots = e.groupBy("album_id", "o", "n").agg(F.max("more").alias("more"))
+    roots = e.groupBy("album_id").agg(F.count("*").alias("n"), F.max("more").alias("more")).withColumn("o", o)
     root = F.to_json(F.struct(F.col("album_id").alias("id"), F.concat(F.lit("Album "), "album_id").alias("title"), F.when(F.col("o") % 6 != 5, F.col("n") + F.col("more")).alias("nb_tracks")))
     return albums.deezer(roots.select("album_id", root.alias("body")), bodies)
 

@@ -131,20 +131,23 @@ def deezer(roots: DataFrame, pages: DataFrame, limit: int = MOST) -> DataFrame:
     foreign = "filter(sequence(0, size(b.data)), i -> i = size(b.data) or coalesce(get(b.data, i).album.id, '') not in ('', album_id))[0]"
     read = read.withColumn("_own", F.when(F.col("b.data").isNotNull(), F.expr(foreign)))
     entry = F.struct("page", F.expr(f"cast(transform(slice(b.data, 1, _own), (r, i) -> {row}) as array<{_PAGED}>)").alias("rows"), F.xxhash64(F.to_json("b.data")).alias("hash"), F.size("b.data").alias("n"), (F.coalesce("b.next", F.lit("")) != "").alias("more"), (F.col("_own") < F.size("b.data")).alias("foreign"))
-    one = read.groupBy("album_id", "page").agg(F.min(entry).alias("e")).groupBy("album_id").agg(F.array_sort(F.collect_list("e")).alias("pages"))
+    one = read.groupBy("album_id", "page").agg(F.min(entry).alias("e")).groupBy("album_id").agg(F.sort_array(F.collect_list("e")).alias("pages"))
     df = root.join(one, "album_id", "left").withColumn("pages", F.coalesce("pages", F.expr(f"cast(array() as array<struct<page: int, rows: array<{_PAGED}>, hash: bigint, n: int, more: boolean, foreign: boolean>>)")))
-    # one step a page: the page is asked for while reading goes on and the limit isn't reached
-    usable = "size(filter(a.rows, r -> coalesce(r.id, '') <> '' and coalesce(r.title, '') <> ''))"
-    bad = f"p is null or p.n is null or p.n > {PAGE} or (p.n > 0 and array_contains(a.hashes, p.hash))"
+    # one step a page: the page is asked for while reading goes on and the limit isn't reached. A page that isn't there shows
+    # in the next one's number or at the end; a step costs what its page holds, so an album costs what its pages hold
+    usable = "size(filter(p.rows, r -> coalesce(r.id, '') <> '' and coalesce(r.title, '') <> ''))"
+    bad = f"p.page <> a.at or p.n is null or p.n > {PAGE} or (p.n > 0 and array_contains(a.hashes, p.hash))"
     enough = "p.n = 0 or coalesce(a.n + p.n >= total, false) or (not p.more and (total is null or a.n + p.n >= total))"
-    placed = "transform(p.rows, r -> named_struct('id', r.id, 'title', r.title, 'disc', r.disc, 'position', r.position, 'duration_ms', r.duration_ms, 'isrc', r.isrc, 'artist', r.artist, 'place', a.n + r.place + 1))"
-    taken = f"named_struct('n', a.n + p.n, 'hashes', array_append(a.hashes, p.hash), 'rows', concat(a.rows, {placed}), 'done', p.foreign or {enough}, 'failed', p.foreign)"
-    step = f"case when a.done or {usable} >= {limit} then a when {bad} then named_struct('n', a.n, 'hashes', a.hashes, 'rows', a.rows, 'done', true, 'failed', true) else {taken} end"
-    start = f"named_struct('n', 0, 'hashes', cast(array() as array<bigint>), 'rows', cast(array() as array<{_PAGED}>), 'done', false, 'failed', false)"
-    df = df.withColumn("_read", F.expr(f"aggregate(transform(sequence(0, {PAGES - 1}), k -> get(filter(pages, x -> x.page = k), 0)), {start}, (a, p) -> {step})"))
     # an entry may come twice at different places, which its key tells apart
-    made = _track(track_id="r.id", recording_id="concat(r.id, if(r.position > 0 and r.disc > 0, concat('/', r.disc, '/', r.position), ''))", title="r.title", disc="r.disc", position="if(r.position > 0, r.position, r.place)", duration_ms="r.duration_ms", isrc="nullif(r.isrc, '')", artists="filter(array(r.artist), x -> coalesce(x, '') <> '')")
-    df = df.withColumn("_all", F.expr(f"cast(transform(_read.rows, r -> {made}) as {TRACKS})"))
+    made = _track(track_id="r.id", recording_id="concat(r.id, if(r.position > 0 and r.disc > 0, concat('/', r.disc, '/', r.position), ''))", title="r.title", disc="r.disc", position="if(r.position > 0, r.position, a.n + r.place + 1)", duration_ms="r.duration_ms", isrc="nullif(r.isrc, '')", artists="if(coalesce(r.artist, '') <> '', array(r.artist), cast(array() as array<string>))")
+    placed = f"cast(transform(p.rows, r -> {made}) as {TRACKS})"
+    taken = f"named_struct('at', a.at + 1, 'n', a.n + p.n, 'usable', a.usable + {usable}, 'hashes', array_append(a.hashes, p.hash), 'rows', concat(a.rows, {placed}), 'done', p.foreign or {enough}, 'failed', p.foreign)"
+    broken = "named_struct('at', a.at, 'n', a.n, 'usable', a.usable, 'hashes', a.hashes, 'rows', a.rows, 'done', true, 'failed', true)"
+    step = f"case when a.done or a.usable >= {limit} then a when {bad} then {broken} else {taken} end"
+    start = f"named_struct('at', 0, 'n', 0, 'usable', 0, 'hashes', cast(array() as array<bigint>), 'rows', cast(array() as {TRACKS}), 'done', false, 'failed', false)"
+    end = f"a -> named_struct('rows', a.rows, 'failed', a.failed or (not a.done and a.usable < {limit} and a.at < {PAGES}))"
+    df = df.withColumn("_read", F.expr(f"aggregate(pages, {start}, (a, p) -> {step}, {end})"))
+    df = df.withColumn("_all", F.col("_read.rows"))
     df = df.withColumn("_kept", _kept("k.recording_id = x.recording_id"))
     df = df.withColumn("_kept", F.transform("_kept", lambda x: x.withField("recording_id", F.lit(None).cast("string"))))
     out = _finished(df.select("album_id", "title", "release_date", "total", (F.expr("size(_kept) = size(_all)") & ~F.col("_read.failed")).alias("valid"), "_kept", F.col("_read.failed").alias("failed")), limit, more=["failed"])

@@ -85,6 +85,8 @@ def video_points(videos: DataFrame, points: DataFrame, most: int = 100) -> DataF
 
 def second_pass(queries: DataFrame, status: DataFrame, seeds: DataFrame, sources: list[str]) -> DataFrame:
     """(query_id, provider, title, artist, isrc): sources still without a match, asked with the seed's fields."""
-    every = seeds.withColumn("provider", F.explode(F.array(*[F.lit(s) for s in sources])))
-    done = status.where("status = 'matched'").select("query_id", "provider")
-    return joined(joined(every, queries.select("query_id"), "query_id", "left_semi"), done, ["query_id", "provider"], "left_anti")
+    done = status.where("status = 'matched'").groupBy("query_id").agg(F.collect_set("provider").alias("_done"))
+    # a query meets what it has once, not once for each source
+    asked = joined(joined(seeds, queries.select("query_id"), "query_id", "left_semi"), done, "query_id", "left")
+    left = F.array_except(F.array(*[F.lit(s) for s in sources]), F.coalesce("_done", F.array().cast("array<string>")))
+    return asked.withColumn("provider", F.explode(left)).drop("_done")

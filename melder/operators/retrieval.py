@@ -94,37 +94,37 @@ class Index:
         return met.where((F.col("ratio") >= self.least) & (F.size(F.array_except("q_aw", "aw")) == 0)).select("q_title", "q_artist", "title", "artist", "ratio", "artist_ratio").distinct()
 
 
-def by_id(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """query_id, provider, native_id: the record asked for by its own source's id, compared with case."""
-    own = wanted.where(_given("q_id") & (F.lower("provider") == F.lower(F.col("q_provider")))).select("query_id", "provider", F.col("q_id").alias("native_id"))
-    return joined(own, catalogue.select("provider", "native_id"), ["provider", "native_id"]).select("query_id", "provider", "native_id", F.lit(1).cast("long").alias("rank"))
+def by_id(wanted: DataFrame, catalogue: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """query_id, provider, native_id, rank and wanted's columns `more`: the record asked for by its own source's id, compared with case."""
+    own = wanted.where(_given("q_id") & (F.lower("provider") == F.lower(F.col("q_provider")))).select("query_id", "provider", F.col("q_id").alias("native_id"), *(more or []))
+    return joined(own, catalogue.select("provider", "native_id"), ["provider", "native_id"]).select("query_id", "provider", "native_id", F.lit(1).cast("long").alias("rank"), *(more or []))
 
 
-def by_isrc(wanted: DataFrame, catalogue: DataFrame, most: int = MOST) -> DataFrame:
+def by_isrc(wanted: DataFrame, catalogue: DataFrame, most: int = MOST, more: list[str] | None = None) -> DataFrame:
     """The first records, by native id, of each source with the request's ISRC."""
-    asked = wanted.where(_given("q_isrc")).select("query_id", "provider", _code("q_isrc").alias("code"))
+    asked = wanted.where(_given("q_isrc")).select("query_id", "provider", _code("q_isrc").alias("code"), *(more or []))
     heads = _first(catalogue.where(_given("isrc")).select("provider", "native_id", _code("isrc").alias("code")), ["provider", "code"], ["native_id"], most)
-    return joined(asked, heads, ["provider", "code"]).select("query_id", "provider", "native_id", "rank")
+    return joined(asked, heads, ["provider", "code"]).select("query_id", "provider", "native_id", "rank", *(more or []))
 
 
-def by_words(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int = MOST) -> DataFrame:
+def by_words(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int = MOST, more: list[str] | None = None) -> DataFrame:
     """The first records of each source whose title and artist match the request's in words: by the
     weighted share of common words, then native id.
 
     Texts that requests share are searched once, and records that share a text are cut to the first
     `most` of a source before they meet a request.
     """
-    asked = wanted.where(_given("q_title") & _given("q_artist")).select("query_id", "provider", "q_title", "q_artist")
+    asked = wanted.where(_given("q_title") & _given("q_artist")).select("query_id", "provider", "q_title", "q_artist", *(more or []))
     pairs = index.similar(asked)
     same = F.coalesce("title", F.lit("")).alias("title"), F.coalesce("artist", F.lit("")).alias("artist")
     heads = _first(catalogue.select("provider", "native_id", *same), ["provider", "title", "artist"], ["native_id"], most, "head").drop("head")
     order = [(0.55 * F.col("ratio") + 0.45 * F.col("artist_ratio")).desc(), F.col("native_id")]
     found = _first(joined(pairs, heads, ["title", "artist"]), ["q_title", "q_artist", "provider"], order, most)
-    return joined(asked, found, ["q_title", "q_artist", "provider"]).select("query_id", "provider", "native_id", "rank")
+    return joined(asked, found, ["q_title", "q_artist", "provider"]).select("query_id", "provider", "native_id", "rank", *(more or []))
 
 
-def retrieve(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int = MOST) -> DataFrame:
-    """query_id, provider, native_id, rank, tier of wanted(query_id, provider, q_title, q_artist, q_isrc,
+def retrieve(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int = MOST, more: list[str] | None = None) -> DataFrame:
+    """query_id, provider, native_id, rank, tier and the columns `more` of wanted(query_id, provider, q_title, q_artist, q_isrc,
     q_provider, q_id), a row for each source to ask, over catalogue(provider, native_id, title, artist, isrc)
     and its Index.
 
@@ -133,9 +133,9 @@ def retrieve(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int =
     """
     key = ["query_id", "provider"]
     own = F.coalesce(_given("q_id") & (F.lower("provider") == F.lower("q_provider")), F.lit(False))
-    ids = staged(by_id(wanted, catalogue), "by_id")
+    ids = staged(by_id(wanted, catalogue, more), "by_id")
     rest = wanted.where(~own)
-    codes = staged(by_isrc(rest, catalogue, most), "by_isrc")
-    words = staged(by_words(joined(rest, codes.select(*key).distinct(), key, "left_anti"), catalogue, index, most), "by_words")
-    tiers = [df.select(*key, "native_id", "rank", F.lit(name).alias("tier")) for df, name in ((ids, "id"), (codes, "isrc"), (words, "words"))]
+    codes = staged(by_isrc(rest, catalogue, most, more), "by_isrc")
+    words = staged(by_words(joined(rest, codes.select(*key).distinct(), key, "left_anti"), catalogue, index, most, more), "by_words")
+    tiers = [df.select(*key, "native_id", "rank", F.lit(name).alias("tier"), *(more or [])) for df, name in ((ids, "id"), (codes, "isrc"), (words, "words"))]
     return tiers[0].unionAll(tiers[1]).unionAll(tiers[2])

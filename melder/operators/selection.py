@@ -95,13 +95,13 @@ def trusted(rows: DataFrame) -> DataFrame:
     return out.withColumn("reason", F.when(F.col("accepted") & ~F.col("trusted"), "unverified_candidate"))
 
 
-def asked_sources(requests: DataFrame, sources: list[str]) -> DataFrame:
-    """(query_id, provider): the sources asked first. A request by id that has neither title nor ISRC
+def asked_sources(requests: DataFrame, sources: list[str], more: list[str] | None = None) -> DataFrame:
+    """(query_id, provider) and the columns of `more`: the sources asked first. A request by id that has neither title nor ISRC
     asks the id's own source alone."""
     given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
     alone = given("q_provider") & ~given("q_title") & ~given("q_isrc")
     every = requests.withColumn("provider", F.explode(F.array(*[F.lit(s) for s in sources])))
-    return every.where(~alone | (F.col("provider") == F.lower("q_provider"))).select("query_id", "provider")
+    return every.where(~alone | (F.col("provider") == F.lower("q_provider"))).select("query_id", "provider", *(more or []))
 
 
 def first_matches(matches: DataFrame) -> DataFrame:

@@ -92,3 +92,8 @@ def view(spark: SparkSession, sf_dir: str, sql: str, costly: bool = False) -> Da
     for name in used:
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
     return spark.sql(sql, **used)
+
+
+def pages(catalogue: DataFrame) -> DataFrame:
+    """DETAILS of a CATALOGUE that is at hand and so isn't made from the driver's tables again."""
+    return catalogue.sparkSession.sql(DETAILS.replace(f"({CATALOGUE})", "{catalogue}"), catalogue=catalogue)

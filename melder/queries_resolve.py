@@ -55,14 +55,13 @@ again AS (SELECT query_id, {_clean_title_sql('s_title')} AS q_title, {_clean_art
 
 
 def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    catalogue = P.view(spark, sf, P.CATALOGUE)
+    catalogue = staged(P.view(spark, sf, P.CATALOGUE), "catalogue")
     artists = F.when(F.col("guest").isNull(), F.array("artist")).otherwise(F.array("artist", "guest"))
-    return P.view(spark, sf, P.REQUESTS), catalogue.withColumn("artists", artists), P.view(spark, sf, P.DETAILS)
+    return P.view(spark, sf, P.REQUESTS), catalogue.withColumn("artists", artists), P.pages(catalogue)
 
 
 def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, retrieval.Index]:
     requests, catalogue, _ = _tables(spark, sf)
-    catalogue = staged(catalogue, "catalogue")
     return staged(stages.cleaned(requests), "requests"), catalogue, retrieval.Index(catalogue)
 
 
@@ -77,6 +76,7 @@ def first_pass_candidates(spark: SparkSession, sf: str) -> DataFrame:
 def second_pass_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Sources without a trusted candidate, asked with the seed's texts and ISRC."""
     asked, catalogue, index = _indexed(spark, sf)
+    asked = asked.where(stages.input_type() != "artist_title")  # only these have seeds
     first = staged(stages.first_pass(asked, catalogue, index), "first")
     return stages.second_pass(staged(stages.seeds(asked, first, catalogue), "seeds"), first, catalogue, index)
 
@@ -124,7 +124,8 @@ rich AS MATERIALIZED (SELECT * EXCLUDE (there, d_label, d_ms, d_album, agrees, d
 @query(f"{_HYDRATED} SELECT query_id, provider, native_id, pass, score, duration_ms, label, album_id, hydration FROM final")
 def hydrated_rows(spark: SparkSession, sf: str) -> DataFrame:
     """J01 to J05, A01 to A05 on token scores: both passes, scored, gated, hydrated, durations checked again."""
-    rows = stages.run(*_tables(spark, sf), method="tokens")["rows"]
+    out = stages.run(*_tables(spark, sf), method="tokens")
+    rows = stages.of_each(out["hydrated"], out["alike"]).select("query_id", F.explode("rows").alias("e")).select("query_id", "e.*")
     return rows.select("query_id", "provider", "native_id", "pass", "score", "duration_ms", "label", "album_id", "hydration")
 
 

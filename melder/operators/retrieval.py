@@ -65,11 +65,12 @@ class Index:
 
     texts: title and artist with the words of both, title words rarest first; titles, names: how many
     texts have a word; blocks: (a, t) to texts, a an artist's word and t one of the rarest words of
-    the title; large: the blocks that are cut, with their number of parts.
+    the title; large: the blocks that are cut, with their number of parts; about: columns of the catalogue
+    that go with the records that are found.
     """
 
-    def __init__(self, catalogue: DataFrame, least: float = LEAST, block: int = BLOCK_TEXTS):
-        self.least = least
+    def __init__(self, catalogue: DataFrame, least: float = LEAST, block: int = BLOCK_TEXTS, about: list[str] | None = None):
+        self.least, self.about, self._heads = least, about or [], {}
         # written before it is filtered: a filter pushed down would clean every text once more
         texts = staged(_texts(catalogue, "title", "artist"), "texts").where("size(tw) > 0 and size(aw) > 0")
         self.titles, self.names = staged(_counted(texts, "tw"), "title_words"), staged(_counted(texts, "aw"), "artist_words")
@@ -78,6 +79,14 @@ class Index:
         large = self.blocks.groupBy("a", "t").agg(F.count("*").alias("c")).where(F.col("c") > block)
         self.large = staged(large.select("a", "t", F.ceil(F.col("c") / block).cast("int").alias("parts")), "blocks")
 
+    def heads(self, catalogue: DataFrame, most: int) -> DataFrame:
+        """The first `most` records of each source with the same title and artist, written once."""
+        if most not in self._heads:
+            same = F.coalesce("title", F.lit("")).alias("title"), F.coalesce("artist", F.lit("")).alias("artist")
+            rows = catalogue.select("provider", "native_id", *same, *self.about)
+            self._heads[most] = staged(_first(rows, ["provider", "title", "artist"], ["native_id"], most, "head").drop("head"), "heads")
+        return self._heads[most]
+
     def similar(self, asked: DataFrame) -> DataFrame:
         """q_title, q_artist, title, artist, ratio, artist_ratio: the texts with at least the share `least`
         of words common to both cleaned titles, whose artist has all words of the wanted one.
@@ -94,17 +103,19 @@ class Index:
         return met.where((F.col("ratio") >= self.least) & (F.size(F.array_except("q_aw", "aw")) == 0)).select("q_title", "q_artist", "title", "artist", "ratio", "artist_ratio").distinct()
 
 
-def by_id(wanted: DataFrame, catalogue: DataFrame, more: list[str] | None = None) -> DataFrame:
-    """query_id, provider, native_id, rank and wanted's columns `more`: the record asked for by its own source's id, compared with case."""
+def by_id(wanted: DataFrame, catalogue: DataFrame, more: list[str] | None = None, about: list[str] | None = None) -> DataFrame:
+    """query_id, provider, native_id, rank, wanted's columns `more` and the catalogue's `about`: the record
+    asked for by its own source's id, compared with case."""
     own = wanted.where(_given("q_id") & (F.lower("provider") == F.lower(F.col("q_provider")))).select("query_id", "provider", F.col("q_id").alias("native_id"), *(more or []))
-    return joined(own, catalogue.select("provider", "native_id"), ["provider", "native_id"]).select("query_id", "provider", "native_id", F.lit(1).cast("long").alias("rank"), *(more or []))
+    records = catalogue.select("provider", "native_id", *(about or []))
+    return joined(own, records, ["provider", "native_id"]).select("query_id", "provider", "native_id", F.lit(1).cast("long").alias("rank"), *(more or []), *(about or []))
 
 
-def by_isrc(wanted: DataFrame, catalogue: DataFrame, most: int = MOST, more: list[str] | None = None) -> DataFrame:
+def by_isrc(wanted: DataFrame, catalogue: DataFrame, most: int = MOST, more: list[str] | None = None, about: list[str] | None = None) -> DataFrame:
     """The first records, by native id, of each source with the request's ISRC."""
     asked = wanted.where(_given("q_isrc")).select("query_id", "provider", _code("q_isrc").alias("code"), *(more or []))
-    heads = _first(catalogue.where(_given("isrc")).select("provider", "native_id", _code("isrc").alias("code")), ["provider", "code"], ["native_id"], most)
-    return joined(asked, heads, ["provider", "code"]).select("query_id", "provider", "native_id", "rank", *(more or []))
+    heads = _first(catalogue.where(_given("isrc")).select("provider", "native_id", _code("isrc").alias("code"), *(about or [])), ["provider", "code"], ["native_id"], most)
+    return joined(asked, heads, ["provider", "code"]).select("query_id", "provider", "native_id", "rank", *(more or []), *(about or []))
 
 
 def by_words(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int = MOST, more: list[str] | None = None) -> DataFrame:
@@ -116,15 +127,14 @@ def by_words(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int =
     """
     asked = wanted.where(_given("q_title") & _given("q_artist")).select("query_id", "provider", "q_title", "q_artist", *(more or []))
     pairs = index.similar(asked)
-    same = F.coalesce("title", F.lit("")).alias("title"), F.coalesce("artist", F.lit("")).alias("artist")
-    heads = _first(catalogue.select("provider", "native_id", *same), ["provider", "title", "artist"], ["native_id"], most, "head").drop("head")
+    heads = index.heads(catalogue, most)
     order = [(0.55 * F.col("ratio") + 0.45 * F.col("artist_ratio")).desc(), F.col("native_id")]
     found = _first(joined(pairs, heads, ["title", "artist"]), ["q_title", "q_artist", "provider"], order, most)
-    return joined(asked, found, ["q_title", "q_artist", "provider"]).select("query_id", "provider", "native_id", "rank", *(more or []))
+    return joined(asked, found, ["q_title", "q_artist", "provider"]).select("query_id", "provider", "native_id", "rank", *(more or []), *index.about)
 
 
 def retrieve(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int = MOST, more: list[str] | None = None) -> DataFrame:
-    """query_id, provider, native_id, rank, tier and the columns `more` of wanted(query_id, provider, q_title, q_artist, q_isrc,
+    """query_id, provider, native_id, rank, tier, the index's columns `about` and the columns `more` of wanted(query_id, provider, q_title, q_artist, q_isrc,
     q_provider, q_id), a row for each source to ask, over catalogue(provider, native_id, title, artist, isrc)
     and its Index.
 
@@ -133,9 +143,9 @@ def retrieve(wanted: DataFrame, catalogue: DataFrame, index: Index, most: int =
     """
     key = ["query_id", "provider"]
     own = F.coalesce(_given("q_id") & (F.lower("provider") == F.lower("q_provider")), F.lit(False))
-    ids = staged(by_id(wanted, catalogue, more), "by_id")
+    ids = staged(by_id(wanted, catalogue, more, index.about), "by_id")
     rest = wanted.where(~own)
-    codes = staged(by_isrc(rest, catalogue, most, more), "by_isrc")
+    codes = staged(by_isrc(rest, catalogue, most, more, index.about), "by_isrc")
     words = staged(by_words(joined(rest, codes.select(*key).distinct(), key, "left_anti"), catalogue, index, most, more), "by_words")
-    tiers = [df.select(*key, "native_id", "rank", F.lit(name).alias("tier"), *(more or [])) for df, name in ((ids, "id"), (codes, "isrc"), (words, "words"))]
+    tiers = [df.select(*key, "native_id", "rank", F.lit(name).alias("tier"), *(more or []), *index.about) for df, name in ((ids, "id"), (codes, "isrc"), (words, "words"))]
     return tiers[0].unionAll(tiers[1]).unionAll(tiers[2])

@@ -13,14 +13,14 @@ from melder.session import staged
 FIELDS = ["title", "album", "duration_ms", "release_date", "isrc", "label"]
 
 
-def accepted(candidates: DataFrame, method: str = "full", more: list[str] | None = None) -> DataFrame:
-    """query_id and rows, an array of the scored and gated rows that are fused (so it has as many
+def accepted(candidates: DataFrame, method: str = "full", more: list[str] | None = None, facts: list[str] | None = None) -> DataFrame:
+    """query_id, by_isrc, by_id (how it asks) and rows, an array of the scored and gated rows that are fused (so it has as many
     entries as there are sources): the best accepted one of each source without strays of duration,
     or, where none is left, the best of all if it may be reported and passes the gates. Entries carry
-    the columns of `more` too."""
+    the columns of `more` too, and `facts` (artist and FIELDS, if not given; duration_ms at least)."""
     rows = gates.judge(candidates, method)
     fits = (F.col("score") >= gates.REPORT) & F.col("artist_ok") & F.col("identity_ok")
-    entry = F.struct("provider", "rank", "score", "artist", "direct", *FIELDS, *(more or []), "accepted", fits.alias("fits"))
+    entry = F.struct("provider", "rank", "score", "direct", *(facts or ["artist", *FIELDS]), *(more or []), "accepted", fits.alias("fits"))
     # one aggregate serves both cases: a source's best accepted row, or its best one if none is
     order = F.struct((~F.col("accepted")).alias("a"), (-F.col("score")).alias("s"), F.col("rank").alias("r"))
     asked = [F.bool_or(F.coalesce(F.trim("q_isrc"), F.lit("")) != "").alias("by_isrc"), F.bool_or(F.coalesce("q_direct", F.lit(False))).alias("by_id")]
@@ -28,7 +28,7 @@ def accepted(candidates: DataFrame, method: str = "full", more: list[str] | None
     one = per.groupBy("query_id").agg(F.array_sort(F.collect_list("e")).alias("every"), F.bool_or("by_isrc").alias("by_isrc"), F.bool_or("by_id").alias("by_id"))
     kept = selection.without_strays(one.withColumn("rows", F.filter("every", lambda x: x["accepted"])), "rows", F.col("by_isrc"), F.col("by_id"))
     best = F.array_min(F.transform("every", lambda x: F.struct((-x["score"]).alias("s"), x["provider"].alias("p"), x["rank"].alias("r"), x.alias("e"))))
-    return kept.withColumn("_best", F.when(F.size("rows") == 0, best)).select("query_id", F.when(F.col("_best.e.fits"), F.array("_best.e")).otherwise(F.col("rows")).alias("rows"))
+    return kept.withColumn("_best", F.when(F.size("rows") == 0, best)).select("query_id", "by_isrc", "by_id", F.when(F.col("_best.e.fits"), F.array("_best.e")).otherwise(F.col("rows")).alias("rows"))
 
 
 def resolve(candidates: DataFrame, policy: fusion.Policy | None = None, method: str = "full") -> DataFrame:

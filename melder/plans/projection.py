@@ -6,7 +6,8 @@ start from the same rows. They define inputs only; operators are written twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from melder.operators.links import PLATFORMS
 from melder.session import spread, table
@@ -94,6 +95,17 @@ def view(spark: SparkSession, sf_dir: str, sql: str, costly: bool = False) -> Da
     return spark.sql(sql, **used)
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CATALOGUE, whose lines are made one of each place in an order before their texts are: the shuffle
+    by place carries a line and its part's three texts, not the nine that are made of them."""
+    key = ["l_orderkey", "l_linenumber"]
+    order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate"]
+    lines = view(spark, sf_dir, f"SELECT {', '.join(key + order)}, p_name, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey")
+    n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    one = lines.withColumn("_n", n).where("_n = 1").drop("_n")
+    return spark.sql(CATALOGUE.replace("FROM lineitem JOIN part ON l_partkey = p_partkey", "FROM {one}"), one=one)
+
+
 def pages(catalogue: DataFrame) -> DataFrame:
     """DETAILS of a CATALOGUE that is at hand and so isn't made from the driver's tables again."""
     return catalogue.sparkSession.sql(DETAILS.replace(f"({CATALOGUE})", "{catalogue}"), catalogue=catalogue)

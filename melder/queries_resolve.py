@@ -55,7 +55,7 @@ again AS (SELECT query_id, {_clean_title_sql('s_title')} AS q_title, {_clean_art
 
 
 def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    catalogue = staged(P.view(spark, sf, P.CATALOGUE), "catalogue")
+    catalogue = staged(P.records(spark, sf), "catalogue")
     artists = F.when(F.col("guest").isNull(), F.array("artist")).otherwise(F.array("artist", "guest"))
     return P.view(spark, sf, P.REQUESTS), catalogue.withColumn("artists", artists), P.pages(catalogue)
 

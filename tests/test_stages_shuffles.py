@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from melder import queries_resolve
 from melder.operators import enrich, retrieval
+from melder.plans import projection as P
 from melder.plans import stages
 from melder.session import staged
 from tests.test_stages import CATALOGUE, DETAIL, REQUEST, SOURCES, request, row
@@ -55,3 +56,28 @@ def test_a_query_meets_its_matches_once(spark):
     assert {(r["query_id"], r["provider"], r["title"]) for r in got.collect()} == {(1, "spotify", "a"), (1, "deezer", "a"), *((3, p, "c") for p in ("spotify", "deezer", "tidal"))}
     text = plan(got.where(F.col("query_id") > 0))
     assert "LeftAnti" not in text
+
+
+def test_carried_candidates_are_those_that_joins_give(tables):
+    requests, catalogue, details = tables
+    out = stages.run(requests, catalogue, details, SOURCES, "tokens")
+    asked = stages.cleaned(requests).join(out["alike"].select(F.col("asked_id").alias("query_id")), "query_id", "left_semi")
+    told = staged(stages.compared(asked.where(stages.input_type() != "artist_title"), out["seeds"]), "told")
+    told = told.select("query_id", F.struct(*told.columns[1:]).alias("asked"))
+    got = stages.carried(out["first"], out["second"], told)
+    want = stages.candidates(asked, out["first"], out["second"], out["seeds"], catalogue)
+    rows = lambda df: sorted(map(str, df.select(*got.columns).collect()))
+    assert rows(got) == rows(want) and {r["pass"] for r in got.collect()} == {1, 2}
+    # those of requests by id or ISRC meet their seeds, no other candidate meets anything
+    text = plan(got.select("*"))
+    assert text.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in text
+
+
+def test_lines_are_made_one_before_their_texts(spark):
+    got, want = P.records(spark, SMALL), P.view(spark, SMALL, P.CATALOGUE)
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    moved = lambda df: [x for x in plan(df).splitlines() if "Exchange hashpartitioning" in x]
+    got, want = got.select("*"), want.select("*")
+    assert len(moved(got)) == len(moved(want)) and "Window" in plan(got)
+    below = plan(got)[plan(got).rindex("Exchange hashpartitioning(l_orderkey") :]
+    assert "Official Video" not in below and "Official Video" in plan(got)
